@@ -218,7 +218,7 @@ def deduplicate(
     at = F.struct(*[col(o) for o in order_by])
     suspects = keys.repeated(df, subset, hash_first)
     if keep is False:
-        out = keys.mark(df, subset, suspects, "__dup").where("~__dup").drop("__dup")
+        out = keys.mark(df, subset, suspects, "__dup").where("NOT __dup").drop("__dup")
     else:
         pick = F.min if keep == "first" else F.max
         kept = (

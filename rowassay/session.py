@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,14 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rowassay-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, where every executor can write."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="rowassay-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -91,7 +91,7 @@ def null_tokens(c: Column, tokens: list[str] | None = None) -> Column:
 
 def header_names(line: str, sep: str) -> list[str]:
     """Column names of a header line; blanks are numbered and repeats get a suffix."""
-    cells = next(csv.reader([line.lstrip("﻿")], delimiter=sep), [])
+    cells = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
     names: list[str] = []
     for i, cell in enumerate(cells):
         base = cell if cell != "" else f"Unnamed: {i}"
