@@ -43,7 +43,7 @@ EXCEL_MIN, EXCEL_MAX = 1, 2958465
 
 # token -> (pattern that reads it, Spark letters that read it, Spark letters that write it)
 _TOKENS = {
-    "YYYY": (r"(?<Y>\d{4})", "yyyy", "yyyy"),
+    "YYYY": (r"(?<Y>(?!0000)\d{4})", "yyyy", "yyyy"),
     "YY": (r"(?<y>\d{2})", "yy", "yy"),
     "MMMM": (r"[A-Za-z]+", "MMMM", "MMMM"),
     "MMM": (r"[A-Za-z]{3}", "MMM", "MMM"),

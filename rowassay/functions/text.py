@@ -46,7 +46,7 @@ def float_text(x: Column) -> Column:
     raw = x.cast("string")
     plain = F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    short = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(-?)(\d)$", "E${1}0$2")
+    short = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(?<s>-?)(?<d>\d)$", "E${s}0${d}")
     short = F.regexp_replace(F.regexp_replace(short, r"E(\d)", "e+$1"), "E", "e")
     return (
         F.when(F.isnan(x), F.lit("nan"))
