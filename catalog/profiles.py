@@ -329,7 +329,7 @@ def written_report_orders(spark, sf):
 
 @query("SELECT count(*) AS n, count(*) AS distinct_positions, 0::BIGINT AS first, count(*) - 1 AS last FROM lineitem")
 def dense_row_ids_lineitem(spark, sf):
-    rows = order.dense_row_id(order.with_row_id(table(spark, sf, "lineitem").select("l_orderkey").repartition(5)))
+    rows = order.dense_row_id(order.with_row_id(table(spark, sf, "lineitem").select("l_orderkey")))
     return rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("__row_no").alias("distinct_positions"),

@@ -18,7 +18,8 @@ FLOAT = (
     rf"(?:e[+-]?{_DIGITS})?)$"
 )
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NUMERIC = (*WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def is_numeric(dtype: T.DataType | None) -> bool:

@@ -41,6 +41,9 @@ def not_null(c, dtype, params, declared):
 
 @register("type_conformance")
 def type_conformance(c, dtype, params, declared):
+    if numbers.is_numeric(dtype) and declared in ("integer", "float"):
+        # a typed number conforms, but the text of a fraction is no integer literal
+        return F.lit(declared == "integer" and not isinstance(dtype, numbers.WHOLE))
     text = as_text(c, dtype)
     if declared == "integer":
         return ~numbers.looks_integer(text)

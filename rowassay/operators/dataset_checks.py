@@ -165,7 +165,11 @@ def outlier_value(df: DataFrame, column: str) -> Column:
 
 
 def iqr_bounds(df: DataFrame, column: str, multiplier: float = IQR_MULTIPLIER) -> dict[str, float | None]:
-    q1, q3 = exact_quantiles(df, outlier_value(df, column), [0.25, 0.75])
+    return bounds_of(exact_quantiles(df, outlier_value(df, column), [0.25, 0.75]), multiplier)
+
+
+def bounds_of(quartiles: list[float | None], multiplier: float) -> dict[str, float | None]:
+    q1, q3 = quartiles
     if q1 is None:
         return dict(q1=None, q3=None, iqr=None, lower_bound=None, upper_bound=None)
     iqr = q3 - q1

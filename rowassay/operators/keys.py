@@ -7,6 +7,7 @@ measured small table and otherwise joins with hot keys salted.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -40,30 +41,63 @@ def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) ->
         suspects = (
             hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__h")
         )
-        frame = hashed.join(_sized(suspects)[0], "__h", "left_semi").drop("__h")
+        frame = hashed.join(_hinted(suspects), "__h", "left_semi").drop("__h")
     return group_sizes(frame, keys).where("n > 1")
 
 
-def _sized(table: DataFrame, weight: str | None = None) -> tuple[DataFrame, int, int]:
-    """The table with a broadcast hint if it is measured to be small, its rows and top weight."""
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    width = sum(
-        (F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
-         if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16))
-        for f in table.schema.fields
-    )
-    top = F.max(col(weight)) if weight else F.lit(0)
-    rows, size, top = table.agg(F.count(F.lit(1)), F.sum(width), top).first()
-    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-        return table, rows, 0
-    return table, rows, top or 0
+@dataclass
+class Measured:
+    """A table with one row per key, kept for reuse, and what one pass over it found."""
+
+    table: DataFrame
+    rows: int
+    size: int
+    top: int  # rows of the data under the most frequent key
+    total: int  # rows of the data under any key
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
+
+
+def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]:
+    """Persist key tables and measure all of them in a single job.
+
+    Each is needed again by the join that follows, so the grouping behind it runs once.
+    """
+    if not tables:
+        return []
+    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    parts = []
+    for i, t in enumerate(kept):
+        width = sum(
+            (F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
+             if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16))
+            for f in t.schema.fields
+        )
+        top, total = (F.max(col(weight)), F.sum(col(weight))) if weight else (F.lit(0), F.lit(0))
+        parts.append(
+            t.agg(
+                F.lit(i).alias("i"),
+                F.count(F.lit(1)).alias("rows"),
+                F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("size"),
+                F.coalesce(top, F.lit(0)).cast("bigint").alias("top"),
+                F.coalesce(total, F.lit(0)).cast("bigint").alias("total"),
+            )
+        )
+    found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    return [Measured(t, *found[i][1:]) for i, t in enumerate(kept)]
+
+
+def _hinted(table: DataFrame, weight: str | None = None) -> DataFrame:
+    seen = measure([table], weight)[0]
+    return F.broadcast(seen.table) if seen.small else seen.table
 
 
 def attach(
     df: DataFrame,
     keys: list[str],
-    table: DataFrame,
+    table: DataFrame | Measured,
     payload: list[str],
     table_keys: list[str] | None = None,
     weight: str | None = "n",
@@ -72,19 +106,21 @@ def attach(
 
     ``weight`` names the table column that says how many rows of ``df`` carry the key.
     """
-    table_keys = table_keys or keys
+    seen = table if isinstance(table, Measured) else measure([table], weight)[0]
+    types = {f.name: f.dataType for f in seen.table.schema.fields}
+    if seen.rows == 0:
+        return df.select("*", *[F.lit(None).cast(types[p]).alias(p) for p in payload])
     names = [f"__k{i}" for i in range(len(keys))]
-    heavy = [F.col(weight).alias("__w")] if weight else []
-    side = table.select(
-        *[col(t).alias(n) for t, n in zip(table_keys, names)], *[col(p) for p in payload], *heavy
+    side = seen.table.select(
+        *[col(t).alias(n) for t, n in zip(table_keys or keys, names)],
+        *[col(p) for p in payload],
+        *([F.col(weight).alias("__w")] if weight else []),
     )
-    side, rows, top = _sized(side, "__w" if weight else None)
-    if rows == 0:
-        types = {f.name: f.dataType for f in side.schema.fields}
-        return df.select("*", *[F.lit(None).cast(types[p]).alias(p) for p in payload])
     match = [col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    extra: list[str] = []
-    if top > ROWS_PER_SALT:
+    spare = [*names, "__w"]
+    if seen.small:
+        side = F.broadcast(side)
+    elif seen.top > ROWS_PER_SALT:
         # At most HOT_KEYS rows by construction; any other key owns fewer than 1/HOT_KEYS of all.
         hot = F.broadcast(
             side.where(F.col("__w") > ROWS_PER_SALT)
@@ -107,14 +143,17 @@ def attach(
             .drop("__h", "__s")
         )
         match.append(F.col("__rowsalt") == F.col("__salt"))
-        extra = ["__rowsalt", "__salt"]
-    joined = df.join(side, reduce(Column.__and__, match), "left")
-    return joined.drop(*names, "__w", *extra)
+        spare += ["__rowsalt", "__salt"]
+    return df.join(side, reduce(Column.__and__, match), "left").drop(*spare)
 
 
-def mark(df: DataFrame, keys: list[str], bad: DataFrame, flag: str, table_keys=None) -> DataFrame:
+def mark(
+    df: DataFrame, keys: list[str], bad: DataFrame | Measured, flag: str, table_keys: list[str] | None = None
+) -> DataFrame:
     """Add a boolean that is true on rows whose key is listed in ``bad``."""
-    marked = attach(df, keys, bad.withColumn(flag, F.lit(True)), [flag], table_keys)
+    seen = bad if isinstance(bad, Measured) else measure([bad])[0]
+    seen = replace(seen, table=seen.table.withColumn(flag, F.lit(True)))
+    marked = attach(df, keys, seen, [flag], table_keys)
     return marked.withColumn(flag, F.coalesce(col(flag), F.lit(False)))
 
 
@@ -125,4 +164,4 @@ def missing_keys(df: DataFrame, key: str, reference: DataFrame, reference_key: s
     """
     held = reference.select(col(reference_key).alias("__r")).where("__r IS NOT NULL").distinct()
     present = group_sizes(df.where(col(key).isNotNull()), [key])
-    return present.join(_sized(held)[0], col(key) == F.col("__r"), "left_anti")
+    return present.join(_hinted(held), col(key) == F.col("__r"), "left_anti")

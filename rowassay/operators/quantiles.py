@@ -10,25 +10,35 @@ SMALL = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], small: int = SMALL) -> list[float | None]:
-    """Quantiles of the non-null values, as scalars.
+    """Quantiles of the non-null values, as scalars."""
+    return quantiles_of(df, [value], probs, small)[0]
 
-    A column known to be small goes through Spark's exact ``percentile``. A larger one is
+
+def quantiles_of(df: DataFrame, values: list[Column], probs: list[float], small: int = SMALL) -> list[list[float | None]]:
+    """Quantiles of several columns at once.
+
+    Columns known to be small go through Spark's exact ``percentile`` in one job. A larger one is
     narrowed: approximate quantiles bracket each wanted rank, one counting pass proves the
     bracket, and only the values inside it are ranked, or narrowed again.
     """
-    data = df.select(value.cast("double").alias("x")).where("x IS NOT NULL")
-    n = data.count()
-    if n == 0:
-        return [None] * len(probs)
-    if n <= small:
-        return list(data.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0])
-    places = [(n - 1) * p for p in probs]
-    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
-    found = _ranked(data, n, ranks, small)
-    out = []
-    for at in places:
-        low, high = found[math.floor(at)], found[math.ceil(at)]
-        out.append(low + (high - low) * (at - math.floor(at)))
+    frame = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values)])
+    sizes = frame.agg(*[F.count(f"x{i}") for i in range(len(values))]).first()
+    out: list[list[float | None]] = [[None] * len(probs) for _ in values]
+    few = [i for i, n in enumerate(sizes) if 0 < n <= small]
+    if few:
+        wanted = F.array(*[F.lit(p) for p in probs])
+        got = frame.agg(*[F.percentile(f"x{i}", wanted) for i in few]).first()
+        for i, found in zip(few, got):
+            out[i] = list(found)
+    for i, n in enumerate(sizes):
+        if n > small:
+            data = frame.select(F.col(f"x{i}").alias("x")).where("x IS NOT NULL")
+            places = [(n - 1) * p for p in probs]
+            ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+            found = _ranked(data, n, ranks, small)
+            for j, at in enumerate(places):
+                low, high = found[math.floor(at)], found[math.ceil(at)]
+                out[i][j] = low + (high - low) * (at - math.floor(at))
     return out
 
 

@@ -201,38 +201,36 @@ def deduplicate(
     keep: str | bool = "first",
     order_by: list[str] | None = None,
     hash_first: bool | None = None,
+    stable_input: bool = False,
 ) -> DataFrame:
     """Remove repeated rows; ``keep`` is "first", "last" or False for none.
 
-    Only keys that repeat are looked up, each with the position to keep, so unique rows pass
-    through and no group is sorted in one task.
+    Whole-row copies are all alike, so without an order any one stays. Otherwise only keys that
+    repeat are looked up, each with the position to keep: unique rows pass through and no group
+    is sorted in one task. Without ``order_by`` rows are numbered in scan order; unless
+    ``stable_input`` promises the same order on every read, the numbered rows are checkpointed.
     """
-    subset = subset or [c for c in df.columns if c != order.ROW_ID]
-    temporary = not order_by
-    if temporary:
-        if order.ROW_ID not in df.columns:
-            df = order.with_row_id(df)
-        else:
-            temporary = False
+    if keep is False:
+        bad = keys.repeated(df, subset or df.columns, hash_first)
+        return keys.mark(df, subset or df.columns, bad, "__dup").where("NOT __dup").drop("__dup")
+    if subset is None and order_by is None:
+        return df.dropDuplicates()
+    subset = subset or df.columns
+    numbered = order_by is None
+    if numbered:
+        df = order.with_row_id(df, settle=not stable_input)
         order_by = [order.ROW_ID]
     at = F.struct(*[col(o) for o in order_by])
-    suspects = keys.repeated(df, subset, hash_first)
-    if keep is False:
-        out = keys.mark(df, subset, suspects, "__dup").where("NOT __dup").drop("__dup")
-    else:
-        pick = F.min if keep == "first" else F.max
-        kept = (
-            df.groupBy(*[col(s) for s in subset])
-            .agg(F.count(F.lit(1)).alias("n"), pick(at).alias("__keep"))
-            .where("n > 1")
-        )
-        if hash_first or (hash_first is None and len(subset) > 4):
-            marked = keys.mark(df.select(*dict.fromkeys([*subset, *order_by])), subset, suspects, "__dup")
-            kept = (
-                marked.where("__dup")
-                .groupBy(*[col(s) for s in subset])
-                .agg(F.count(F.lit(1)).alias("n"), pick(at).alias("__keep"))
-            )
-        found = keys.attach(df, subset, kept, ["__keep"])
-        out = found.where(F.col("__keep").isNull() | (F.col("__keep") == at)).drop("__keep")
-    return out.drop(order.ROW_ID) if temporary else out
+    rows = df.select(*[col(c) for c in dict.fromkeys([*subset, *order_by])])
+    if hash_first or (hash_first is None and len(subset) > 4):
+        # positions are gathered only for keys known to repeat
+        rows = keys.mark(rows, subset, keys.repeated(df, subset, True), "__dup").where("__dup")
+    pick = F.min if keep == "first" else F.max
+    kept = (
+        rows.groupBy(*[col(s) for s in subset])
+        .agg(F.count(F.lit(1)).alias("n"), pick(at).alias("__keep"))
+        .where("n > 1")
+    )
+    found = keys.attach(df, subset, kept, ["__keep"])
+    out = found.where(F.col("__keep").isNull() | (F.col("__keep") == at)).drop("__keep")
+    return out.drop(order.ROW_ID) if numbered else out

@@ -13,13 +13,23 @@ from rowassay.operators import order, treatments as tr
 from rowassay.plans import rules as R
 
 
-def clean(df: DataFrame, rules: dict, order_by: list[str] | None = None, check_rules: bool = True) -> Cleaning:
-    """Apply every treatment in rule order, then remove duplicates once if a column asks for it."""
+def clean(
+    df: DataFrame,
+    rules: dict,
+    order_by: list[str] | None = None,
+    stable_input: bool = False,
+    check_rules: bool = True,
+) -> Cleaning:
+    """Apply every treatment in rule order, then remove duplicates once if a column asks for it.
+
+    ``order_by`` gives row order; without it rows are numbered in scan order, and checkpointed if
+    duplicates are to be removed and ``stable_input`` does not promise a repeatable scan.
+    """
     if check_rules:
         issues = R.find_issues(rules, df.schema)
         if issues:
             raise R.RuleError(issues)
-    return Cleaning(df, R.complete(rules), order_by)
+    return Cleaning(df, R.complete(rules), order_by, stable_input)
 
 
 class Cleaning:
@@ -29,12 +39,13 @@ class Cleaning:
     Catalyst merges layers where that repeats no costly expression.
     """
 
-    def __init__(self, df: DataFrame, rules: dict, order_by: list[str] | None):
+    def __init__(self, df: DataFrame, rules: dict, order_by: list[str] | None, stable_input: bool = False):
         self.columns = list(df.columns)
         self.input_types = {f.name: f.dataType for f in df.schema.fields}
         self.input = df
         if order_by is None:
-            df = order.with_row_id(df)
+            removing = any(r["type"] == "deduplicate_rows" for c in rules["columns"] for r in c["remediation"])
+            df = order.with_row_id(df, settle=removing and not stable_input)
         self.order_by = order_by or [order.ROW_ID]
         self.before = {n: f"__b{i}" for i, n in enumerate(self.columns)}
         self.treatments: dict[str, list[str]] = {}

@@ -2,8 +2,8 @@
 
 ``validate`` compiles the rules to one annotated DataFrame: the input, its normalized columns and
 one boolean per check. Value checks fuse into a single projection. Set checks first aggregate
-their keys, then mark rows. Every result is derived from that DataFrame, and all counts come from
-a single aggregation over it.
+their keys, which also gives their counts, then mark rows. Every result is derived from that
+DataFrame; counts alone need no join.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rowassay.functions.text import as_text, col, is_missing
 from rowassay.operators import column_checks, dataset_checks, keys, membership, order
 from rowassay.operators.normalize import normalized
+from rowassay.operators.quantiles import quantiles_of
 from rowassay.plans import rules as R
 
 ERRORS, ERROR_COUNT, STATUS = "__dq_errors__", "__dq_error_count__", "__dq_status__"
@@ -79,6 +80,7 @@ def validate(
     row_effects: str = "all",
     enforce_required: bool = True,
     check_rules: bool = True,
+    stable_input: bool = False,
 ) -> Report:
     """Check ``df`` against ``rules``.
 
@@ -86,16 +88,21 @@ def validate(
     that give row order; without them rows are numbered in scan order. ``row_effects`` says
     whether dataset and reference checks also label and act on rows ("all") or only column checks
     do ("column_only"). ``references`` is one table for all reference checks, or one per name.
+    A monotonic check without ``order_by`` looks rows up by scan position. Unless ``stable_input``
+    promises the same order on every read, as a plain file scan gives, the numbered input is
+    checkpointed first.
     """
     if check_rules:
         issues = R.find_issues(rules, df.schema)
         if issues:
             raise R.RuleError(issues)
-    return Report(df, R.complete(rules), references, row_key, order_by, row_effects, enforce_required)
+    return Report(
+        df, R.complete(rules), references, row_key, order_by, row_effects, enforce_required, stable_input
+    )
 
 
 class Report:
-    def __init__(self, df, rules, references, row_key, order_by, row_effects, enforce_required):
+    def __init__(self, df, rules, references, row_key, order_by, row_effects, enforce_required, stable_input):
         self.rules = rules
         self.columns = list(df.columns)
         self.types = {f.name: f.dataType for f in df.schema.fields}
@@ -104,20 +111,25 @@ class Report:
         self.row_effects = row_effects
         self.checks: list[Check] = []
         self.missing: list[str] = []
-        self._marks: list = []
-        self._row_flags: dict[str, Column] = {}
         self.row_key = row_key or [order.ROW_ID]
         self.order_by = order_by or self.row_key
         if order.ROW_ID in self.row_key + self.order_by:
-            df = order.with_row_id(df)
+            looked_up = order.ROW_ID in self.order_by and any(
+                t["type"] == "monotonic" for c in rules["columns"] for t in c["tests"]
+            )
+            df = order.with_row_id(df, settle=looked_up and not stable_input)
+        self._row_flags: dict[str, Column] = {}
+        self._key_checks: list[tuple[Check, list[str], DataFrame, list[str] | None]] = []
+        self._cardinality: list[tuple[Check, DataFrame, dict]] = []
+        self._outliers: list[tuple[Check, str, dict]] = []
         self._normalize(df)
         self._column_checks(enforce_required)
         self._dataset_checks()
         self._reference_checks(references)
-        frame = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
-        for frame_keys, bad, name, table_keys in self._marks:
-            frame = keys.mark(frame, frame_keys, bad, name, table_keys)
-        self.annotated: DataFrame = frame
+        self._settle_cardinality()
+        self._settle_outliers()
+        self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
+        self.annotated = self._mark_keys(self.flagged)
         self._metrics: DataFrame | None = None
 
     # --- compiling -------------------------------------------------------------------------
@@ -177,11 +189,9 @@ class Report:
         elif check.test == "uniqueness":
             check.flags = True
             kept = self.frame.where(~missing) if params.get("allow_nulls", True) else self.frame
-            self._marks.append(([value], keys.repeated(kept, [value]), check.flag, None))
+            self._key_checks.append((check, [value], keys.repeated(kept, [value]), None))
         elif check.test == "monotonic":
             check.flags = True
-            if self.frame.where(~missing).limit(2).count() < 2:
-                check.note = "too few values to compare"
             bad = order.monotonic_breaks(
                 self.frame.where(~missing),
                 value,
@@ -189,14 +199,12 @@ class Report:
                 params.get("direction", "increasing"),
                 bool(params.get("strict", False)),
             )
-            self._marks.append(
-                (self.order_by, bad.withColumn("n", F.lit(1)).drop(value), check.flag, None)
-            )
+            bad = bad.drop(value).withColumn("n", F.lit(1).cast("bigint"))
+            check.details = {"values": F.count_if(~missing)}
+            self._key_checks.append((check, self.order_by, bad, None))
         elif check.test == "cardinality_warning":
             sizes = keys.group_sizes(self.frame.where(~missing), [value])
-            distinct, filled = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            check.passed, check.note = cardinality_verdict(distinct, filled, params)
-            check.settled_count = 0 if check.passed else 1
+            self._cardinality.append((check, sizes, params))
         else:
             check.passed, check.note = False, f"unknown test {check.test}"
 
@@ -246,37 +254,17 @@ class Report:
                 self._row_flags[check.flag] = failed
                 check.details = {"rows_checked": F.count_if(looked)}
             elif test in ("outliers_iqr", "outliers_zscore"):
-                self._outliers(check, params)
+                check.passed = True
+                if params.get("column") in self.view:
+                    self._outliers.append((check, self.view[params["column"]], params))
+                else:
+                    check.note = "no such column"
             else:
                 check.passed, check.note = False, f"unknown test {test}"
 
     def _repeated(self, check: Check, names: list[str]) -> None:
         check.flags = True
-        self._marks.append((names, keys.repeated(self.frame, names), check.flag, None))
-
-    def _outliers(self, check: Check, params: dict) -> None:
-        check.passed = True
-        name = params.get("column")
-        if name not in self.view:
-            check.note = "no such column"
-            return
-        value = self.view[name]
-        if check.test == "outliers_iqr":
-            bounds = dataset_checks.iqr_bounds(
-                self.frame, value, params.get("multiplier", dataset_checks.IQR_MULTIPLIER)
-            )
-            flag = dataset_checks.iqr_flag(self.frame, value, bounds)
-            shown = bounds
-        else:
-            mean, std = dataset_checks.zscore_stats(self.frame, value)
-            if not std:
-                check.note = "no variance"
-            flag = dataset_checks.zscore_flag(
-                self.frame, value, mean, std, params.get("threshold", dataset_checks.ZSCORE_THRESHOLD)
-            )
-            shown = {"mean": mean, "std": std}
-        check.details = {k: F.lit(v) for k, v in shown.items()}
-        check.details["outlier_count"] = F.count_if(flag)
+        self._key_checks.append((check, names, keys.repeated(self.frame, names), None))
 
     def _reference_checks(self, references) -> None:
         for f in self.rules["foreign_key_checks"]:
@@ -312,7 +300,64 @@ class Report:
             self.frame = self.frame.withColumn(
                 lookup, membership.key_text(col(value), self.view_types[column], spec)
             )
-            self._marks.append(([lookup], bad, check.flag, ["__key"]))
+            self._key_checks.append((check, [lookup], bad, ["__key"]))
+
+    # --- settling what needs the whole table -------------------------------------------------
+
+    def _settle_cardinality(self) -> None:
+        """Distinct counts of all such checks, in one job."""
+        if not self._cardinality:
+            return
+        parts = [
+            sizes.agg(
+                F.lit(i).alias("i"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("filled")
+            )
+            for i, (_, sizes, _) in enumerate(self._cardinality)
+        ]
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            check, _, params = self._cardinality[r["i"]]
+            check.passed, check.note = cardinality_verdict(r["distinct"], r["filled"], params)
+            check.settled_count = 0 if check.passed else 1
+
+    def _settle_outliers(self) -> None:
+        """Bounds of all outlier checks: one job for spreads, one count and one for quartiles."""
+        spreads = [o for o in self._outliers if o[0].test == "outliers_zscore"]
+        ranges = [o for o in self._outliers if o[0].test == "outliers_iqr"]
+        if spreads:
+            asks = []
+            for _, value, _ in spreads:
+                x = dataset_checks.outlier_value(self.frame, value)
+                asks += [F.avg(x), F.stddev_samp(x)]
+            got = self.frame.agg(*[a.alias(f"a{i}") for i, a in enumerate(asks)]).first()
+            for i, (check, value, params) in enumerate(spreads):
+                mean, std = got[2 * i], got[2 * i + 1]
+                check.note = None if std else "no variance"
+                flag = dataset_checks.zscore_flag(
+                    self.frame, value, mean, std, params.get("threshold", dataset_checks.ZSCORE_THRESHOLD)
+                )
+                self._outlier_details(check, {"mean": mean, "std": std}, flag)
+        if ranges:
+            values = [dataset_checks.outlier_value(self.frame, v) for _, v, _ in ranges]
+            for (check, value, params), quartiles in zip(ranges, quantiles_of(self.frame, values, [0.25, 0.75])):
+                multiplier = params.get("multiplier", dataset_checks.IQR_MULTIPLIER)
+                bounds = dataset_checks.bounds_of(quartiles, multiplier)
+                self._outlier_details(check, bounds, dataset_checks.iqr_flag(self.frame, value, bounds))
+
+    @staticmethod
+    def _outlier_details(check: Check, shown: dict, flag: Column) -> None:
+        check.details = {k: F.lit(v).cast("double") for k, v in shown.items()}
+        check.details["outlier_count"] = F.count_if(flag)
+
+    def _mark_keys(self, frame: DataFrame) -> DataFrame:
+        """Measure the failing keys of all set checks in one job, then mark their rows.
+
+        The counts are known from here on; a check without failing keys adds no join.
+        """
+        measured = keys.measure([bad for _, _, bad, _ in self._key_checks])
+        for (check, names, _, table_keys), seen in zip(self._key_checks, measured):
+            check.settled_count = seen.total
+            frame = keys.mark(frame, names, seen, check.flag, table_keys)
+        return frame
 
     # --- counts ----------------------------------------------------------------------------
 
@@ -339,23 +384,25 @@ class Report:
 
     @property
     def metrics(self) -> DataFrame:
-        """One row: rows, rows with errors, and a failure count per check."""
+        """One row from one pass without any join: rows, and failures of each value check."""
         if self._metrics is None:
-            counts = [F.count_if(col(c.flag)).alias(f"c{c.id}") for c in self.checks if c.flags]
-            details = [
-                d.alias(f"d{c.id}:{k}") for c in self.checks for k, d in c.details.items()
-            ]
-            self._metrics = self.annotated.agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.count_if(self._failed("error")).alias("error_rows"),
-                F.count_if(self._failed()).alias("flagged_rows"),
-                *counts,
-                *details,
-            ).persist(StorageLevel.MEMORY_AND_DISK)
+            counts = [F.count_if(col(n)).alias(f"c{n}") for n in self._row_flags]
+            details = [d.alias(f"d{c.id}:{k}") for c in self.checks for k, d in c.details.items()]
+            self._metrics = self.flagged.agg(F.count(F.lit(1)).alias("rows"), *counts, *details).persist(
+                StorageLevel.MEMORY_AND_DISK
+            )
         return self._metrics
 
+    def _row_totals(self) -> tuple[int, int]:
+        """Rows, and rows with errors: the only count that needs all flags side by side."""
+        return tuple(
+            self.annotated.agg(F.count(F.lit(1)), F.count_if(self._failed("error"))).first()
+        )
+
     def _count(self, c: Check) -> Column:
-        return col(f"c{c.id}") if c.flags else F.lit(c.settled_count).cast("bigint")
+        if c.flag in self._row_flags:
+            return col(f"c{c.flag}")
+        return F.lit(c.settled_count).cast("bigint")
 
     def _passed(self, c: Check) -> Column:
         return F.lit(c.passed) if c.passed is not None else self._count(c) == 0
@@ -373,7 +420,7 @@ class Report:
                 self._passed(c).alias("passed"),
                 self._count(c).alias("failed_count"),
                 F.col("rows").alias("total_values"),
-                F.lit(c.note).cast("string").alias("note"),
+                self._note(c).alias("note"),
                 self._detail_map(c).alias("details"),
                 (~self._passed(c) & F.lit(c.blocks and c.severity == "error")).alias("blocking"),
             )
@@ -384,6 +431,12 @@ class Report:
             return self.metrics.sparkSession.createDataFrame([], schema)
         return self.metrics.select(F.inline(F.array(*rows)))
 
+    @staticmethod
+    def _note(c: Check) -> Column:
+        if c.test == "monotonic":
+            return F.when(col(f"d{c.id}:values") < 2, "too few values to compare")
+        return F.lit(c.note).cast("string")
+
     def _detail_map(self, c: Check) -> Column:
         parts = []
         for k in c.details:
@@ -461,7 +514,8 @@ class Report:
         blocked = any_of(
             [~self._passed(c) for c in self.checks if c.blocks and c.severity == "error"]
         ) | F.lit(bool(self.missing))
-        return self.metrics.select(
+        _, error_rows = self._row_totals()
+        return self.metrics.withColumn("error_rows", F.lit(error_rows).cast("bigint")).select(
             F.col("rows").alias("total_rows"),
             F.lit(len(self.columns)).cast("bigint").alias("total_columns"),
             F.lit(len(self.checks)).cast("bigint").alias("tests_run"),
