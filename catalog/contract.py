@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from catalog.base import DUCK_LINES, dirty_lines, query, table
+from catalog.base import DUCK_LINES, numbered_lines, query, table
 from rowassay import clean, validate
 
 LABEL = {"action": "label_failure", "label_column_name": "__dq_errors__"}
@@ -102,9 +102,9 @@ _COUNTS = {
 
 
 def full_contract(spark, sf) -> DataFrame:
-    lines = dirty_lines(spark, sf)
+    lines = numbered_lines(spark, sf)
     held = table(spark, sf, "orders").where("o_orderkey % 9 <> 0")
-    # the table is one plain scan, so row positions repeat
+    # rows are numbered by a plain scan, so their positions repeat
     report = validate(lines, RULES, held, stable_input=True)
     summary = report.summary().select(
         F.lit("rows with errors").alias("what"), F.col("rows_with_errors").alias("n")

@@ -136,6 +136,12 @@ def parse(text: Column, fmt: str) -> Column:
 
 def _by_rewrite(text, fmt, tokens, century=None, two_digit_year=None) -> Column:
     shape = _shape(fmt, two_digit_year)
+    if fmt in ("YYYY-MM-DD", "YYYY-MM-DD HH:mm:ss"):
+        # the cast reads these as they are
+        plain = text.try_cast("timestamp_ntz")
+        if " " in fmt:
+            plain = F.coalesce(plain, F.regexp_replace(text, r"\s+", " ").try_cast("timestamp_ntz"))
+        return F.when(text.rlike(shape), plain)
     year = f"{century}${{y}}" if century else "${Y}"
     month = "${m}" if tokens & {"MM", "M"} else "01"
     day = "${d}" if tokens & {"DD", "D"} else "01"

@@ -10,14 +10,18 @@ from rowassay.functions.text import col, is_missing
 from rowassay.session import durable
 
 ROW_ID = "__row_id"
+# 2**18 rows per slice
+_SLICE_BITS = 18
 
 
 def with_row_id(df: DataFrame, name: str = ROW_ID, settle: bool = False) -> DataFrame:
     """A unique id that rises in scan order.
 
-    It repeats exactly when the input is a plain file scan. ``settle`` writes the numbered rows
+    An id that is there already stays. It repeats exactly when the input is a plain file scan. ``settle`` writes the numbered rows
     to the checkpoint folder, for inputs whose rows may move between partitions on a retry.
     """
+    if name in df.columns:
+        return df
     numbered = df.withColumn(name, F.monotonically_increasing_id())
     return durable(numbered) if settle else numbered
 
@@ -40,7 +44,8 @@ def dense_row_id(df: DataFrame, row_id: str = ROW_ID, name: str = "__row_no") ->
 def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``__slice``: slices follow the order, and no slice holds a large share of the rows."""
     if order == [ROW_ID]:
-        return df.withColumn("__slice", F.shiftright(col(ROW_ID), 33))
+        # ids count up within an input partition, so their upper bits are runs of rows in order
+        return df.withColumn("__slice", F.shiftright(col(ROW_ID), _SLICE_BITS))
     # Range bounds come from a sample, so the split is written down before it is used twice.
     return durable(
         df.repartitionByRange(*[col(o) for o in order]).withColumn("__slice", F.spark_partition_id())

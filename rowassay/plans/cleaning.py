@@ -40,7 +40,7 @@ class Cleaning:
     """
 
     def __init__(self, df: DataFrame, rules: dict, order_by: list[str] | None, stable_input: bool = False):
-        self.columns = list(df.columns)
+        self.columns = [c for c in df.columns if c != order.ROW_ID]
         self.input_types = {f.name: f.dataType for f in df.schema.fields}
         self.input = df
         if order_by is None:

@@ -104,7 +104,7 @@ def validate(
 class Report:
     def __init__(self, df, rules, references, row_key, order_by, row_effects, enforce_required, stable_input):
         self.rules = rules
-        self.columns = list(df.columns)
+        self.columns = [c for c in df.columns if c != order.ROW_ID]
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.by_name = {c["name"]: c for c in rules["columns"]}
         self.declared = {n: c["data_type"] for n, c in self.by_name.items()}
@@ -386,18 +386,22 @@ class Report:
     def metrics(self) -> DataFrame:
         """One row from one pass without any join: rows, and failures of each value check."""
         if self._metrics is None:
-            counts = [F.count_if(col(n)).alias(f"c{n}") for n in self._row_flags]
-            details = [d.alias(f"d{c.id}:{k}") for c in self.checks for k, d in c.details.items()]
-            self._metrics = self.flagged.agg(F.count(F.lit(1)).alias("rows"), *counts, *details).persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
+            self._metrics = self._counted(self.flagged, [])
         return self._metrics
 
-    def _row_totals(self) -> tuple[int, int]:
-        """Rows, and rows with errors: the only count that needs all flags side by side."""
-        return tuple(
-            self.annotated.agg(F.count(F.lit(1)), F.count_if(self._failed("error"))).first()
-        )
+    @property
+    def row_metrics(self) -> DataFrame:
+        """The same and the rows with errors, which need all flags side by side."""
+        if self._metrics is None or "error_rows" not in self._metrics.columns:
+            errors = F.count_if(self._failed("error")).alias("error_rows")
+            self._metrics = self._counted(self.annotated, [errors])
+        return self._metrics
+
+    def _counted(self, frame: DataFrame, more: list[Column]) -> DataFrame:
+        counts = [F.count_if(col(n)).alias(f"c{n}") for n in self._row_flags]
+        details = [d.alias(f"d{c.id}:{k}") for c in self.checks for k, d in c.details.items()]
+        out = frame.agg(F.count(F.lit(1)).alias("rows"), *more, *counts, *details)
+        return out.persist(StorageLevel.MEMORY_AND_DISK)
 
     def _count(self, c: Check) -> Column:
         if c.flag in self._row_flags:
@@ -514,8 +518,7 @@ class Report:
         blocked = any_of(
             [~self._passed(c) for c in self.checks if c.blocks and c.severity == "error"]
         ) | F.lit(bool(self.missing))
-        _, error_rows = self._row_totals()
-        return self.metrics.withColumn("error_rows", F.lit(error_rows).cast("bigint")).select(
+        return self.row_metrics.select(
             F.col("rows").alias("total_rows"),
             F.lit(len(self.columns)).cast("bigint").alias("total_columns"),
             F.lit(len(self.checks)).cast("bigint").alias("tests_run"),

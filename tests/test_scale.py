@@ -95,13 +95,13 @@ def test_deduplicate(skewed, forced, keep, hash_first):
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("small", [1, 30, 100_000])
-def test_exact_quantiles(spark, small):
+@pytest.mark.parametrize("small,ranked", [(1, 1), (1, 30), (30, 100_000), (100_000, 1)])
+def test_exact_quantiles(spark, small, ranked):
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.normal(0, 1, 4000), np.full(3000, 0.25), rng.exponential(1e6, 2000), [-1e9, 1e12]])
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.61, 0.75, 0.999, 1.0]
-    got = quantiles.exact_quantiles(df, F.col("v"), probs, small)
+    got = quantiles.exact_quantiles(df, F.col("v"), probs, small, ranked)
     assert np.allclose(got, np.quantile(values, probs), rtol=1e-12, atol=0)
 
 
@@ -110,6 +110,14 @@ def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(df, F.col("v"), [0.5]) == [None]
 
 
+def test_quantiles_recover_from_a_bad_guess(spark, monkeypatch):
+    """Even guesses that miss the wanted ranks end in the exact value."""
+    df = spark.range(5000).selectExpr("cast(pow(id, 1.5) as double) AS v")
+    monkeypatch.setattr(quantiles, "_MARGIN", -0.01)
+    got = quantiles.exact_quantiles(df, F.col("v"), [0.25, 0.75], 1, 100_000)
+    assert np.allclose(got, np.quantile(np.arange(5000.0) ** 1.5, [0.25, 0.75]), rtol=1e-12)
+
+
 def number(text):
     try:
         return float(text.replace(",", ""))
@@ -137,7 +145,8 @@ def breaks(values, rising, strict):
 
 @pytest.mark.parametrize("direction,strict", [("increasing", False), ("descending", False), ("ascending", True)])
 @pytest.mark.parametrize("by_key", [True, False])
-def test_monotonic(spark, direction, strict, by_key):
+def test_monotonic(spark, monkeypatch, direction, strict, by_key):
+    monkeypatch.setattr(order, "_SLICE_BITS", 4)
     pool = ["1", "2", "2", "10", "1,000", "abc", "b", None, "nan", "", "-3"]
     values = [random.choice(pool) for _ in range(400)]
     want = breaks(values, direction in ("increasing", "ascending"), strict)
