@@ -30,12 +30,14 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) -> DataFrame:
     """Keys that occur more than once.
 
-    Wide keys are counted by a 64-bit hash first, so that only rows whose hash repeats are
-    shuffled whole. The second count is on the keys themselves, so hash clashes do no harm.
+    Wide keys (text, or more than four columns) are counted by a 64-bit hash first, so that only
+    rows whose hash repeats are shuffled whole. The second count is on the keys themselves, so
+    hash clashes do no harm.
     """
-    if hash_first is None:
-        hash_first = len(keys) > 4
     frame = df.select(*[col(k) for k in keys])
+    if hash_first is None:
+        text = (T.StringType, T.BinaryType)
+        hash_first = len(keys) > 4 or any(isinstance(f.dataType, text) for f in frame.schema.fields)
     if hash_first:
         hashed = frame.withColumn("__h", F.xxhash64(*[col(k) for k in keys]))
         suspects = (
@@ -160,8 +162,13 @@ def mark(
 def missing_keys(df: DataFrame, key: str, reference: DataFrame, reference_key: str) -> DataFrame:
     """Non-null keys of ``df``, with their row counts, that the reference does not hold.
 
-    Both sides are reduced to one row per key before they meet, so no key can be hot.
+    A small reference is broadcast and only the missing rows are grouped. Otherwise both sides are
+    reduced to one row per key before they meet, so no key can be hot.
     """
     held = reference.select(col(reference_key).alias("__r")).where("__r IS NOT NULL").distinct()
-    present = group_sizes(df.where(col(key).isNotNull()), [key])
-    return present.join(_hinted(held), col(key) == F.col("__r"), "left_anti")
+    seen = measure([held], None)[0]
+    present = df.where(col(key).isNotNull()).select(col(key))
+    absent = col(key) == F.col("__r")
+    if seen.small:
+        return group_sizes(present.join(F.broadcast(seen.table), absent, "left_anti"), [key])
+    return group_sizes(present, [key]).join(seen.table, absent, "left_anti")

@@ -222,9 +222,9 @@ def deduplicate(
         order_by = [order.ROW_ID]
     at = F.struct(*[col(o) for o in order_by])
     rows = df.select(*[col(c) for c in dict.fromkeys([*subset, *order_by])])
-    if hash_first or (hash_first is None and len(subset) > 4):
+    if hash_first is not False:
         # positions are gathered only for keys known to repeat
-        rows = keys.mark(rows, subset, keys.repeated(df, subset, True), "__dup").where("__dup")
+        rows = keys.mark(rows, subset, keys.repeated(df, subset, hash_first), "__dup").where("__dup")
     pick = F.min if keep == "first" else F.max
     kept = (
         rows.groupBy(*[col(s) for s in subset])
@@ -232,5 +232,8 @@ def deduplicate(
         .where("n > 1")
     )
     found = keys.attach(df, subset, kept, ["__keep"])
-    out = found.where(F.col("__keep").isNull() | (F.col("__keep") == at)).drop("__keep")
+    single = found.where("__keep IS NULL")
+    # copies may share a position; those few rows are thinned out among themselves
+    chosen = found.where(F.col("__keep") == at).dropDuplicates(list(dict.fromkeys([*subset, *order_by])))
+    out = single.unionByName(chosen).drop("__keep")
     return out.drop(order.ROW_ID) if numbered else out

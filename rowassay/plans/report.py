@@ -85,7 +85,7 @@ def validate(
     """Check ``df`` against ``rules``.
 
     ``row_key`` names columns that identify a row in result tables and ``order_by`` the columns
-    that give row order; without them rows are numbered in scan order. ``row_effects`` says
+    that give row order and identify a row; without them rows are numbered in scan order. ``row_effects`` says
     whether dataset and reference checks also label and act on rows ("all") or only column checks
     do ("column_only"). ``references`` is one table for all reference checks, or one per name.
     A monotonic check without ``order_by`` looks rows up by scan position. Unless ``stable_input``
@@ -199,7 +199,7 @@ class Report:
                 params.get("direction", "increasing"),
                 bool(params.get("strict", False)),
             )
-            bad = bad.drop(value).withColumn("n", F.lit(1).cast("bigint"))
+            bad = keys.group_sizes(bad, self.order_by)
             check.details = {"values": F.count_if(~missing)}
             self._key_checks.append((check, self.order_by, bad, None))
         elif check.test == "cardinality_warning":

@@ -64,7 +64,10 @@ def test_repeated_many_columns(skewed, hash_first):
 
 
 @pytest.mark.parametrize("allow_nulls", [True, False])
-def test_reference_on_skewed_keys(skewed, forced, spark, allow_nulls):
+@pytest.mark.parametrize("large", [True, False])
+def test_reference_on_skewed_keys(skewed, request, spark, allow_nulls, large):
+    if large:
+        request.getfixturevalue("forced")
     rows, df = skewed
     held = spark.createDataFrame([(f"k{i}",) for i in range(0, 700, 2)] + [(None,)], "r string")
     good = {f"k{i}" for i in range(0, 700, 2)}
@@ -95,6 +98,14 @@ def test_deduplicate(skewed, forced, keep, hash_first):
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_deduplicate_when_copies_share_a_position(spark, forced, keep):
+    rows = [(i, f"v{i}") for i in range(50)] * 2 + [(7, "v7")]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(3)
+    got = treatments.deduplicate(df, ["v"], keep, ["id"])
+    assert sorted(r["id"] for r in got.collect()) == list(range(50))
+
+
 @pytest.mark.parametrize("small,ranked", [(1, 1), (1, 30), (30, 100_000), (100_000, 1)])
 def test_exact_quantiles(spark, small, ranked):
     rng = np.random.default_rng(5)
