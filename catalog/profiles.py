@@ -8,7 +8,7 @@ from catalog.base import (
     DUCK_CUSTOMER, DUCK_DOUBLED, DUCK_LINES, DUCK_ORDERS, dirty_customer, dirty_lines, dirty_orders,
     doubled_orders, query, table,
 )
-from catalog.outputs import ACTION_RULES, CLEAN_RULES, order_report
+from catalog.outputs import _CONDITIONS, _FLAGGED, _SEG_CHANGED, ACTION_RULES, CLEAN_RULES, order_report
 from rowassay import clean, validate
 from rowassay.operators import order, profile
 from rowassay.session import scratch_path
@@ -312,7 +312,10 @@ def written_labels_orders(spark, sf):
     return back.groupBy(F.col("__dq_status__").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""SELECT 'summary' AS name, 1::BIGINT AS n UNION ALL SELECT 'test_results', {len(_CONDITIONS)} UNION ALL SELECT 'column_results', 5
+   UNION ALL SELECT 'blocking_errors', 1 UNION ALL SELECT 'diff', 1 UNION ALL SELECT 'column_diffs', 2
+   UNION ALL SELECT 'cell_errors', ({" + ".join(f"count(*) FILTER (WHERE f{i})" for i in range(len(_CONDITIONS)))})::BIGINT FROM {_FLAGGED}
+   UNION ALL SELECT 'sample_changes', least(100, count(*)) + least(100, count(*) FILTER (WHERE {_SEG_CHANGED})) FROM {DUCK_CUSTOMER}""")
 def written_report_orders(spark, sf):
     path = scratch_path(spark, "report")
     cleaning = clean(dirty_customer(spark, sf), CLEAN_RULES, ["c_custkey"])
