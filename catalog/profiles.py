@@ -217,7 +217,7 @@ def _first(c, size, source, key):
 def sample_values_part(spark, sf):
     part = table(spark, sf, "part").select("p_name", "p_brand", "p_type", F.col("p_partkey").alias("k"))
     out = profile.sample_values(part, ["k"]).where("column_name != 'k'")
-    return out.withColumn("samples", F.array_join("samples", "|"))
+    return out.withColumn("samples", F.array_join(F.array_sort("samples"), "|"))
 
 
 _GUESSES = """SELECT 'o_orderkey' AS column_name, '{i}' AS guessed UNION ALL SELECT 'o_totalprice', 'float' UNION ALL SELECT 'priority', '{s}'

@@ -38,6 +38,8 @@ def as_text(c: Column, dtype: T.DataType | None = None) -> Column:
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), float_text(c))
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
     return c.cast("string")
 
 

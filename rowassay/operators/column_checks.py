@@ -31,7 +31,8 @@ def register(name: str):
 
 def fails(name: str, c: Column, dtype: T.DataType, params: dict | None = None, declared: str = "text") -> Column:
     """True where the value fails the check, false elsewhere, never null."""
-    return F.coalesce(ROW_CHECKS[name](c, dtype, params or {}, declared), F.lit(False))
+    bad = F.coalesce(ROW_CHECKS[name](c, dtype, params or {}, declared), F.lit(False))
+    return bad if name == "not_null" else bad & ~is_missing(c, dtype)
 
 
 @register("not_null")
@@ -58,6 +59,8 @@ def type_conformance(c, dtype, params, declared):
 
 @register("range")
 def in_range(c, dtype, params, declared):
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
     x = numbers.number(c, dtype, ",$%")
     return _outside(x, params.get("min"), params.get("max"), lambda b: F.lit(float(b)))
 

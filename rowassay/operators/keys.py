@@ -62,6 +62,21 @@ class Measured:
         return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
 
 
+_kept: list[DataFrame] = []
+
+
+def release(tables: list[DataFrame] | None = None) -> None:
+    """Drop persisted key tables: the given ones, or all that are left."""
+    for t in list(_kept) if tables is None else tables:
+        t.unpersist()
+        if any(k is t for k in _kept):
+            _kept[:] = [k for k in _kept if k is not t]
+
+
+def kept() -> list[DataFrame]:
+    return list(_kept)
+
+
 def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]:
     """Persist key tables and measure all of them in a single job.
 
@@ -69,9 +84,10 @@ def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]
     """
     if not tables:
         return []
-    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    held = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    _kept.extend(held)
     parts = []
-    for i, t in enumerate(kept):
+    for i, t in enumerate(held):
         width = sum(
             (F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
              if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16))
@@ -88,7 +104,7 @@ def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]
             )
         )
     found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
-    return [Measured(t, *found[i][1:]) for i, t in enumerate(kept)]
+    return [Measured(t, *found[i][1:]) for i, t in enumerate(held)]
 
 
 def _hinted(table: DataFrame, weight: str | None = None) -> DataFrame:

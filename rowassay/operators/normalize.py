@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +25,11 @@ def normalized(c: Column, dtype: T.DataType, spec: dict | None) -> Column:
         c = null_if_token(c, spec.get("null_tokens") or [])
         return change_case(c, spec.get("case"))
     text = as_text(c, dtype)
-    tokens = spec.get("null_tokens") or []
+    # only tokens that a value of this type can print as
+    tokens = [t for t in spec.get("null_tokens") or [] if re.search(r"\d|inf|True|False", t)]
     if spec.get("case") in ("lower", "upper", "title"):
         return change_case(null_if_token(text, tokens), spec["case"])
-    if any(t.strip() for t in tokens):
-        return F.when(~text.isin(tokens) | text.isNull(), c)
-    return c
+    return F.when(~text.isin(tokens), c) if tokens else c
 
 
 def normalize(df: DataFrame, specs: dict[str, dict]) -> DataFrame:

@@ -41,6 +41,18 @@ def dense_row_id(df: DataFrame, row_id: str = ROW_ID, name: str = "__row_no") ->
     )
 
 
+def first_of(df: DataFrame, groups: list[str], by: list[Column], limit: int) -> DataFrame:
+    """The first rows of each group with their ``rank``.
+
+    Spark applies a rank limit of up to 1000 inside each task before the shuffle, so a group of
+    any size sends only its candidates.
+    """
+    if limit > 1000:
+        raise ValueError("at most 1000 rows per group")
+    window = W.partitionBy(*groups).orderBy(*by)
+    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+
+
 def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``__slice``: slices follow the order, and no slice holds a large share of the rows."""
     if order == [ROW_ID]:

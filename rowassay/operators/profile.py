@@ -205,9 +205,9 @@ def sample_values(df: DataFrame, order_by: list[str] | None = None, size: int =
     """Distinct values among the first few of each column."""
     df, names, by = _ordered(df, order_by)
     parts = [
-        _sample(df, n, by, size).agg(F.array_sort(F.collect_set("v")).alias("samples")).select(
-            F.lit(n).alias("column_name"), "samples"
-        )
+        _sample(df, n, by, size)
+        .agg(F.array_sort(F.collect_list(F.struct(*[f"__o{i}" for i in range(len(by))], "v"))).alias("rows"))
+        .select(F.lit(n).alias("column_name"), F.array_distinct("rows.v").alias("samples"))
         for n in names
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -83,6 +83,8 @@ def numeric_cleanup(c, dtype, params, declared):
 
 @register("boolean_normalization")
 def boolean_normalization(c, dtype, params, declared):
+    if isinstance(dtype, T.BooleanType):
+        return c
     given = as_text(c, dtype)
     clean = F.lower(strip(given))
     yes = list(params.get("true_tokens", numbers.TRUE_TOKENS))
@@ -119,7 +121,7 @@ def categorical_standardize(c, dtype, params, declared):
     if not pairs:
         return given
     key = F.lower(strip(given)) if loose else strip(given)
-    literal = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    literal = F.create_map(*[F.lit(x).cast("string") for pair in pairs.items() for x in pair])
     return F.when(F.map_contains_key(literal, key), F.element_at(literal, key)).otherwise(given)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.functions import dates
 from rowassay.functions.text import as_text, col
@@ -225,10 +225,8 @@ class Cleaning:
         )
 
     def sample_changes(self, limit: int = 100) -> DataFrame:
-        """The first changes per column; the rank limit runs in each task before the shuffle."""
-        first = W.partitionBy("column_name").orderBy(*[col(o) for o in self.order_by])
-        ranked = self.changes().withColumn("rank", F.row_number().over(first))
-        return ranked.where(F.col("rank") <= limit)
+        """The first changes per column."""
+        return order.first_of(self.changes(), ["column_name"], [col(o) for o in self.order_by], limit)
 
     def changed_rows(self, limit: int = 100) -> DataFrame:
         """The first changed rows, with before and after of every changed cell."""

@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.functions.text import as_text, col, is_missing
 from rowassay.operators import column_checks, dataset_checks, keys, membership, order
+from rowassay.operators.order import first_of
 from rowassay.operators.normalize import normalized
 from rowassay.operators.quantiles import quantiles_of
 from rowassay.plans import rules as R
@@ -118,6 +119,7 @@ class Report:
                 t["type"] == "monotonic" for c in rules["columns"] for t in c["tests"]
             )
             df = order.with_row_id(df, settle=looked_up and not stable_input)
+        before = keys.kept()
         self._row_flags: dict[str, Column] = {}
         self._key_checks: list[tuple[Check, list[str], DataFrame, list[str] | None]] = []
         self._cardinality: list[tuple[Check, DataFrame, dict]] = []
@@ -131,6 +133,7 @@ class Report:
         self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
         self.annotated = self._mark_keys(self.flagged)
         self._metrics: DataFrame | None = None
+        self._tables = [t for t in keys.kept() if not any(t is b for b in before)]
 
     # --- compiling -------------------------------------------------------------------------
 
@@ -185,7 +188,7 @@ class Report:
                 return
             check.flags = True
             fails = column_checks.fails(check.test, col(value), dtype, params, declared)
-            self._row_flags[check.flag] = fails if check.test == "not_null" else fails & ~missing
+            self._row_flags[check.flag] = fails
         elif check.test == "uniqueness":
             check.flags = True
             kept = self.frame.where(~missing) if params.get("allow_nulls", True) else self.frame
@@ -367,6 +370,8 @@ class Report:
         return self
 
     def release(self) -> None:
+        """Drop everything this report keeps in memory or on disk."""
+        keys.release(self._tables)
         self.annotated.unpersist()
         if self._metrics is not None:
             self._metrics.unpersist()
@@ -635,17 +640,9 @@ class Report:
         return self.annotated.where(self._failed("error")).select(*[col(k) for k in self.row_key])
 
     def examples(self, limit: int = 100, width: int = 50) -> DataFrame:
-        """The first failing cells per column and test, values cut for display.
-
-        The rank limit is applied inside each task before anything is shuffled.
-        """
-        first = W.partitionBy("column_name", "test").orderBy(*[col(k) for k in self.row_key])
-        return (
-            self.cell_errors()
-            .withColumn("value", F.substring("value", 1, width))
-            .withColumn("rank", F.row_number().over(first))
-            .where(F.col("rank") <= limit)
-        )
+        """The first failing cells per column and test, values cut for display."""
+        cells = self.cell_errors().withColumn("value", F.substring("value", 1, width))
+        return first_of(cells, ["column_name", "test"], [col(k) for k in self.row_key], limit)
 
     def top_invalid(self, limit: int = 10) -> DataFrame:
         """The most frequent failing values per column, with their share of all rows."""
@@ -655,8 +652,7 @@ class Report:
             .groupBy("column_name", "test", "value")
             .agg(F.count(F.lit(1)).alias("cells"))
         )
-        best = W.partitionBy("column_name", "test").orderBy(F.desc("cells"), F.asc_nulls_first("value"))
-        return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+        return first_of(counts, ["column_name", "test"], [F.desc("cells"), F.asc_nulls_first("value")], limit)
 
     def split(self) -> Outputs:
         """Clean rows, quarantined rows and named quarantines, as the policies ask.

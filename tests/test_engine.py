@@ -477,3 +477,54 @@ def test_monotonic_needs_two_values(spark):
     rules = {"columns": [{"name": "v", "tests": [{"type": "monotonic"}]}]}
     row = validate(df, rules, order_by=["id"]).test_results().first()
     assert (row["passed"], row["note"]) == (True, "too few values to compare")
+
+
+def test_booleans_print_like_python(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    rules = {
+        "columns": [
+            {
+                "name": "b",
+                "data_type": "boolean",
+                "tests": [
+                    {"type": "enum", "params": {"allowed_values": ["True"], "case_insensitive": False}},
+                    {"type": "range", "params": {"min": 5}},
+                    {"type": "type_conformance"},
+                ],
+                "remediation": [{"type": "boolean_normalization"}],
+            }
+        ]
+    }
+    assert [r["failed_count"] for r in validate(df, rules).test_results().collect()] == [1, 0, 0]
+    assert clean(df, rules).diff().first()["cells_changed"] == 0
+
+
+def test_typed_columns_and_tokens(spark):
+    df = spark.createDataFrame([(1.5, -1), (float("nan"), 5), (None, 7)], "x double, n int")
+    norm = {"null_tokens": ["", "NA", "-1"]}
+    rules = {
+        "columns": [
+            {"name": "x", "data_type": "integer", "normalization": norm, "tests": [{"type": "not_null"}, {"type": "type_conformance"}]},
+            {"name": "n", "data_type": "integer", "normalization": norm, "tests": [{"type": "not_null"}, {"type": "type_conformance"}]},
+        ]
+    }
+    assert [r["failed_count"] for r in validate(df, rules).test_results().collect()] == [2, 1, 1, 0]
+
+
+def test_release_drops_key_tables(spark):
+    from rowassay.operators import keys
+
+    df = spark.createDataFrame([("a",), ("a",)], "v string")
+    before = len(keys.kept())
+    report = validate(df, {"columns": [{"name": "v", "tests": [{"type": "uniqueness"}]}]}).cache()
+    assert report.test_results().first()["failed_count"] == 2 and len(keys.kept()) > before
+    report.release()
+    assert len(keys.kept()) == before
+
+
+def test_first_of_limits_inside_tasks(spark, orders):
+    report = validate(orders, ORDER_RULES, row_key=["pos"])
+    plan = report.examples(3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+    with pytest.raises(ValueError):
+        report.examples(5000)
