@@ -105,7 +105,7 @@ def full_contract(spark, sf) -> DataFrame:
     lines = numbered_lines(spark, sf)
     held = table(spark, sf, "orders").where("o_orderkey % 9 <> 0")
     # rows are numbered by a plain scan, so their positions repeat
-    report = validate(lines, RULES, held, stable_input=True)
+    report = validate(lines, RULES, held, stable_input=True, cache_input=True)
     summary = report.summary().select(
         F.lit("rows with errors").alias("what"), F.col("rows_with_errors").alias("n")
     )

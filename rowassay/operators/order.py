@@ -10,6 +10,8 @@ from rowassay.functions.text import col, is_missing
 from rowassay.session import durable
 
 ROW_ID = "__row_id"
+# Up to this many values are compared in one slice.
+ONE_SLICE = 500_000
 # 2**18 rows per slice
 _SLICE_BITS = 18
 
@@ -58,6 +60,8 @@ def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
     if order == [ROW_ID]:
         # ids count up within an input partition, so their upper bits are runs of rows in order
         return df.withColumn("__slice", F.shiftright(col(ROW_ID), _SLICE_BITS))
+    if df.count() <= ONE_SLICE:
+        return df.withColumn("__slice", F.lit(0))
     # Range bounds come from a sample, so the split is written down before it is used twice.
     return durable(
         df.repartitionByRange(*[col(o) for o in order]).withColumn("__slice", F.spark_partition_id())

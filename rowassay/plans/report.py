@@ -82,6 +82,7 @@ def validate(
     enforce_required: bool = True,
     check_rules: bool = True,
     stable_input: bool = False,
+    cache_input: bool = False,
 ) -> Report:
     """Check ``df`` against ``rules``.
 
@@ -91,19 +92,20 @@ def validate(
     do ("column_only"). ``references`` is one table for all reference checks, or one per name.
     A monotonic check without ``order_by`` looks rows up by scan position. Unless ``stable_input``
     promises the same order on every read, as a plain file scan gives, the numbered input is
-    checkpointed first.
+    checkpointed first. ``cache_input`` keeps the normalized input for the several passes a long
+    rule set takes, where it fits the cluster's memory and disks.
     """
     if check_rules:
         issues = R.find_issues(rules, df.schema)
         if issues:
             raise R.RuleError(issues)
     return Report(
-        df, R.complete(rules), references, row_key, order_by, row_effects, enforce_required, stable_input
+        df, R.complete(rules), references, row_key, order_by, row_effects, enforce_required, stable_input, cache_input
     )
 
 
 class Report:
-    def __init__(self, df, rules, references, row_key, order_by, row_effects, enforce_required, stable_input):
+    def __init__(self, df, rules, references, row_key, order_by, row_effects, enforce_required, stable_input, cache_input):
         self.rules = rules
         self.columns = [c for c in df.columns if c != order.ROW_ID]
         self.types = {f.name: f.dataType for f in df.schema.fields}
@@ -125,6 +127,9 @@ class Report:
         self._cardinality: list[tuple[Check, DataFrame, dict]] = []
         self._outliers: list[tuple[Check, str, dict]] = []
         self._normalize(df)
+        self._input: DataFrame | None = None
+        if cache_input:
+            self.frame = self._input = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
         self._column_checks(enforce_required)
         self._dataset_checks()
         self._reference_checks(references)
@@ -373,6 +378,8 @@ class Report:
         """Drop everything this report keeps in memory or on disk."""
         keys.release(self._tables)
         self.annotated.unpersist()
+        if self._input is not None:
+            self._input.unpersist()
         if self._metrics is not None:
             self._metrics.unpersist()
 
