@@ -347,8 +347,8 @@ def cross_field_literals(spark, sf):
 
 def _iqr(value, source):
     return f"""WITH b AS (SELECT quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.75) AS q3 FROM {source})
-    SELECT round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
-      round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
+    SELECT round(q1, 3) AS q1, round(q3, 3) AS q3, round(q3 - q1, 3) AS iqr,
+      round(q1 - 1.5 * (q3 - q1), 3) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 3) AS upper_bound,
       (SELECT count(*) FROM {source} s WHERE {value} < q1 - 1.5 * (q3 - q1) OR {value} > q3 + 1.5 * (q3 - q1)) AS outlier_count,
       true AS passed FROM b"""
 
@@ -358,12 +358,12 @@ _BOUNDS = ["q1", "q3", "iqr", "lower_bound", "upper_bound"]
 
 @query(_iqr("l_extendedprice", "lineitem"))
 def outliers_iqr_lineitem_price(spark, sf):
-    return rounded(dc.outliers_iqr_report(table(spark, sf, "lineitem"), "l_extendedprice"), *_BOUNDS)
+    return rounded(dc.outliers_iqr_report(table(spark, sf, "lineitem"), "l_extendedprice"), *_BOUNDS, digits=3)
 
 
 @query(_iqr("value", "events"))
 def outliers_iqr_events_value(spark, sf):
-    return rounded(dc.outliers_iqr_report(table(spark, sf, "events"), "value"), *_BOUNDS)
+    return rounded(dc.outliers_iqr_report(table(spark, sf, "events"), "value"), *_BOUNDS, digits=3)
 
 
 def _z(value, source, t):

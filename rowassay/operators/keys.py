@@ -30,9 +30,9 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) -> DataFrame:
     """Keys that occur more than once.
 
-    Wide keys (text, or more than four columns) are counted by a 64-bit hash first, so that only
-    rows whose hash repeats are shuffled whole. The second count is on the keys themselves, so
-    hash clashes do no harm.
+    Wide keys (text, or more than four columns) are counted by a 64-bit hash first. If few hashes
+    repeat they are broadcast, and only rows under them are shuffled whole and counted by the keys
+    themselves, so hash clashes do no harm. If many repeat, all keys are counted directly.
     """
     frame = df.select(*[col(k) for k in keys])
     if hash_first is None:
@@ -43,7 +43,11 @@ def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) ->
         suspects = (
             hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__h")
         )
-        frame = hashed.join(_hinted(suspects), "__h", "left_semi").drop("__h")
+        seen = measure([suspects], None)[0]
+        if seen.small:
+            frame = hashed.join(F.broadcast(seen.table), "__h", "left_semi").drop("__h")
+        else:
+            release([seen.table])
     return group_sizes(frame, keys).where("n > 1")
 
 
@@ -107,11 +111,6 @@ def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]
     return [Measured(t, *found[i][1:]) for i, t in enumerate(held)]
 
 
-def _hinted(table: DataFrame, weight: str | None = None) -> DataFrame:
-    seen = measure([table], weight)[0]
-    return F.broadcast(seen.table) if seen.small else seen.table
-
-
 def attach(
     df: DataFrame,
     keys: list[str],

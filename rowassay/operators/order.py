@@ -108,5 +108,5 @@ def monotonic_breaks(
     outer = edges.where(
         _breaks(F.col("__prev.__v"), F.col("__first.__v"), dtype, rising, strict)
     ).select("__first.*")
-    keep = [*by, F.col("__v").alias(value)]
+    keep = by if value in order else [*by, F.col("__v").alias(value)]
     return inner.select(*by, "__v").unionByName(outer).select(*keep)

@@ -224,18 +224,25 @@ def deduplicate(
         order_by = [order.ROW_ID]
     at = F.struct(*[col(o) for o in order_by])
     rows = df.select(*[col(c) for c in dict.fromkeys([*subset, *order_by])])
+    group = rows
     if hash_first is not False:
-        # positions are gathered only for keys known to repeat
-        rows = keys.mark(rows, subset, keys.repeated(df, subset, hash_first), "__dup").where("__dup")
+        bad = keys.measure([keys.repeated(df, subset, hash_first)])[0]
+        if bad.small:
+            # positions are gathered only for keys known to repeat
+            group = keys.mark(rows, subset, bad, "__dup").where("__dup")
     pick = F.min if keep == "first" else F.max
     kept = (
-        rows.groupBy(*[col(s) for s in subset])
+        group.groupBy(*[col(s) for s in subset])
         .agg(F.count(F.lit(1)).alias("n"), pick(at).alias("__keep"))
         .where("n > 1")
     )
-    found = keys.attach(df, subset, kept, ["__keep"])
-    single = found.where("__keep IS NULL")
-    # copies may share a position; those few rows are thinned out among themselves
-    chosen = found.where(F.col("__keep") == at).dropDuplicates(list(dict.fromkeys([*subset, *order_by])))
-    out = single.unionByName(chosen).drop("__keep")
+    seen = keys.measure([kept])[0]
+    chosen = F.col("__keep") == at
+    found = keys.attach(df, subset, seen, ["__keep"])
+    out = found.where(F.col("__keep").isNull() | chosen).drop("__keep")
+    if keys.attach(rows, subset, seen, ["__keep"]).where(chosen).count() > seen.rows:
+        # copies share a position: those rows are thinned out among themselves
+        same = list(dict.fromkeys([*subset, *order_by]))
+        single, tied = found.where("__keep IS NULL"), found.where(chosen).dropDuplicates(same)
+        out = single.unionByName(tied).drop("__keep")
     return out.drop(order.ROW_ID) if numbered else out

@@ -472,6 +472,12 @@ def test_stream_batches(spark, tmp_path, orders):
     assert got.exceptAll(want).count() == 0 and got.count() == 200
 
 
+def test_monotonic_on_the_order_column(spark):
+    df = spark.createDataFrame([(i, i) for i in (3, 1, 2)], "id int, v int")
+    rules = {"columns": [{"name": "id", "tests": [{"type": "monotonic"}]}]}
+    assert validate(df, rules, order_by=["id"]).test_results().first()["failed_count"] == 0
+
+
 def test_monotonic_needs_two_values(spark):
     df = spark.createDataFrame([(1, None), (2, "5")], "id int, v string")
     rules = {"columns": [{"name": "v", "tests": [{"type": "monotonic"}]}]}
