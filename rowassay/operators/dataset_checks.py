@@ -25,15 +25,15 @@ def duplicate_report(df: DataFrame, subset: list[str] | None = None, hash_first:
     """All copies of repeated rows, the number of groups, and the copies after the first."""
     groups = keys.repeated(df, subset or df.columns, hash_first)
     return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("duplicate_rows"),
         F.count(F.lit(1)).alias("duplicate_groups"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("surplus_rows"),
     ).withColumn("passed", F.col("duplicate_rows") == 0)
 
 
 def duplicate_examples(df: DataFrame, key_columns: list[str], limit: int = 10) -> DataFrame:
     """A few repeated keys, lowest first."""
-    return keys.repeated(df, key_columns).drop("n").orderBy(*[col(k) for k in key_columns]).limit(limit)
+    return keys.repeated(df, key_columns).drop("__n").orderBy(*[col(k) for k in key_columns]).limit(limit)
 
 
 def key_null_flag(df: DataFrame, key_columns: list[str]) -> Column:

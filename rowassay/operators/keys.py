@@ -23,8 +23,8 @@ HOT_KEYS = 1 << 16
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key with its row count ``n``; nulls are keys like any other."""
-    return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    """One row per key with its row count ``__n``; nulls are keys like any other."""
+    return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) -> DataFrame:
@@ -41,14 +41,14 @@ def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) ->
     if hash_first:
         hashed = frame.withColumn("__h", F.xxhash64(*[col(k) for k in keys]))
         suspects = (
-            hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__h")
+            hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
         )
         seen = measure([suspects], None)[0]
         if seen.small:
             frame = hashed.join(F.broadcast(seen.table), "__h", "left_semi").drop("__h")
         else:
             release([seen.table])
-    return group_sizes(frame, keys).where("n > 1")
+    return group_sizes(frame, keys).where("__n > 1")
 
 
 @dataclass
@@ -81,7 +81,7 @@ def kept() -> list[DataFrame]:
     return list(_kept)
 
 
-def measure(tables: list[DataFrame], weight: str | None = "n") -> list[Measured]:
+def measure(tables: list[DataFrame], weight: str | None = "__n") -> list[Measured]:
     """Persist key tables and measure all of them in a single job.
 
     Each is needed again by the join that follows, so the grouping behind it runs once.
@@ -117,7 +117,7 @@ def attach(
     table: DataFrame | Measured,
     payload: list[str],
     table_keys: list[str] | None = None,
-    weight: str | None = "n",
+    weight: str | None = "__n",
 ) -> DataFrame:
     """Left-join ``payload`` of a table with one row per key; null keys match null keys.
 

@@ -40,7 +40,7 @@ def bad_reference_keys(
     else:
         bad = keys.missing_keys(side, "__key", held, "__key")
     if not allow_nulls:
-        nulls = side.where(F.col("__key").isNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+        nulls = side.where(F.col("__key").isNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
         bad = bad.unionByName(nulls)
     return bad
 
@@ -48,7 +48,7 @@ def bad_reference_keys(
 def reference_report(df, column, reference, reference_column, allow_nulls=False, spec=None) -> DataFrame:
     bad = bad_reference_keys(df, column, reference, reference_column, allow_nulls, spec)
     out = bad.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("missing_count"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("missing_count"),
         F.count("__key").alias("missing_distinct"),
     )
     return out.withColumn("passed", F.col("missing_count") == 0)
@@ -57,7 +57,7 @@ def reference_report(df, column, reference, reference_column, allow_nulls=False,
 def missing_values(df, column, reference, reference_column, allow_nulls=False, spec=None, limit=100) -> DataFrame:
     """The most frequent missing values."""
     bad = bad_reference_keys(df, column, reference, reference_column, allow_nulls, spec)
-    return bad.select(F.col("__key").alias("value"), F.col("n").alias("row_count")).orderBy(
+    return bad.select(F.col("__key").alias("value"), F.col("__n").alias("row_count")).orderBy(
         F.desc("row_count"), F.asc("value")
     ).limit(limit)
 

@@ -46,7 +46,7 @@ def _missing(df: DataFrame) -> dict[str, Column]:
 def table_summary(df: DataFrame, hash_first: bool | None = None) -> DataFrame:
     """Rows, columns, cells, nulls, and copies of rows after the first."""
     nulls = reduce(Column.__add__, [F.count_if(m) for m in _missing(df).values()], F.lit(0))
-    surplus = keys.repeated(df, df.columns, hash_first).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("s"))
+    surplus = keys.repeated(df, df.columns, hash_first).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("s"))
     extra = surplus.first()[0]
     width = F.lit(len(df.columns)).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("rows"), nulls.cast("bigint").alias("nulls")).select(
@@ -76,7 +76,7 @@ def distinct_counts(df: DataFrame, approximate: bool = False, long_text: list[st
     for n, m in missing.items():
         values = df.where(~m).select(col(n))
         if n in (long_text or []):
-            surplus = keys.repeated(values, [n], hash_first=True).select((F.lit(1) - F.col("n")).alias("k"))
+            surplus = keys.repeated(values, [n], hash_first=True).select((F.lit(1) - F.col("__n")).alias("k"))
             counted = values.agg(F.count(F.lit(1)).alias("k")).unionByName(surplus)
         else:
             counted = keys.group_sizes(values, [n]).select(F.lit(1).cast("bigint").alias("k"))

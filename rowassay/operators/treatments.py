@@ -233,8 +233,8 @@ def deduplicate(
     pick = F.min if keep == "first" else F.max
     kept = (
         group.groupBy(*[col(s) for s in subset])
-        .agg(F.count(F.lit(1)).alias("n"), pick(at).alias("__keep"))
-        .where("n > 1")
+        .agg(F.count(F.lit(1)).alias("__n"), pick(at).alias("__keep"))
+        .where("__n > 1")
     )
     seen = keys.measure([kept])[0]
     chosen = F.col("__keep") == at

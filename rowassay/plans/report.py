@@ -318,7 +318,7 @@ class Report:
             return
         parts = [
             sizes.agg(
-                F.lit(i).alias("i"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("filled")
+                F.lit(i).alias("i"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("__n"), F.lit(0)).alias("filled")
             )
             for i, (_, sizes, _) in enumerate(self._cardinality)
         ]

@@ -534,3 +534,24 @@ def test_first_of_limits_inside_tasks(spark, orders):
     assert plan.count("WindowGroupLimit") >= 2
     with pytest.raises(ValueError):
         report.examples(5000)
+
+
+def test_columns_named_like_counts(spark):
+    from rowassay.operators import dataset_checks, membership, treatments
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "n int, rows string")
+    rules = {
+        "columns": [
+            {"name": "n", "tests": [{"type": "uniqueness"}, {"type": "cardinality_warning", "params": {"max": 1}}]},
+            {"name": "rows", "tests": [{"type": "uniqueness"}]},
+        ],
+        "dataset_tests": [{"type": "duplicate_rows"}],
+        "foreign_key_checks": [{"name": "fk", "dataset_column": "n", "fk_column": "n", "on_fail": LABEL}],
+    }
+    report = validate(df, rules, df.where("n = 2").select("n"), row_key=["rows"])
+    assert [r["failed_count"] for r in report.test_results().orderBy("check_id").collect()] == [2, 1, 0, 0, 2]
+    assert report.summary().first()["rows_with_errors"] == 2
+    assert dataset_checks.duplicate_report(df, ["n"]).first()["duplicate_rows"] == 2
+    assert membership.missing_values(df, "n", df.where("n = 2"), "n").first()["row_count"] == 2
+    assert sorted(r["rows"] for r in treatments.deduplicate(df, ["n"], "last", ["rows"]).collect()) == ["b", "c"]
+    assert {r["column_name"]: r["unique_count"] for r in profile.column_stats(df).collect()} == {"n": 2, "rows": 3}

@@ -31,7 +31,7 @@ def test_marks_repeated_keys_with_salt(skewed, forced):
     rows, df = skewed
     sizes = Counter(k for _, k in rows)
     bad = keys.repeated(df, ["k"])
-    assert {(r["k"], r["n"]) for r in bad.collect()} == {(k, n) for k, n in sizes.items() if n > 1}
+    assert {(r["k"], r["__n"]) for r in bad.collect()} == {(k, n) for k, n in sizes.items() if n > 1}
     marked = keys.mark(df, ["k"], bad, "dup")
     got = {(r["id"], r["k"]): r["dup"] for r in marked.collect()}
     assert got == {(i, k): sizes[k] > 1 for i, k in rows}
@@ -59,7 +59,7 @@ def test_repeated_many_columns(skewed, hash_first):
     rows, df = skewed
     wide = df.select(F.col("k"), (F.col("id") % 5).alias("m"), F.lit(1).alias("c"))
     sizes = Counter((k, i % 5, 1) for i, k in rows)
-    got = {(r["k"], r["m"], r["c"]): r["n"] for r in keys.repeated(wide, ["k", "m", "c"], hash_first).collect()}
+    got = {(r["k"], r["m"], r["c"]): r["__n"] for r in keys.repeated(wide, ["k", "m", "c"], hash_first).collect()}
     assert got == {k: n for k, n in sizes.items() if n > 1}
 
 
