@@ -135,9 +135,10 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM s),
 r AS (SELECT *, sum(source_size) OVER () * 1.5 AS budget,
     COALESCE(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under,
-    sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS over
+    sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS over,
+    row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS turn
   FROM w),
-l AS (SELECT min((budget - under)::DOUBLE / over::DOUBLE) FILTER (WHERE (budget - under)::DOUBLE / over::DOUBLE * weight <= 2 * source_size) AS level FROM r),
+l AS (SELECT arg_min((budget - under)::DOUBLE / over::DOUBLE, turn) FILTER (WHERE (budget - under)::DOUBLE / over::DOUBLE * weight <= 2 * source_size) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * weight > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target FROM r, l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowassay.session import durable
+
 #: Order of precedence is the length of the rule; (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 3
@@ -59,19 +61,19 @@ def slot_table(seen: DataFrame) -> list[int]:
     entry is a fingerprint and a fixed-point number. Of entries that share a slot the most
     frequent stays, so the table has a fixed size, whatever the data.
     """
-    whole = seen.select("accepted", F.explode(grams(F.col("text"))).alias("gram")).groupBy("accepted", "gram").agg(F.count("*").alias("n"))
+    whole = durable(seen.select("accepted", F.explode(grams(F.col("text"))).alias("gram")).groupBy("accepted", "gram").agg(F.count("*").alias("n")))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("size")
-    runs = (
+    runs = durable(
         whole.select("accepted", "gram", "n", sizes)
         .groupBy(F.expr("right(gram, size)").alias("gram"), "size")
         .agg(*[F.coalesce(F.sum(F.when(F.col("accepted") == side, F.col("n"))), F.lit(0)).alias(f"n{side}") for side in (0, 1)])
         .withColumn("context", F.expr("left(gram, size - 1)"))
     )
-    contexts = runs.groupBy("context", "size").agg(
+    contexts = durable(runs.groupBy("context", "size").agg(
         *[F.sum(f"n{side}").alias(f"c{side}") for side in (0, 1)],
         *[F.count(F.when(F.col(f"n{side}") > 0, 1)).alias(f"t{side}") for side in (0, 1)],
-    )
-    model = None
+    ))
+    model = levels = None
     for size in range(1, ORDER + 2):
         level = runs.where(F.col("size") == size).join(contexts.where(F.col("size") == size).drop("size"), "context")
         if model is None:
@@ -79,8 +81,8 @@ def slot_table(seen: DataFrame) -> list[int]:
         else:
             level = level.join(model.select(F.col("gram").alias("__short"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), F.expr("right(gram, size - 1)") == F.col("__short"))
         seen_by = {f"p{s}": F.when(F.col(f"c{s}") > 0, (F.col(f"n{s}") + F.col(f"t{s}") * F.col(f"q{s}")) / (F.col(f"c{s}") + F.col(f"t{s}"))).otherwise(F.col(f"q{s}")) for s in (0, 1)}
-        model = level.withColumns(seen_by).select("gram", "size", "n0", "n1", "p0", "p1")
-        levels = model if size == 1 else levels.unionByName(model)  # noqa: F821
+        model = durable(level.withColumns(seen_by).select("gram", "size", "n0", "n1", "p0", "p1"))
+        levels = model if size == 1 else levels.unionByName(model)
     left = [F.when(F.col(f"c{s}") > 0, F.col(f"t{s}") / (F.col(f"c{s}") + F.col(f"t{s}"))).otherwise(1.0) for s in (0, 1)]
     entries = levels.select("gram", (F.col("n0") + F.col("n1")).alias("n"), F.log(F.col("p1") / F.col("p0")).alias("d")).unionByName(
         contexts.select(F.concat(F.lit(CONTEXT), "context").alias("gram"), (F.col("c0") + F.col("c1")).alias("n"), F.log(left[1] / left[0]).alias("d"))
@@ -105,18 +107,24 @@ def score(text: Column, table: Sequence[int]) -> Column:
     """Log-likelihood difference per character: above 0 the text is more like accepted ones."""
     slots = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
-    def entry(gram: Column) -> Column:
-        v = F.get(slots, _slot(gram))
-        return F.when((v >= 0) & (F.shiftright(v, 24) == _mark(gram)), (F.pmod(v, F.lit(WIDTH)) - MIDDLE) / SCALE)
+    def keys(gram: Column) -> Column:
+        """Longest first: a run, then its context without the last character."""
+        runs = [F.right(gram, F.lit(size)) for size in range(ORDER + 1, 0, -1)]
+        return F.array(*[k for r in runs for k in (r, F.concat(F.lit(CONTEXT), F.left(r, F.length(r) - 1)))])
+
+    def decoded(key: Column, v: Column) -> Column:
+        return F.when((v >= 0) & (F.shiftright(v, 24) == _mark(key)), (F.pmod(v, F.lit(WIDTH)) - MIDDLE) / SCALE)
 
-    def longest(gram: Column) -> Column:
+    def difference(entries: Column) -> Column:
+        """The longest run that was seen, and what the contexts above it leave to shorter ones."""
         out = F.lit(0.0)
-        for size in range(1, ORDER + 2):
-            run = F.right(gram, F.lit(size))
-            out = F.coalesce(entry(run), F.coalesce(entry(F.concat(F.lit(CONTEXT), F.left(run, F.lit(size - 1)))), F.lit(0.0)) + out)
+        for at in range(2 * ORDER, -1, -2):
+            out = F.coalesce(F.get(entries, F.lit(at)), F.coalesce(F.get(entries, F.lit(at + 1)), F.lit(0.0)) + out)
         return out
 
-    found = F.transform(grams(text), longest)
+    looked_up = F.transform(grams(text), keys)
+    looked_up = F.transform(looked_up, lambda ks: F.zip_with(ks, F.transform(ks, lambda k: F.get(slots, _slot(k))), decoded))
+    found = F.transform(looked_up, difference)
     return F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.size(found)
 
 
