@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import mixing, packing, quality, url_filter
+from rowassay.llm import embedding_links, extraction, jaccard_join, mixing, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,18 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(table(spark, sf, "pages"))
+
+
+@query(embedding_links.NEAR_SQL)
+def op7_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_links.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query(jaccard_join.JOIN_SQL)
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf, "documents"))
