@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import embedding_links, extraction, jaccard_join, mixing, packing, quality, url_filter
+from rowassay.llm import embedding_links, extraction, jaccard_join, license_scan, mixing, paragraph_dedup, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op7_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
 @query(jaccard_join.JOIN_SQL)
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf, "documents"))
+
+
+@query()
+def op1_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return paragraph_dedup.dedup(table(spark, sf, "documents"))
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf, "documents"))
