@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import embedding_links, extraction, jaccard_join, license_scan, mixing, paragraph_dedup, packing, quality, url_filter
+from rowassay.llm import embedding_links, extraction, jaccard_join, license_scan, mixing, packing, paragraph_dedup, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op1_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"))
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf, "documents"))
