@@ -151,3 +151,19 @@ c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.node = w.doc_id
 """
+
+
+def one_of_each(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, all columns, without those that a smaller id of their group stands for.
+
+    Rows that share an id are one document, of which the row with the smallest text stays. Rows with
+    a null id stay. Texts move only for ids that are there more than once.
+    """
+    found = durable(join_documents(docs, least, id_column, text_column))
+    away = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__id")).distinct()
+    own = F.col(id_column).cast("long")
+    kept = docs.join(measured(durable(away)), own == F.col("__id"), "left_anti")
+    twice = measured(durable(found.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")))
+    rows = kept.join(twice, own == F.col("__id"), "left_semi")
+    first = rows.groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_column), F.xxhash64(*docs.columns))).alias("r")).select("r.*")
+    return kept.join(twice, own == F.col("__id"), "left_anti").unionByName(first)
