@@ -20,35 +20,61 @@ from rowassay.llm.shared import ranked
 from rowassay.session import durable
 
 LENGTH = 2048
-END_ID = 0
-#: Words remembered per task; the memory of a task does not grow with the data.
-REMEMBERED = 200_000
+END = np.array([0], dtype="<u4").tobytes()
+#: Words a task remembers, twice: those it has met since the last turn-over, and those before.
+REMEMBERED = 250_000
+#: Unknown words that are encoded as one text, parted by a special token.
+TOGETHER = 200
 
 
 class WordEncoder:
     """Ids of a text, word by word: the vocabulary drops white space, so words encode alone.
 
-    Words end at ASCII white space only; the tokenizer itself deals with any other.
+    Words end at ASCII white space only; the tokenizer itself deals with any other. Ids are kept as
+    little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, text: str) -> np.ndarray:
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
+        self.special = [t.encode() for t in special]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        young, old = self.young, self.old
+        new = []
+        for word in words:
+            if word in old:
+                young[word] = old[word]
+            else:
+                new.append(word)
+        alone = [w for w in new if self.mark is None or any(t in w for t in self.special)]
+        some = new if not alone else [w for w in new if w not in set(alone)]
+        for word, got in zip(alone, self.tokenizer.encode_batch([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            young[word] = np.array(got.ids, dtype="<u4").tobytes()
+        if self.mark is not None and some:
+            parts = [some[at : at + TOGETHER] for at in range(0, len(some), TOGETHER)]
+            found = self.tokenizer.encode_batch([self.mark.join(w.decode() for w in p) for p in parts], add_special_tokens=False)
+            for part, got in zip(parts, found, strict=True):
+                ids = np.array(got.ids, dtype="<u4")
+                ends = np.flatnonzero(ids == self.mark_id)
+                raw = ids.tobytes()
+                for word, first, end in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                    young[word] = raw[4 * first : 4 * end]
+
+    def ids(self, text: str) -> bytes:
         parts = text.encode().split()
-        new = [w for w in dict.fromkeys(parts) if w not in self.known]
+        new = [w for w in dict.fromkeys(parts) if w not in self.young]
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
+            if len(self.young) + len(new) > REMEMBERED:
+                self.old, self.young = self.young, {}
                 new = list(dict.fromkeys(parts))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(got.ids, dtype="<u4")
-        return np.concatenate([*map(self.known.__getitem__, parts), np.array([END_ID], dtype="<u4")])
+            self.learn(new)
+        return b"".join(map(self.young.__getitem__, parts)) + END
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -60,9 +86,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.ids(text or "")
-                for piece, start in enumerate(range(0, len(ids), length)):
-                    part = ids[start : start + length]
-                    rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes())))
+                for piece, start in enumerate(range(0, len(ids) // 4, length)):
+                    part = ids[4 * start : 4 * (start + length)]
+                    rows.append((key, piece, start, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
