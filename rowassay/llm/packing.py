@@ -11,6 +11,7 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from rowassay.session import durable
 
 LENGTH = 2048
 END = np.array([0], dtype="<u4").tobytes()
-#: Words a task remembers, twice: those it has met since the last turn-over, and those before.
+#: Words a worker remembers, twice: those it has met since the last turn-over, and those before.
 REMEMBERED = 250_000
 #: Unknown words that are encoded as one text, parted by a special token.
 TOGETHER = 200
@@ -77,11 +78,17 @@ class WordEncoder:
         return b"".join(map(self.young.__getitem__, parts)) + END
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One per Python worker, so a task starts with the words that earlier tasks have met."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. A null text is empty: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
