@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DataType
 
+from rowassay.llm.shared import sliced
 from rowassay.llm.url_filter import host_and_path
 from rowassay.session import durable
 
@@ -262,7 +263,7 @@ def places(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for host, page, reference in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = wrappers.aligned(page or "", reference)
@@ -309,7 +310,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Wrappers()
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for page, reference, template in zip(*[batch.column(c).to_pylist() for c in ("html", "reference", "template")], strict=True):
                 gone = {(x["slot"], x["text"]) for x in template or ()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rowassay.llm.links import LEAST, connect, parts_of, shingles
-from rowassay.llm.shared import components, measured, written
+from rowassay.llm.shared import components, measured, sliced, written
 from rowassay.session import durable
 
 SLOT_BITS = 20
@@ -38,7 +38,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, digests, sizes = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 items = shingles(words_of(text))
@@ -82,7 +82,7 @@ def prefixes(docs: DataFrame, slots, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = slots.value
         frequent = counts.mean() + FREQUENT
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 items = shingles(words_of(text))
@@ -102,7 +102,7 @@ def prefixes(docs: DataFrame, slots, least: int) -> DataFrame:
 
 def sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(words_of(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([parts_of(x) for x in found], pa.list_(pa.int32()))], names=["node", "items", "parts"]

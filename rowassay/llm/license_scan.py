@@ -15,6 +15,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rowassay.llm.shared import sliced
+
 #: The usual wording of public license notices.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -194,7 +196,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, coverage)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[dict(zip(("license", "start", "end", "coverage"), x, strict=True)) for x in scanner.scan(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in rows], pa.int32()), pa.array(rows, found)], names=[id_column, "n_licenses", "licenses"])
 

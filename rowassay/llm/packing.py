@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowassay.llm.shared import ranked
+from rowassay.llm.shared import ranked, sliced
 from rowassay.session import durable
 
 LENGTH = 2048
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.ids(text or "")
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str =
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             sizes = batch.column("length").to_numpy()
             ranks = batch.column("__rank").to_numpy()
             sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)

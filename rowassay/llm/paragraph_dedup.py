@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.llm.links import LEAST, connect, mixed, parts_of, shingles
-from rowassay.llm.shared import components, measured, written
+from rowassay.llm.shared import components, measured, sliced, written
 from rowassay.session import durable
 
 #: A pair at Jaccard 0.75 shares a band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.998.
@@ -59,7 +59,7 @@ def places(docs: DataFrame, least_words: int) -> DataFrame:
     """(id, digest, line, node) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             rows = [(key, digest, at, node_of(words)) for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True) for at, words in paragraphs(text, least_words)]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
@@ -71,7 +71,7 @@ def places(docs: DataFrame, least_words: int) -> DataFrame:
 def postings(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, seen = _seeds(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             found, nodes, sizes = [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 for _, words in paragraphs(text, least_words):
@@ -93,7 +93,7 @@ def postings(docs: DataFrame, least_words: int) -> DataFrame:
 
 def sets(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = {node_of(words): shingles(words) for text in batch.column(0).cast(pa.binary()).to_pylist() for _, words in paragraphs(text, least_words)}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64())), pa.array([parts_of(x) for x in found.values()], pa.list_(pa.int32()))],

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowassay.llm.shared import measured
+from rowassay.llm.shared import measured, sliced
 from rowassay.session import durable
 
 #: Labelled rows the trees are fitted on: those with the smallest hash of the id.
@@ -83,7 +83,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """One row per document: id and COUNTS, over the whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             columns = list(zip(*[counts_of(t or b"") for t in texts], strict=True)) or [[]] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=[id_column, *COUNTS])
@@ -219,7 +219,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def scorer(trees: Trees, id_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = features({c: batch.column(c).to_numpy() for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(x), pa.float64())], names=[*batch.schema.names, "score"])
 
@@ -233,7 +233,7 @@ def keep(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_col
     trees = train(statistics(examples, id_column, text_column), labels, id_column, label_column, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_column).cast(pa.binary()).to_pylist()
             found = np.array([counts_of(t or b"") for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
             counts = dict(zip(COUNTS, found.T, strict=True))

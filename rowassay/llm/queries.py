@@ -70,9 +70,11 @@ def op1_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf, "documents"))
+    found = license_scan.scan_licenses(table(spark, sf, "documents"))
+    names = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"]))
+    return found.select("doc_id", "n_licenses", F.array_join(names, " ").alias("licenses"), F.array_min(F.transform("licenses", lambda x: x["coverage"])).alias("least_coverage"))
 
 
 @query()
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf, "documents"))
+    return suffix_dedup.dedup(table(spark, sf, "documents")).drop("spans")
