@@ -10,7 +10,6 @@ from rowassay.operators.order import ROW_ID, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-GROWING = ("customer", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
 def query(sql: str | None = None):
@@ -24,18 +23,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in GROWING else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that is scanned by fewer tasks than there are cores.
-
-    The small test files hold one row group each, which a single task must read. Tables with
-    enough scan tasks stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # Views with injected faults, in SQL both dialects read alike.
@@ -93,8 +81,8 @@ dirty_lines = _view(DIRTY_LINES, "lineitem")
 
 
 def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Dirty lines with row numbers from the scan itself, taken before rows are spread."""
-    source = spread(with_row_id(spark.read.parquet(f"{sf}/lineitem.parquet")))
+    """Dirty lines with row numbers from the scan itself."""
+    source = with_row_id(table(spark, sf, "lineitem"))
     sql = DIRTY_LINES.format(**_SPARK).replace("SELECT l_orderkey", f"SELECT {ROW_ID}, l_orderkey")
     return spark.sql(sql.replace("FROM lineitem", "FROM {source}"), source=source)
 

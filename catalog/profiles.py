@@ -292,7 +292,7 @@ def written_outputs_orders(spark, sf):
     report = validate(dirty_orders(spark, sf), ACTION_RULES, held, row_key=["o_orderkey"])
     path = scratch_path(spark, "outputs")
     parts = [
-        csv_source.read_csv(spark, f"{path}/{name}", encoding="utf-8").rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        csv_source.read_csv(spark, f"{path}/{name}", encoding="utf-8").rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name.removeprefix("named/")).alias("name"), "n")
         for name in sinks.write_outputs(report.split(), path)
     ]
     out = parts[0]

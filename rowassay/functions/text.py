@@ -33,11 +33,13 @@ def is_missing(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def as_text(c: Column, dtype: T.DataType | None = None) -> Column:
-    """The value as text; a floating NaN is missing, so it becomes null."""
+    """The value as text; a floating NaN is missing, so it becomes null. Decimals end without zeros."""
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), float_text(c))
+    if isinstance(dtype, T.DecimalType) and dtype.scale:
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     return c.cast("string")
@@ -112,16 +114,32 @@ def java_regex(pattern: str) -> str | None:
         re.compile(pattern)
     except re.error:
         return None
-    out = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", out).replace(r"\Z", r"\z")
-    # Java reads "[" and "&&" inside a character class as set operators.
-    out = re.sub(
-        r"\[(\^?\]?(?:\\.|[^\]\\])*)\]",
-        lambda m: "["
-        + re.sub(r"\\.|\[|&&", lambda t: {"[": r"\[", "&&": r"&\&"}.get(t[0], t[0]), m[1])
-        + "]",
-        out,
-    )
-    # d: only LF ends a line, as in Python; U: \d \w \s \b cover all of Unicode.
-    flags = "(?dU)" if re.search(r"\\[dDwWsSbB]", out) else "(?d)"
-    return f"{flags}^(?:{out})"
+    out: list[str] = []
+    at, inside, unicode_class = 0, False, False
+    while at < len(pattern):
+        ch = pattern[at]
+        named = None if inside else re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))").match(pattern, at)
+        if ch == "\\":
+            escape = pattern[at : at + 2]
+            unicode_class |= escape[1] in "dDwWsSbB"
+            out.append("\\z" if escape == "\\Z" and not inside else escape)
+            at += 2
+        elif named:
+            out.append(f"(?<{named[1]}>" if named[1] else f"\\k<{named[2]}>")
+            at = named.end()
+        elif inside:
+            # Java reads "[" and "&&" inside a character class as set operators.
+            out.append({"[": "\\[", "&": "\\&"}.get(ch, ch))
+            inside = ch != "]"
+            at += 1
+        elif ch == "[":
+            opening = re.compile(r"\[\^?\]?").match(pattern, at)[0]
+            out.append(opening.replace("]", "\\]"))
+            inside = True
+            at += len(opening)
+        else:
+            out.append(ch)
+            at += 1
+    # d: only LF ends a line, as in Python; U: \d \w \s \b cover all of Unicode; u: so does (?i).
+    flags = ("U" if unicode_class else "") + ("u" if re.compile(pattern).flags & re.IGNORECASE or "(?i" in pattern else "")
+    return f"(?d{flags})^(?:{''.join(out)})"

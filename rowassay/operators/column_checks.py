@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions import dates, numbers, presets
@@ -120,12 +122,12 @@ def pattern(c, dtype, params, declared):
     return ~text.rlike(java)
 
 
+@lru_cache(maxsize=1000)
 def _java_compiles(java: str) -> bool:
-    from pyspark.sql import SparkSession
-
+    """Tried on one row, as sessions without a JVM at hand can."""
     try:
-        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(java)
-    except Exception:
+        SparkSession.builder.getOrCreate().range(1).select(F.lit("").rlike(java)).collect()
+    except PySparkException:
         return False
     return True
 

@@ -19,7 +19,8 @@ from rowassay.functions.text import col
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 48 << 20
 ROWS_PER_SALT = 1_000_000
-HOT_KEYS = 1 << 16
+# Rows are counted by slots of the key's hash; their number bounds what is broadcast.
+SLOTS = 1 << 16
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,7 +28,9 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) -> DataFrame:
+def repeated(
+    df: DataFrame, keys: list[str], hash_first: bool | None = None, held: list[DataFrame] | None = None
+) -> DataFrame:
     """Keys that occur more than once.
 
     Wide keys (text, or more than four columns) are counted by a 64-bit hash first. If few hashes
@@ -43,11 +46,11 @@ def repeated(df: DataFrame, keys: list[str], hash_first: bool | None = None) ->
         suspects = (
             hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
         )
-        seen = measure([suspects], None)[0]
+        seen = measure([suspects], None, held)[0]
         if seen.small:
             frame = hashed.join(F.broadcast(seen.table), "__h", "left_semi").drop("__h")
         else:
-            release([seen.table])
+            seen.table.unpersist()
     return group_sizes(frame, keys).where("__n > 1")
 
 
@@ -66,32 +69,31 @@ class Measured:
         return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
 
 
-_kept: list[DataFrame] = []
+_unowned: list[DataFrame] = []
 
 
 def release(tables: list[DataFrame] | None = None) -> None:
-    """Drop persisted key tables: the given ones, or all that are left."""
-    for t in list(_kept) if tables is None else tables:
+    """Drop persisted key tables: the given ones, or those of operators used without a report."""
+    for t in _unowned if tables is None else tables:
         t.unpersist()
-        if any(k is t for k in _kept):
-            _kept[:] = [k for k in _kept if k is not t]
-
+    if tables is None:
+        _unowned.clear()
 
-def kept() -> list[DataFrame]:
-    return list(_kept)
 
-
-def measure(tables: list[DataFrame], weight: str | None = "__n") -> list[Measured]:
+def measure(
+    tables: list[DataFrame], weight: str | None = "__n", held: list[DataFrame] | None = None
+) -> list[Measured]:
     """Persist key tables and measure all of them in a single job.
 
-    Each is needed again by the join that follows, so the grouping behind it runs once.
+    Each is needed again by the join that follows, so the grouping behind it runs once. ``held``
+    is the owner's list of what to release.
     """
     if not tables:
         return []
-    held = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
-    _kept.extend(held)
+    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    (_unowned if held is None else held).extend(kept)
     parts = []
-    for i, t in enumerate(held):
+    for i, t in enumerate(kept):
         width = sum(
             (F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
              if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16))
@@ -108,7 +110,22 @@ def measure(tables: list[DataFrame], weight: str | None = "__n") -> list[Measure
             )
         )
     found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
-    return [Measured(t, *found[i][1:]) for i, t in enumerate(held)]
+    return [Measured(t, *found[i][1:]) for i, t in enumerate(kept)]
+
+
+def hot_slots(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(__slot, __salts) of hash slots that hold far more rows than the mean one: at most SLOTS rows.
+
+    Any key of the table counts, matched or not, and nulls like any other value.
+    """
+    sizes = df.groupBy(slot_of([col(k) for k in keys]).alias("__slot")).agg(F.count(F.lit(1)).alias("__c"))
+    total = sizes.agg(F.sum("__c")).first()[0] or 0
+    surplus = F.col("__c") - F.lit(total // SLOTS)
+    return sizes.where(surplus > ROWS_PER_SALT).select("__slot", F.ceil(surplus / ROWS_PER_SALT).cast("int").alias("__salts"))
+
+
+def slot_of(keys: list[Column]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
 
 
 def attach(
@@ -137,33 +154,32 @@ def attach(
     spare = [*names, "__w"]
     if seen.small:
         side = F.broadcast(side)
-    elif seen.top > ROWS_PER_SALT:
-        # At most HOT_KEYS rows by construction; any other key owns fewer than 1/HOT_KEYS of all.
-        hot = F.broadcast(
-            side.where(F.col("__w") > ROWS_PER_SALT)
-            .orderBy(F.desc("__w"))
-            .limit(HOT_KEYS)
-            .groupBy(F.xxhash64(*names).alias("__h"))
-            .agg(F.ceil(F.max("__w") / ROWS_PER_SALT).cast("int").alias("__s"))
-        )
-        salts = F.coalesce(F.col("__s"), F.lit(1))
+    else:
+        hot = F.broadcast(hot_slots(df, keys))
+        salts = F.coalesce(F.col("__salts"), F.lit(1))
         side = (
-            side.withColumn("__h", F.xxhash64(*names))
-            .join(hot, "__h", "left")
+            side.withColumn("__slot", slot_of([F.col(n) for n in names]))
+            .join(hot, "__slot", "left")
             .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-            .drop("__h", "__s")
+            .drop("__slot", "__salts")
         )
+        # a salt follows from the row and its partition, so a task that runs again deals alike
+        deal = F.xxhash64(*[col(c) for c in df.columns if _hashable(df.schema[c].dataType)], F.spark_partition_id())
         df = (
-            df.withColumn("__h", F.xxhash64(*[col(k) for k in keys]))
-            .join(hot, "__h", "left")
-            .withColumn("__rowsalt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
-            .drop("__h", "__s")
+            df.withColumn("__slot", slot_of([col(k) for k in keys]))
+            .join(hot, "__slot", "left")
+            .withColumn("__rowsalt", F.pmod(deal, salts).cast("int"))
+            .drop("__slot", "__salts")
         )
         match.append(F.col("__rowsalt") == F.col("__salt"))
         spare += ["__rowsalt", "__salt"]
     return df.join(side, reduce(Column.__and__, match), "left").drop(*spare)
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def mark(
     df: DataFrame, keys: list[str], bad: DataFrame | Measured, flag: str, table_keys: list[str] | None = None
 ) -> DataFrame:
@@ -174,14 +190,16 @@ def mark(
     return marked.withColumn(flag, F.coalesce(col(flag), F.lit(False)))
 
 
-def missing_keys(df: DataFrame, key: str, reference: DataFrame, reference_key: str) -> DataFrame:
+def missing_keys(
+    df: DataFrame, key: str, reference: DataFrame, reference_key: str, owner: list[DataFrame] | None = None
+) -> DataFrame:
     """Non-null keys of ``df``, with their row counts, that the reference does not hold.
 
     A small reference is broadcast and only the missing rows are grouped. Otherwise both sides are
     reduced to one row per key before they meet, so no key can be hot.
     """
     held = reference.select(col(reference_key).alias("__r")).where("__r IS NOT NULL").distinct()
-    seen = measure([held], None)[0]
+    seen = measure([held], None, owner)[0]
     present = df.where(col(key).isNotNull()).select(col(key))
     absent = col(key) == F.col("__r")
     if seen.small:

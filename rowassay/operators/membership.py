@@ -26,6 +26,7 @@ def bad_reference_keys(
     reference_column: str,
     allow_nulls: bool = False,
     spec: dict | None = None,
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Distinct failing keys with their row counts; a disallowed null is one of them.
 
@@ -34,11 +35,11 @@ def bad_reference_keys(
     """
     kind, held_kind = df.schema[column].dataType, reference.schema[reference_column].dataType
     side = df.select(key_text(col(column), kind, spec).alias("__key"))
-    held = reference.select(key_text(col(reference_column), held_kind, spec).alias("__key"))
+    known = reference.select(key_text(col(reference_column), held_kind, spec).alias("__key"))
     if spec is None and isinstance(kind, T.StringType) != isinstance(held_kind, T.StringType):
         bad = keys.group_sizes(side.where("__key IS NOT NULL"), ["__key"])
     else:
-        bad = keys.missing_keys(side, "__key", held, "__key")
+        bad = keys.missing_keys(side, "__key", known, "__key", held)
     if not allow_nulls:
         nulls = side.where(F.col("__key").isNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
         bad = bad.unionByName(nulls)

@@ -10,8 +10,6 @@ from rowassay.functions.text import col, is_missing
 from rowassay.session import durable
 
 ROW_ID = "__row_id"
-# Up to this many values are compared in one slice.
-ONE_SLICE = 500_000
 # 2**18 rows per slice
 _SLICE_BITS = 18
 
@@ -46,11 +44,10 @@ def dense_row_id(df: DataFrame, row_id: str = ROW_ID, name: str = "__row_no") ->
 def first_of(df: DataFrame, groups: list[str], by: list[Column], limit: int) -> DataFrame:
     """The first rows of each group with their ``rank``.
 
-    Spark applies a rank limit of up to 1000 inside each task before the shuffle, so a group of
-    any size sends only its candidates.
+    Spark applies a rank limit of up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold) inside
+    each task before the shuffle, so a group of any size sends only its candidates. A higher limit
+    needs that setting raised to stay as cheap.
     """
-    if limit > 1000:
-        raise ValueError("at most 1000 rows per group")
     window = W.partitionBy(*groups).orderBy(*by)
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
@@ -60,8 +57,6 @@ def _sliced(df: DataFrame, order: list[str]) -> DataFrame:
     if order == [ROW_ID]:
         # ids count up within an input partition, so their upper bits are runs of rows in order
         return df.withColumn("__slice", F.shiftright(col(ROW_ID), _SLICE_BITS))
-    if df.count() <= ONE_SLICE:
-        return df.withColumn("__slice", F.lit(0))
     # Range bounds come from a sample, so the split is written down before it is used twice.
     return durable(
         df.repartitionByRange(*[col(o) for o in order]).withColumn("__slice", F.spark_partition_id())

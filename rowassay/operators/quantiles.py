@@ -13,8 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Up to this many values Spark's own exact percentile is used.
-SMALL = 20_000
 # An interval is ranked once it holds at most this many values.
 RANKED = 1_000_000
 _MARGIN, _ACCURACY = 3e-4, 10_000
@@ -41,13 +39,13 @@ class Interval:
         return inside
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: list[float], small: int = SMALL, ranked: int = RANKED):
+def exact_quantiles(df: DataFrame, value: Column, probs: list[float], ranked: int = RANKED):
     """Quantiles of the non-null values, as scalars; None where there are no values."""
-    return quantiles_of(df, [value], probs, small, ranked)[0]
+    return quantiles_of(df, [value], probs, ranked)[0]
 
 
 def quantiles_of(
-    df: DataFrame, values: list[Column], probs: list[float], small: int = SMALL, ranked: int = RANKED
+    df: DataFrame, values: list[Column], probs: list[float], ranked: int = RANKED
 ) -> list[list[float | None]]:
     """Quantiles of several columns; every pass serves all of them."""
     names = [f"x{i}" for i in range(len(values))]
@@ -55,13 +53,7 @@ def quantiles_of(
     asks = [F.struct(F.count(n), _around(F.col(n), probs)).alias(n) for n in names]
     seen = frame.agg(*asks).first()
     out: list[list[float | None]] = [[None] * len(probs) for _ in values]
-    few = [i for i, s in enumerate(seen) if 0 < s[0] <= small]
-    if few:
-        wanted = F.array(*[F.lit(p) for p in probs])
-        got = frame.agg(*[F.percentile(names[i], wanted).alias(names[i]) for i in few]).first()
-        for i, found in zip(few, got):
-            out[i] = list(found)
-    many = [i for i, s in enumerate(seen) if s[0] > small]
+    many = [i for i, s in enumerate(seen) if s[0]]
     open_, guesses = {}, {}
     for i in many:
         n, around = seen[i]

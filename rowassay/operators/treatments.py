@@ -17,6 +17,9 @@ from rowassay.plans.rules import LONG_NULL_TOKENS
 # A mapping longer than this is joined as a table instead of being written into the expression.
 MAPPING_LITERALS = 200
 
+# Of integer columns after numeric_cleanup.
+WIDE = "decimal(38,9)"
+
 Treatment = Callable[[Column, T.DataType, dict, str], Column]
 VALUE_TREATMENTS: dict[str, Treatment] = {}
 
@@ -62,7 +65,8 @@ def remove_punctuation(c, dtype, params, declared):
 
 @register("numeric_cleanup")
 def numeric_cleanup(c, dtype, params, declared):
-    """Text of a plain number. With ``set_null`` the column becomes numeric."""
+    """Text of a plain number. With ``set_null`` the column becomes numeric: double, or for a
+    declared integer a decimal that keeps fractions and 29 digits before the point."""
     given = as_text(c, dtype)
     clean = strip(given)
     if params.get("parentheses_as_negative", True):
@@ -76,7 +80,7 @@ def numeric_cleanup(c, dtype, params, declared):
     part = F.when(clean.contains("."), numbers.to_double(clean))
     if params.get("on_parse_error", "keep") == "set_null":
         if declared == "integer":
-            return F.coalesce(whole.try_cast("bigint"), part.try_cast("bigint"))
+            return F.coalesce(whole, F.when(part.isNotNull(), F.translate(clean, "_", ""))).try_cast(WIDE)
         return F.coalesce(whole.try_cast("double"), part)
     return F.coalesce(whole, tx.float_text(part), given)
 
@@ -102,25 +106,31 @@ def date_coerce(c, dtype, params, declared):
     return shown if params.get("on_parse_error", "keep") == "set_null" else F.coalesce(shown, given)
 
 
-def _mapping(params: dict) -> tuple[dict[str, str], bool]:
+def _mapping(params: dict) -> dict[str, str]:
     loose = params.get("case_insensitive", True)
     pairs = {}
     for k, v in (params.get("mapping") or {}).items():
         k = str(k).strip()
         pairs[k.lower() if loose else k] = None if v is None else str(v)
-    return pairs, loose
+    return pairs
 
 
-@register("categorical_standardize")
-def categorical_standardize(c, dtype, params, declared):
+def _looked_up(c: Column, dtype: T.DataType, params: dict) -> tuple[Column, Column]:
+    """The text that stays where the mapping is silent, and the key it is looked up by."""
     given = as_text(c, dtype)
     if params.get("zip_left_pad_zeros"):
         short = strip(given).rlike(r"^\d{1,4}$")
         given = F.when(short, F.lpad(strip(given), 5, "0")).otherwise(given)
-    pairs, loose = _mapping(params)
+    loose = params.get("case_insensitive", True)
+    return given, F.lower(strip(given)) if loose else strip(given)
+
+
+@register("categorical_standardize")
+def categorical_standardize(c, dtype, params, declared):
+    given, key = _looked_up(c, dtype, params)
+    pairs = _mapping(params)
     if not pairs:
         return given
-    key = F.lower(strip(given)) if loose else strip(given)
     literal = F.create_map(*[F.lit(x).cast("string") for pair in pairs.items() for x in pair])
     return F.when(F.map_contains_key(literal, key), F.element_at(literal, key)).otherwise(given)
 
@@ -130,10 +140,9 @@ def categorical_standardize(c, dtype, params, declared):
 
 def map_by_table(df: DataFrame, column: str, params: dict) -> DataFrame:
     """``categorical_standardize`` for long mappings: one left join on the distinct key."""
-    pairs, loose = _mapping(params)
-    given = as_text(col(column), df.schema[column].dataType)
-    table = df.sparkSession.createDataFrame(list(pairs.items()), "__from string, __to string")
-    keyed = df.withColumn("__from", F.lower(strip(given)) if loose else strip(given))
+    given, key = _looked_up(col(column), df.schema[column].dataType, params)
+    table = df.sparkSession.createDataFrame(list(_mapping(params).items()), "__from string, __to string")
+    keyed = df.withColumn("__from", key)
     joined = keys.attach(
         keyed, ["__from"], table.withColumn("__hit", F.lit(True)), ["__to", "__hit"], weight=None
     )
@@ -188,15 +197,6 @@ def calculation(operands: list[tuple[Column, T.DataType]], params: dict) -> Colu
     return out
 
 
-def custom_calculation(df: DataFrame, column: str, params: dict) -> DataFrame:
-    """Write the result into ``column``; nothing happens if an operand is absent."""
-    names = params.get("operand_columns") or []
-    if not names or any(n not in df.columns for n in names):
-        return df
-    out = calculation([(col(n), df.schema[n].dataType) for n in names], params)
-    return df if out is None else df.withColumn(column, out)
-
-
 def deduplicate(
     df: DataFrame,
     subset: list[str] | None = None,
@@ -212,6 +212,8 @@ def deduplicate(
     is sorted in one task. Without ``order_by`` rows are numbered in scan order; unless
     ``stable_input`` promises the same order on every read, the numbered rows are checkpointed.
     """
+    if keep not in ("first", "last", False):
+        raise ValueError(f"keep must be 'first', 'last' or False, not {keep!r}")
     if keep is False:
         bad = keys.repeated(df, subset or df.columns, hash_first)
         return keys.mark(df, subset or df.columns, bad, "__dup").where("NOT __dup").drop("__dup")

@@ -8,7 +8,8 @@ DataFrame; counts alone need no join.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,6 +23,8 @@ from rowassay.operators.normalize import normalized
 from rowassay.operators.quantiles import quantiles_of
 from rowassay.plans import rules as R
 
+# Tells rows at one position of order_by apart.
+TIE = "__tie"
 ERRORS, ERROR_COUNT, STATUS = "__dq_errors__", "__dq_error_count__", "__dq_status__"
 
 # What a row label says for each failed test; other tests give their own name.
@@ -121,10 +124,12 @@ class Report:
                 t["type"] == "monotonic" for c in rules["columns"] for t in c["tests"]
             )
             df = order.with_row_id(df, settle=looked_up and not stable_input)
-        before = keys.kept()
+        self._tables: list[DataFrame] = []
         self._row_flags: dict[str, Column] = {}
         self._key_checks: list[tuple[Check, list[str], DataFrame, list[str] | None]] = []
-        self._cardinality: list[tuple[Check, DataFrame, dict]] = []
+        # checks of repeated keys by key list, each with what excuses a row
+        self._key_lists: dict[tuple[str, ...], list[tuple[Check, Column | None]]] = {}
+        self._cardinality: list[tuple[Check, str, Column, dict]] = []
         self._outliers: list[tuple[Check, str, dict]] = []
         self._normalize(df)
         self._input: DataFrame | None = None
@@ -133,12 +138,12 @@ class Report:
         self._column_checks(enforce_required)
         self._dataset_checks()
         self._reference_checks(references)
+        self._measure_keys()
         self._settle_cardinality()
         self._settle_outliers()
         self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
         self.annotated = self._mark_keys(self.flagged)
         self._metrics: DataFrame | None = None
-        self._tables = [t for t in keys.kept() if not any(t is b for b in before)]
 
     # --- compiling -------------------------------------------------------------------------
 
@@ -195,24 +200,30 @@ class Report:
             fails = column_checks.fails(check.test, col(value), dtype, params, declared)
             self._row_flags[check.flag] = fails
         elif check.test == "uniqueness":
-            check.flags = True
-            kept = self.frame.where(~missing) if params.get("allow_nulls", True) else self.frame
-            self._key_checks.append((check, [value], keys.repeated(kept, [value]), None))
+            self._repeated(check, [value], missing if params.get("allow_nulls", True) else None)
         elif check.test == "monotonic":
             check.flags = True
+            at = self.order_by if order.ROW_ID in self.order_by else [*self.order_by, TIE]
+            if TIE in at and TIE not in self.frame.columns:
+                self.frame = self.frame.withColumn(TIE, F.xxhash64(*[col(c) for c in self.columns]))
             bad = order.monotonic_breaks(
                 self.frame.where(~missing),
                 value,
-                self.order_by,
+                at,
                 params.get("direction", "increasing"),
                 bool(params.get("strict", False)),
             )
-            bad = keys.group_sizes(bad, self.order_by)
+            if TIE in at:  # rows equal in every column are marked alike, and all of them count
+                spots = bad.select(*[col(a).alias(f"__b{i}") for i, a in enumerate(at)]).distinct()
+                same = [col(a).eqNullSafe(F.col(f"__b{i}")) for i, a in enumerate(at)]
+                rows = self.frame.select(*[col(a) for a in dict.fromkeys(at)])
+                bad = keys.group_sizes(rows.join(spots, reduce(Column.__and__, same), "left_semi"), at)
+            else:
+                bad = keys.group_sizes(bad, at)
             check.details = {"values": F.count_if(~missing)}
-            self._key_checks.append((check, self.order_by, bad, None))
+            self._key_checks.append((check, at, bad, None))
         elif check.test == "cardinality_warning":
-            sizes = keys.group_sizes(self.frame.where(~missing), [value])
-            self._cardinality.append((check, sizes, params))
+            self._cardinality.append((check, value, missing, params))
         else:
             check.passed, check.note = False, f"unknown test {check.test}"
 
@@ -270,9 +281,10 @@ class Report:
             else:
                 check.passed, check.note = False, f"unknown test {test}"
 
-    def _repeated(self, check: Check, names: list[str]) -> None:
+    def _repeated(self, check: Check, names: list[str], excused: Column | None = None) -> None:
+        """All checks of one list of keys share a grouping and a join."""
         check.flags = True
-        self._key_checks.append((check, names, keys.repeated(self.frame, names), None))
+        self._key_lists.setdefault(tuple(names), []).append((check, excused))
 
     def _reference_checks(self, references) -> None:
         for f in self.rules["foreign_key_checks"]:
@@ -302,7 +314,7 @@ class Report:
             spec = (self.by_name.get(column) or {}).get("normalization")
             value = self.view[column]
             bad = membership.bad_reference_keys(
-                self.frame, value, table, f["fk_column"], f["allow_nulls"], spec
+                self.frame, value, table, f["fk_column"], f["allow_nulls"], spec, self._tables
             )
             lookup = f"__l{check.id}"
             self.frame = self.frame.withColumn(
@@ -313,17 +325,28 @@ class Report:
     # --- settling what needs the whole table -------------------------------------------------
 
     def _settle_cardinality(self) -> None:
-        """Distinct counts of all such checks, in one job."""
+        """Distinct counts of all such checks, in one job, or from the repeated keys where those
+        are known: the values that are there, less the surplus of each repeated one."""
         if not self._cardinality:
             return
-        parts = [
-            sizes.agg(
-                F.lit(i).alias("i"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("__n"), F.lit(0)).alias("filled")
-            )
-            for i, (_, sizes, _) in enumerate(self._cardinality)
-        ]
+        parts = []
+        for i, (_, value, missing, params) in enumerate(self._cardinality):
+            filled = self.frame.where(~missing)
+            if params.get("approximate"):
+                distinct = F.approx_count_distinct(col(value), 0.01)
+                got = filled.agg(F.lit(i).alias("i"), distinct.alias("distinct"), F.count(F.lit(1)).alias("filled"))
+            elif (value,) in self._shared:
+                more = self._shared[value,].table.where(~missing).select((F.lit(1) - F.col("__n")).alias("d"), F.lit(0).cast("bigint").alias("f"))
+                one = F.lit(1).cast("bigint")
+                got = filled.select(one.alias("d"), one.alias("f")).unionByName(more)
+                got = got.agg(F.lit(i).alias("i"), F.coalesce(F.sum("d"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("f"), F.lit(0)).alias("filled"))
+            else:
+                got = keys.group_sizes(filled, [value]).agg(
+                    F.lit(i).alias("i"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("__n"), F.lit(0)).alias("filled")
+                )
+            parts.append(got)
         for r in reduce(DataFrame.unionByName, parts).collect():
-            check, _, params = self._cardinality[r["i"]]
+            check, _, _, params = self._cardinality[r["i"]]
             check.passed, check.note = cardinality_verdict(r["distinct"], r["filled"], params)
             check.settled_count = 0 if check.passed else 1
 
@@ -356,14 +379,34 @@ class Report:
         check.details = {k: F.lit(v).cast("double") for k, v in shown.items()}
         check.details["outlier_count"] = F.count_if(flag)
 
-    def _mark_keys(self, frame: DataFrame) -> DataFrame:
-        """Measure the failing keys of all set checks in one job, then mark their rows.
+    def _measure_keys(self) -> None:
+        """Failing keys of all set checks: one grouping per key list, all measured in one job.
 
         The counts are known from here on; a check without failing keys adds no join.
         """
-        measured = keys.measure([bad for _, _, bad, _ in self._key_checks])
-        for (check, names, _, table_keys), seen in zip(self._key_checks, measured):
+        lists = [keys.repeated(self.frame, list(names), held=self._tables) for names in self._key_lists]
+        measured = keys.measure([*lists, *[bad for _, _, bad, _ in self._key_checks]], held=self._tables)
+        self._shared = dict(zip(self._key_lists, measured))
+        self._seen = measured[len(lists):]
+        for (check, *_), seen in zip(self._key_checks, self._seen):
             check.settled_count = seen.total
+        excused = [(check, names, x) for names, checks in self._key_lists.items() for check, x in checks]
+        asks = [
+            self._shared[names].table.where(~x).agg(F.lit(i).alias("i"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
+            for i, (_, names, x) in enumerate(excused) if x is not None and self._shared[names].rows
+        ]
+        less = {r["i"]: r["n"] for r in reduce(DataFrame.unionByName, asks).collect()} if asks else {}
+        for i, (check, names, _) in enumerate(excused):
+            check.settled_count = less.get(i, self._shared[names].total)
+
+    def _mark_keys(self, frame: DataFrame) -> DataFrame:
+        """Mark the rows of failing keys, once per key list."""
+        for i, (names, checks) in enumerate(self._key_lists.items()):
+            shared = f"__r{i}"
+            frame = keys.mark(frame, list(names), self._shared[names], shared)
+            flags = {check.flag: col(shared) if x is None else col(shared) & ~x for check, x in checks}
+            frame = frame.withColumns(flags).drop(shared)
+        for (check, names, _, table_keys), seen in zip(self._key_checks, self._seen):
             frame = keys.mark(frame, names, seen, check.flag, table_keys)
         return frame
 
@@ -377,6 +420,7 @@ class Report:
     def release(self) -> None:
         """Drop everything this report keeps in memory or on disk."""
         keys.release(self._tables)
+        self._tables.clear()
         self.annotated.unpersist()
         if self._input is not None:
             self._input.unpersist()
@@ -618,10 +662,8 @@ class Report:
                 ),
             )
 
-        acting = self._acting()
-        if not acting:
-            raise ValueError("no check in these rules flags cells")
-        found = F.array_compact(F.array(*[entry(c) for c in acting]))
+        kind = "array<struct<scope: string, column_name: string, value: string, test: string, message: string, severity: string>>"
+        found = F.array_compact(F.array(*[entry(c) for c in self._acting()])).cast(kind)
         return (
             self.annotated.where(self._failed())
             .select(*[col(k) for k in self.row_key], F.explode(found).alias("__e"))
@@ -685,12 +727,14 @@ class Report:
             ]
         )
         names = [col(n) for n in self.columns]
-        quarantine = self.annotated.where(having("quarantine_row")).select(*names)
+        hits = {"quarantine": having("quarantine_row")}
+        quarantine = self.annotated.where(hits["quarantine"]).select(*names)
         named = {}
         for name in dict.fromkeys(c.quarantine for c in acting if c.action == "quarantine_row" and c.quarantine):
             hit = any_of([col(c.flag) for c in acting if c.action == "quarantine_row" and c.quarantine == name])
             named[name] = self.annotated.where(hit).select(*names)
-        return Outputs(clean, quarantine, named)
+            hits[f"named/{name}"] = hit
+        return Outputs(clean, quarantine, named, self.annotated, hits)
 
     def wants_labels(self) -> bool:
         """Whether any policy asks for labeled output."""
@@ -712,6 +756,23 @@ class Outputs:
     clean: DataFrame
     quarantine: DataFrame
     named: dict[str, DataFrame]
+    flagged: DataFrame  # the rows all sets are taken from
+    hits: dict[str, Column]  # which of them go to a set
+
+    @contextmanager
+    def held(self) -> Iterator[None]:
+        """Keeps the flagged rows while several sets are taken from them."""
+        kept = self.flagged.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield
+        finally:
+            kept.unpersist()
+
+    def sizes(self) -> dict[str, int]:
+        """Rows of every quarantine, in one pass."""
+        if not self.hits:
+            return {}
+        return self.flagged.agg(*[F.count_if(hit).alias(name) for name, hit in self.hits.items()]).first().asDict()
 
 
 def cardinality_verdict(distinct: int, filled: int, params: dict) -> tuple[bool, str | None]:

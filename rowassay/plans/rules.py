@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from datetime import date, datetime
+from functools import lru_cache
+
+from pyspark.sql import SparkSession, functions as F, types as T
+
+from rowassay.functions import dates
 
 # Names and defaults a rule set may use.
 DATA_TYPES = ["text", "string", "boolean", "integer", "float", "date", "timestamp"]
@@ -96,6 +101,15 @@ def _policy(p: dict | None) -> dict:
     }
 
 
+@lru_cache(maxsize=1000)
+def _readable(bound) -> bool:
+    """Whether a window bound is a date, by the reader that the check uses."""
+    if isinstance(bound, (date, datetime)):
+        return True
+    row = SparkSession.builder.getOrCreate().range(1).select(dates.guess(F.lit(str(bound))).isNotNull().alias("ok")).first()
+    return row["ok"]
+
+
 def find_issues(rules: dict, schema: T.StructType | None = None) -> list[str]:
     """Everything wrong with a rule set; with a schema also what the table cannot satisfy."""
     rules = complete(rules)
@@ -134,6 +148,11 @@ def find_issues(rules: dict, schema: T.StructType | None = None) -> list[str]:
                 formats = t["params"].get("accepted_input_formats")
                 if t["params"].get("mode") == "robust" and not (isinstance(formats, list) and formats):
                     issues.append(f"{where}.date_rule: robust mode needs accepted_input_formats")
+            if t["type"] == "date_window":
+                for bound in ("min_date", "not_before", "max_date", "not_after"):
+                    given = t["params"].get(bound)
+                    if given not in (None, "") and not _readable(given):
+                        issues.append(f"{where}.date_window: cannot read {bound} {given!r}")
         for r in c["remediation"]:
             if r["type"] not in TREATMENTS:
                 issues.append(f"{where}: unknown treatment {r['type']!r}")

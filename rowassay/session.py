@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ def build_session(app: str = "rowassay", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -24,28 +26,32 @@ def build_session(app: str = "rowassay", master: str | None = None, **conf: str)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
-
-    Only a local session without such a folder gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage with a reliable checkpoint in the folder the cluster names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="rowassay-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or where the context keeps checkpoints.
+
+    Only a session of one local process may go without: it gets a folder that goes with it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] == "local":
+            return _own_folder().name
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return folder
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """Deleted when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="rowassay-", ignore_cleanup_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, where every executor can write."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if base is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="rowassay-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

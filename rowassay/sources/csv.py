@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions.text import col
+from rowassay.operators import keys
 
 # Texts read as null before any rule is applied; matching is exact.
 NA_TOKENS = [
@@ -16,6 +18,7 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 ENCODINGS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
+PYTHON_CODECS = {"utf-8": "utf-8", "utf-8-sig": "utf-8-sig", "latin-1": "latin-1"}
 _EXTRA = "__extra"
 
 
@@ -38,31 +41,41 @@ def read_csv(
 ) -> CsvRead:
     """Read files with a header line; every column is text.
 
-    Short rows are padded with nulls, long rows are set aside. Without ``encoding`` the files are
-    scanned once for bytes that are no UTF-8, and read as Latin-1 if there are any. Skipping lines
-    works per file on physical lines. ``multiline`` allows line breaks inside quotes, at the price
+    Short rows are padded with nulls, long rows are set aside. One scan finds the header of every
+    file, and without ``encoding`` also bytes that are no UTF-8; files are read as Latin-1 if there
+    are any. Files whose headers hold the same names in another order are read by name; other names
+    are an error. Skipping lines works per file on physical lines. ``multiline`` allows line breaks inside quotes, at the price
     of files that cannot be split.
     """
-    if encoding is None:
-        encoding = "latin-1" if _has_invalid_utf8(spark, path) else "utf-8"
+    if encoding is None or not (skip_rows or skip_footer_rows):
+        first_lines, valid = _first_lines(spark, path)
+        encoding = encoding or ("utf-8" if valid else "latin-1")
     charset = ENCODINGS[encoding]
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     if skip_rows or skip_footer_rows:
         numbered = _numbered_lines(spark, path, charset)
-        names = header_names(
-            numbered.where(F.col("line_no") == skip_rows).orderBy("file").limit(1).first()["line"], sep
-        )
+        heads = numbered.where(F.col("line_no") == skip_rows).groupBy("line").agg(F.min("file").alias("file"))
+        headers = [header_names(r["line"], sep) for r in heads.orderBy("file").collect()]
+        if any(h != headers[0] for h in headers):
+            raise ValueError(f"files have different headers after the skipped lines: {headers[:2]}")
+        names = headers[0] if headers else []
         last = F.col("lines") - skip_footer_rows
         body = numbered.where((F.col("line_no") > skip_rows) & (F.col("line_no") < last) & (F.col("line") != ""))
         raw = _parsed(body, names, options)
     else:
-        first = spark.read.text(path).select(_decoded(charset).alias("line")).where("line != ''").first()
-        names = header_names(first["line"] if first else "", sep)
-        raw = (
-            spark.read.options(header=True, encoding=charset, multiLine=multiline, **options)
-            .schema(_schema(names))
-            .csv(path)
-        )
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for file, line in first_lines:
+            groups.setdefault(tuple(header_names(line.decode(PYTHON_CODECS[encoding]), sep)), []).append(file)
+        names = list(next(iter(groups), ()))
+        for head, files in groups.items():
+            if sorted(head) != sorted(names):
+                raise ValueError(f"{files[0]} has the columns {list(head)}, other files have {names}")
+        reader = spark.read.options(header=True, encoding=charset, multiLine=multiline, **options)
+        if len(groups) < 2:
+            raw = reader.schema(_schema(names)).csv(path)
+        else:
+            parts = [reader.schema(_schema(list(head))).csv(files) for head, files in groups.items()]
+            raw = reduce(DataFrame.unionByName, parts)
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     over = F.col(_EXTRA).isNotNull()
     rows = raw.where(~over).select(*[_nulled(n, tokens) for n in names])
@@ -109,9 +122,22 @@ def _decoded(charset: str) -> Column:
     return F.decode(F.col("value").cast("binary"), charset)
 
 
-def _has_invalid_utf8(spark: SparkSession, path) -> bool:
-    """Stops at the first bad line; Spark's text source hands over the raw bytes."""
-    return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+def _first_lines(spark: SparkSession, path) -> tuple[list[tuple[str, bytes]], bool]:
+    """The first non-empty line of every file, in order of the files, and whether all lines are UTF-8.
+
+    Spark's text source hands over the raw bytes. One row per file comes back.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("value").cast("binary").alias("line"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.is_valid_utf8("value").alias("valid"),
+    )
+    found = lines.groupBy("file").agg(
+        F.min_by("line", F.when(F.length("line") > 0, F.col("at"))).alias("line"), F.every("valid").alias("valid")
+    )
+    rows = sorted(found.collect())
+    return [(r["file"], bytes(r["line"])) for r in rows if r["line"]], all(r["valid"] for r in rows)
 
 
 def _numbered_lines(spark: SparkSession, path, charset: str) -> DataFrame:
@@ -134,6 +160,7 @@ def _numbered_lines(spark: SparkSession, path, charset: str) -> DataFrame:
         (F.sum("n").over(in_file) - F.col("n")).alias("before"),
         F.sum("n").over(W.partitionBy("file")).alias("lines"),
     )
-    return lines.join(blocks, ["file", "block"]).select(
+    known = keys.measure([blocks], None)[0]
+    return lines.join(F.broadcast(known.table) if known.small else known.table, ["file", "block"]).select(
         "file", "line", "lines", (F.col("at") - F.col("base") + F.col("before")).alias("line_no")
     )

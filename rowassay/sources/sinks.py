@@ -27,13 +27,20 @@ def write_csv(df: DataFrame, path: str, escape: bool = True, encoding: str = "UT
 
 
 def write_outputs(outputs: Outputs, path: str, mode: str = "errorifexists") -> list[str]:
-    """Clean rows, and each quarantine that holds any row."""
-    write_csv(outputs.clean, f"{path}/clean", mode=mode)
-    written = ["clean"]
-    for name, rows in {"quarantine": outputs.quarantine, **outputs.named}.items():
-        if not rows.isEmpty():
-            write_csv(rows, f"{path}/{name}", mode=mode)
-            written.append(name)
+    """Clean rows to ``clean``, quarantined ones to ``quarantine``, each named set to ``named/<name>``.
+
+    Sets without rows are not written. The rows and their flags are worked out once, whatever the
+    number of names.
+    """
+    for name in outputs.named:
+        if not name or name in (".", "..") or set(name) & set("/\\:\0"):
+            raise ValueError(f"no folder can have the name {name!r}")
+    sets = {"clean": outputs.clean, "quarantine": outputs.quarantine, **{f"named/{n}": rows for n, rows in outputs.named.items()}}
+    with outputs.held():
+        full = outputs.sizes()
+        written = [name for name in sets if name == "clean" or full[name]]
+        for name in written:
+            write_csv(sets[name], f"{path}/{name}", mode=mode)
     return written
 
 
