@@ -12,9 +12,6 @@ from rowassay.functions.text import as_text, col, is_missing, strip
 from rowassay.operators import keys, order
 from rowassay.plans.rules import LONG_NULL_TOKENS
 
-# Texts longer than this on average are counted by hash first.
-LONG_TEXT = 64
-
 # Tokens the two type guesses read as booleans.
 PROFILE_BOOLEANS = ["true", "false", "yes", "no", "1", "0", "t", "f", "y", "n"]
 RULE_BOOLEANS = PROFILE_BOOLEANS + ["on", "off"]
@@ -59,33 +56,28 @@ def table_summary(df: DataFrame, hash_first: bool | None = None) -> DataFrame:
     )
 
 
-def distinct_counts(df: DataFrame, approximate: bool = False, long_text: list[str] | None = None) -> DataFrame:
+def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column, as rows (column_name, unique_count).
 
-    Each column is read alone and its values are grouped before they are counted. Long texts are
-    counted as values minus repeats, with repeats found by hash first.
+    One scan and one grouping serve all columns: values are told apart by 128 bits of hash, so
+    long texts cost no more than numbers.
     """
-    missing = _missing(df)
+    types, missing = _types(df), _missing(df)
     if approximate:
         parts = [
             F.struct(F.lit(n).alias("column_name"), F.approx_count_distinct(F.when(~m, col(n)), 0.01).alias("unique_count"))
             for n, m in missing.items()
         ]
         return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
-    out = []
-    for n, m in missing.items():
-        values = df.where(~m).select(col(n))
-        if n in (long_text or []):
-            surplus = keys.repeated(values, [n], hash_first=True).select((F.lit(1) - F.col("__n")).alias("k"))
-            counted = values.agg(F.count(F.lit(1)).alias("k")).unionByName(surplus)
-        else:
-            counted = keys.group_sizes(values, [n]).select(F.lit(1).cast("bigint").alias("k"))
-        out.append(
-            counted.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("unique_count")).select(
-                F.lit(n).alias("column_name"), "unique_count"
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+    cells = []
+    for i, (n, m) in enumerate(missing.items()):
+        value = col(n) + F.lit(0.0) if isinstance(types[n], (T.DoubleType, T.FloatType)) else col(n)  # -0.0 is 0.0
+        halves = (F.xxhash64(value).alias("h"), F.xxhash64(F.lit(i), value).alias("g"))
+        cells.append(F.when(~m, F.struct(F.lit(i).alias("i"), *halves)))
+    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+    counted = long.groupBy("i", "h", "g").agg(F.count(F.lit(1))).groupBy("i").agg(F.count(F.lit(1)).alias("unique_count"))
+    names = df.sparkSession.createDataFrame(list(enumerate(missing)), "i int, column_name string")
+    return names.join(counted, "i", "left").select("column_name", F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count"))
 
 
 def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -99,10 +91,8 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.count_if(missing[n]).alias(f"n{i}"),
             as_text(F.min(value), types[n]).alias(f"lo{i}") if _sortable(types[n]) else F.lit(None).cast("string").alias(f"lo{i}"),
             as_text(F.max(value), types[n]).alias(f"hi{i}") if _sortable(types[n]) else F.lit(None).cast("string").alias(f"hi{i}"),
-            (F.avg(F.octet_length(col(n))) if isinstance(types[n], T.StringType) else F.lit(0.0)).alias(f"w{i}"),
         ]
     seen = df.agg(F.count(F.lit(1)).alias("rows"), *asks).first()
-    wide = [n for i, n in numbered if (seen[f"w{i}"] or 0) > LONG_TEXT]
     facts = [
         (i, n, types[n].simpleString(), seen["rows"], seen[f"n{i}"], seen[f"lo{i}"], seen[f"hi{i}"])
         for i, n in numbered
@@ -113,7 +103,7 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
     base = df.sparkSession.createDataFrame(facts, schema)
     filled = F.col("total_values") - F.col("null_count")
-    stats = base.join(distinct_counts(df, approximate, wide), "column_name").select(
+    stats = base.join(distinct_counts(df, approximate), "column_name").select(
         "position",
         "column_name",
         "data_type",
@@ -186,14 +176,27 @@ def null_counts(df: DataFrame) -> DataFrame:
 # --- guesses from a sample ---------------------------------------------------------------------
 
 
-def _sample(df: DataFrame, name: str, order_by: list[str], size: int) -> DataFrame:
-    """The first non-null values of a column as text. Spark keeps the top rows of each task only."""
-    types = _types(df)
-    rows = df.where(~is_missing(col(name), types[name]))
-    text = as_text(col(name), types[name]).alias("v")
-    return rows.select(text, *[col(o).alias(f"__o{i}") for i, o in enumerate(order_by)]).orderBy(
-        *[f"__o{i}" for i in range(len(order_by))]
-    ).limit(size)
+def _samples(df: DataFrame, names: list[str], order_by: list[str], size: int) -> DataFrame:
+    """The first non-null values of every column as text, with rank, in one scan: rows (column_name, rank, v).
+
+    Spark keeps the first rows of each column inside each task before the shuffle.
+    """
+    types, missing = _types(df), _missing(df)
+    at = [f"__o{i}" for i in range(len(order_by))]
+    cells = [
+        F.when(~missing[n], F.struct(F.lit(n).alias("column_name"), as_text(col(n), types[n]).alias("v"))) for n in names
+    ]
+    rows = df.select(
+        *[col(o).alias(a) for o, a in zip(order_by, at)], F.explode(F.array_compact(F.array(*cells))).alias("__c")
+    ).select(*at, "__c.*")
+    return order.first_of(rows, ["column_name"], [F.col(a) for a in at], size).select("column_name", "rank", "v")
+
+
+def _for_all(df: DataFrame, names: list[str], found: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """A row for every column, also for those without any value."""
+    all_ = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
+    filled = [F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()]
+    return all_.join(found, "column_name", "left").select("column_name", *filled)
 
 
 def _ordered(df: DataFrame, order_by: list[str] | None) -> tuple[DataFrame, list[str], list[str]]:
@@ -204,13 +207,12 @@ def _ordered(df: DataFrame, order_by: list[str] | None) -> tuple[DataFrame, list
 def sample_values(df: DataFrame, order_by: list[str] | None = None, size: int = 5) -> DataFrame:
     """Distinct values among the first few of each column."""
     df, names, by = _ordered(df, order_by)
-    parts = [
-        _sample(df, n, by, size)
-        .agg(F.array_sort(F.collect_list(F.struct(*[f"__o{i}" for i in range(len(by))], "v"))).alias("rows"))
-        .select(F.lit(n).alias("column_name"), F.array_distinct("rows.v").alias("samples"))
-        for n in names
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "v")))
+    found = _samples(df, names, by, size).groupBy("column_name").agg(F.array_distinct(ranked["v"]).alias("samples"))
+    none = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
+    return none.join(found, "column_name", "left").select(
+        "column_name", F.coalesce("samples", F.array().cast("array<string>")).alias("samples")
+    )
 
 
 def _every(test: Column) -> Column:
@@ -219,30 +221,31 @@ def _every(test: Column) -> Column:
 
 def semantic_types(df: DataFrame, order_by: list[str] | None = None, size: int = 100) -> DataFrame:
     """The physical type, or for text what the first values look like."""
-    return _guessed(df, order_by, size, _profile_guess)
+    return _guessed(df, order_by, size, _profile_guess, "unknown")
 
 
 def rule_types(df: DataFrame, order_by: list[str] | None = None, size: int = 20) -> DataFrame:
     """The declared type to propose for each column."""
-    return _guessed(df, order_by, size, _rule_guess)
+    return _guessed(df, order_by, size, _rule_guess, "text")
 
 
-def _guessed(df, order_by, size, guess) -> DataFrame:
+def _guessed(df, order_by, size, guess, nothing) -> DataFrame:
+    """``guess`` gives the type a name and a physical type settle, None where values decide, or ""
+    where any value confirms the physical type."""
     df, names, by = _ordered(df, order_by)
     types = _types(df)
-    parts = []
-    for n in names:
-        by_type = guess(n, types[n], None)
-        if by_type is None:
-            found = _sample(df, n, by, size).agg(guess(n, types[n], F.col("v")).alias("guessed"))
-        elif by_type == "":
-            found = _sample(df, n, by, 1).agg(
-                F.when(F.count(F.lit(1)) > 0, guess(n, types[n], "physical")).otherwise("text").alias("guessed")
-            )
-        else:
-            found = df.limit(1).agg(F.lit(by_type).alias("guessed"))
-        parts.append(found.select(F.lit(n).alias("column_name"), "guessed"))
-    return reduce(DataFrame.unionByName, parts)
+    settled = {n: guess(n, types[n], None) for n in names}
+    asked = [n for n in names if not settled[n]]
+    if not asked:
+        return df.sparkSession.createDataFrame(list(settled.items()), "column_name string, guessed string")
+    seen = _samples(df, asked, by, size).groupBy("column_name").agg(guess("", T.StringType(), F.col("v")).alias("guessed"))
+    confirmed = F.col("guessed")
+    for n in asked:
+        if settled[n] == "":
+            confirmed = F.when(F.col("column_name") == n, F.lit(guess(n, types[n], "physical"))).otherwise(confirmed)
+    found = _for_all(df, asked, seen.withColumn("guessed", confirmed), {"guessed": nothing})
+    rest = [(n, t) for n, t in settled.items() if t]
+    return found.unionByName(df.sparkSession.createDataFrame(rest, "column_name string, guessed string")) if rest else found
 
 
 def _profile_guess(name: str, dtype: T.DataType, v):
@@ -250,8 +253,7 @@ def _profile_guess(name: str, dtype: T.DataType, v):
     if v is None:
         return physical
     return (
-        F.when(F.count(F.lit(1)) == 0, "unknown")
-        .when(_every(F.lower(strip(v)).isin(PROFILE_BOOLEANS)), "boolean")
+        F.when(_every(F.lower(strip(v)).isin(PROFILE_BOOLEANS)), "boolean")
         .when(_every(numbers.to_double(v).isNotNull()), "numeric")
         .when(_every(dates.guess(v).isNotNull()), "date/datetime")
         .otherwise("string")
@@ -267,8 +269,7 @@ def _rule_guess(name: str, dtype: T.DataType, v):
         return _physical(dtype, "float", "timestamp")
     whole = strip(F.translate(v, ",$%€£", "")).rlike(r"^-?\p{Nd}+$")
     return (
-        F.when(F.count(F.lit(1)) == 0, "text")
-        .when(_every(F.lower(strip(v)).isin(RULE_BOOLEANS)), "boolean")
+        F.when(_every(F.lower(strip(v)).isin(RULE_BOOLEANS)), "boolean")
         .when(_every(whole), "integer")
         .when(_every(numbers.to_double(v, ",$").isNotNull()), "float")
         .when(_every(dates.guess(v).isNotNull()), "date")
@@ -291,39 +292,27 @@ def _physical(dtype: T.DataType, decimal: str, moment: str) -> str | None:
 def percentage_columns(df: DataFrame, order_by: list[str] | None = None, size: int = 20) -> DataFrame:
     """Columns at least half of whose first values hold a percent sign."""
     df, names, by = _ordered(df, order_by)
-    parts = []
-    for n in names:
-        share = F.avg(F.col("v").contains("%").cast("int"))
-        found = _sample(df, n, by, size).agg(
-            F.coalesce((share >= 0.5), F.lit(False)).alias("is_percentage"),
-            F.coalesce(F.bool_or(F.translate("v", "%", "").contains(".")), F.lit(False)).alias("dotted"),
-        )
-        parts.append(
-            found.select(
-                F.lit(n).alias("column_name"),
-                "is_percentage",
-                (F.col("is_percentage") & F.col("dotted")).alias("has_decimal"),
-                F.when(~F.col("is_percentage"), "text")
-                .when(F.col("dotted"), "float")
-                .otherwise("integer")
-                .alias("suggested_type"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    seen = _samples(df, names, by, size).groupBy("column_name").agg(
+        (F.avg(F.col("v").contains("%").cast("int")) >= 0.5).alias("is_percentage"),
+        F.bool_or(F.translate("v", "%", "").contains(".")).alias("dotted"),
+    )
+    return _for_all(df, names, seen, {"is_percentage": False, "dotted": False}).select(
+        "column_name",
+        "is_percentage",
+        (F.col("is_percentage") & F.col("dotted")).alias("has_decimal"),
+        F.when(~F.col("is_percentage"), "text").when(F.col("dotted"), "float").otherwise("integer").alias("suggested_type"),
+    )
 
 
 def boolean_formats(df: DataFrame, order_by: list[str] | None = None, size: int = 20) -> DataFrame:
     """The first boolean spelling that covers the first values of each column."""
     df, names, by = _ordered(df, order_by)
-    parts = []
-    for n in names:
-        out = F.when(F.count(F.lit(1)) == 0, ANY_BOOLEAN)
-        for label, tokens, loose in BOOLEAN_FORMATS:
-            text = strip(F.col("v"))
-            out = out.when(_every((F.lower(text) if loose else text).isin(tokens)), label)
-        found = _sample(df, n, by, size).agg(out.otherwise(ANY_BOOLEAN).alias("boolean_format"))
-        parts.append(found.select(F.lit(n).alias("column_name"), "boolean_format"))
-    return reduce(DataFrame.unionByName, parts)
+    text, out = strip(F.col("v")), None
+    for label, tokens, loose in BOOLEAN_FORMATS:
+        all_ = _every((F.lower(text) if loose else text).isin(tokens))
+        out = F.when(all_, label) if out is None else out.when(all_, label)
+    seen = _samples(df, names, by, size).groupBy("column_name").agg(out.alias("boolean_format"))
+    return _for_all(df, names, seen, {"boolean_format": ANY_BOOLEAN})
 
 
 def default_rules(df: DataFrame, ignored: list[str] = (), order_by: list[str] | None = None) -> dict:
