@@ -45,14 +45,11 @@ def _seeds() -> np.ndarray:
 
 def bands(items: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One number per band: the mixed minima of ROWS hash functions."""
-    low = np.empty(len(seeds), dtype=np.uint64)
-    for i, seed in enumerate(seeds):
-        low[i] = ((items ^ seed) * np.uint64(0x9E3779B97F4A7C15)).min()
-    low = low.reshape(BANDS, ROWS)
-    value = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in range(ROWS):
-        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + low[:, row])
-    return value.view(np.int64)
+    low = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(items), 4096):  # very long paragraphs in parts
+        low = np.minimum(low, ((items[None, at : at + 4096] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    value = (low * (seeds | np.uint64(1))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    return mixed(value + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
 def places(docs: DataFrame, least_words: int) -> DataFrame:
