@@ -17,7 +17,7 @@ from rowassay.session import durable
 #: Order of precedence is the length of the rule; (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 3
-SLOTS = 1 << 15
+SLOTS = 1 << 16
 BINS = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END, CONTEXT = "\u0002", "\u0003", "\u0001"
