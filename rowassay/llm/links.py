@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowassay.llm.shared import components, emptied, measured, written
@@ -23,6 +24,9 @@ PARTS = 16
 ROUNDS = 4
 #: or as soon as so few pairs per posting are left.
 FEW_PAIRS = 4
+#: Sets of a bucket that are compared at once, and postings of small buckets in one unit.
+BLOCK = 512
+UNIT_ROWS = 20_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,20 +107,85 @@ def _pairs(met: DataFrame, least: int, tested: DataFrame | None) -> DataFrame:
     return durable(found if tested is None else found.join(tested, ["a", "b"], "left_anti"))
 
 
-def connect(postings: DataFrame, sets_of, least: int = LEAST, name: str = "links") -> DataFrame:
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a block, by products of membership matrices."""
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, [at, at + columns])
+        member = np.zeros((len(sets), columns), dtype=np.float32)
+        member[row[lo:hi], place[lo:hi] - at] = 1
+        out += member @ member.T
+    return out
+
+
+def linked(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Links inside the buckets of one unit: of each node one edge to the smallest node reached."""
+    nodes, comps, side = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
+    items = rows["items"].tolist()
+    bucket = rows["bucket"].to_numpy()
+    order = np.lexsort((nodes, bucket))
+    edges: list[tuple[int, int]] = []
+    for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(group) < 2:
+            continue
+        sizes = np.array([len(items[i]) for i in group])
+        common = overlaps([items[i] for i in group])
+        near = (100 * common >= least * (sizes[:, None] + sizes[None, :] - common)) & (comps[group][:, None] != comps[group][None, :])
+        if side[group].any():  # two blocks of one bucket: only pairs across them
+            near &= side[group][:, None] != side[group][None, :]
+        if not near.any():
+            continue
+        label = nodes[group]
+        while True:
+            reached = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (reached == label).all():
+                break
+            label = reached
+        edges += [(a, b) for a, b in zip(nodes[group].tolist(), label.tolist(), strict=True) if a != b]
+    return pd.DataFrame(sorted(set(edges)), columns=["a", "b"])
+
+
+def linked_in_blocks(state: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """All links between components inside the buckets, without a row per pair.
+
+    Buckets of up to BLOCK nodes are gathered into units; a larger one is cut into blocks, and each
+    pair of blocks is a unit, so a task holds two blocks at most.
+    """
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"))
+    cut = sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = state.join(cut, "bucket").join(sets.select("node", "items"), "node")
+    units = max(1, state.count() // UNIT_ROWS)
+    small = rows.where("blocks = 1").select(F.concat(F.lit("p"), F.pmod(F.xxhash64("bucket"), F.lit(units))).alias("unit"), "bucket", "node", "comp", "items", F.lit(0).alias("side"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")
+    large = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.concat_ws("-", "bucket", F.least("own", "other"), F.greatest("own", "other"))
+    side = (F.col("own") > F.col("other")).cast("int") + 2 * (F.col("own") < F.col("other")).cast("int")
+    both = small.unionByName(large.select(unit.alias("unit"), "bucket", "node", "comp", "items", side.alias("side")))
+    return durable(both.groupBy("unit").applyInPandas(lambda x: linked(x, least), "a long, b long").distinct())
+
+
+def connect(postings: DataFrame, sets_of, least: int = LEAST, name: str = "links", blocks: bool = False) -> DataFrame:
     """Links that span the components of all linked sets: rows (a, b).
 
     postings: bucket, salt, node, size, pos (from 1). sets_of(nodes) returns node, items, parts of
-    the given nodes.
+    the given nodes. blocks: the last round compares the sets of each bucket in blocks instead of
+    listing the pairs first; better where buckets are few and sets small.
     """
     shared, shared_path = meeting(postings, f"{name}-meeting")
     sets, sets_path = written(sets_of(durable(shared.select("node").distinct())), f"{name}-sets")
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     state = shared.withColumn("comp", F.col("node"))
-    last = False
+    last = ROUNDS == 0
     for turn in range(ROUNDS + 1):
         member = state.select("bucket", "comp", *_ends("b"))
+        if last and blocks:
+            links.append(linked_in_blocks(state, sets, least))
+            break
         if last:
             other = state.select("bucket", F.col("comp").alias("a_comp"), *_ends("a"))
             met = member.join(other, "bucket").where("a_node < b_node AND a_comp <> comp")

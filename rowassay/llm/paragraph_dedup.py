@@ -112,7 +112,7 @@ def removals(source: DataFrame, least_words: int, least: int) -> DataFrame:
         own = source.join(measured(holders.select(F.col("id").alias("__id"), F.col("digest").alias("__d"))), F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left_semi")
         return sets(own, least_words).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    links = connect(postings(source, least_words), sets_of, least, "paragraphs")
+    links = connect(postings(source, least_words), sets_of, least, "paragraphs", blocks=True)
     groups = components(links)
     grouped = nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     kept = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")

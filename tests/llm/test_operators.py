@@ -103,7 +103,11 @@ def test_ranked(spark):
 # --- op 1 --------------------------------------------------------------------------------------
 
 
-def test_paragraphs(spark, docs):
+@pytest.mark.parametrize("rounds,block", [(4, 512), (0, 3)])
+def test_paragraphs(spark, docs, rounds, block, monkeypatch):
+    monkeypatch.setattr(links, "ROUNDS", rounds)
+    monkeypatch.setattr(links, "FEW_PAIRS", 0)
+    monkeypatch.setattr(links, "BLOCK", block)
     found = {(r["doc_id"], r["text"]) for r in paragraph_dedup.dedup(docs).collect()}
     lines = [((i is None, i, paragraph_key(spark, t)), at, line) for i, t in {(r[0], r[1]) for r in ROWS} if t for at, line in enumerate(t.split("\n")) if len(line.split()) >= 20]
     sets = {x: set(links.shingles(x[2].lower().encode().split()).tolist()) for x in lines}
