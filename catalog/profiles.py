@@ -206,7 +206,7 @@ def null_counts_orders(spark, sf):
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
 def distinct_counts_documents(spark, sf):
-    return profile.distinct_counts(table(spark, sf, "documents"), long_text=["text"])
+    return profile.distinct_counts(table(spark, sf, "documents"))
 
 
 def _first(c, size, source, key):
