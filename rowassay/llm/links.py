@@ -20,10 +20,8 @@ from rowassay.session import durable
 #: Two sets link if LEAST * |union| <= 100 * |intersection|.
 LEAST = 75
 PARTS = 16
-#: Rounds with pivots at most; all that is left is verified after them,
-ROUNDS = 4
-#: or as soon as so few pairs per posting are left.
-FEW_PAIRS = 4
+#: Rounds with pivots; all that is left is verified after them.
+ROUNDS = 1
 #: Sets of a bucket that are compared at once, and postings of small buckets in one unit.
 BLOCK = 512
 UNIT_ROWS = 20_000
@@ -180,8 +178,8 @@ def connect(postings: DataFrame, sets_of, least: int = LEAST, name: str = "links
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     state = shared.withColumn("comp", F.col("node"))
-    last = ROUNDS == 0
     for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
         member = state.select("bucket", "comp", *_ends("b"))
         if last and blocks:
             links.append(linked_in_blocks(state, sets, least))
@@ -199,14 +197,12 @@ def connect(postings: DataFrame, sets_of, least: int = LEAST, name: str = "links
         if last:
             break
         tested = pairs if tested is None else durable(tested.unionByName(pairs))
-        groups = components(reduce(DataFrame.unionByName, links))
+        groups = measured(durable(components(reduce(DataFrame.unionByName, links))))
         labelled = shared.join(groups, "node", "left").select("bucket", "node", "size", "pos", F.coalesce("component", "node").alias("comp"))
         open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
         state = durable(labelled.join(open_, "bucket", "left_semi"))
-        left = state.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
-        if not left["rows"]:
+        if state.isEmpty():
             break
-        last = turn + 1 == ROUNDS or left["pairs"] <= FEW_PAIRS * left["rows"]
     found = durable(reduce(DataFrame.unionByName, links))
     emptied(shared.sparkSession, shared_path, sets_path)
     return found
