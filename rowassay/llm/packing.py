@@ -55,11 +55,11 @@ class WordEncoder:
                 new.append(word)
         alone = [w for w in new if self.mark is None or any(t in w for t in self.special)]
         some = new if not alone else [w for w in new if w not in set(alone)]
-        for word, got in zip(alone, self.tokenizer.encode_batch([w.decode() for w in alone], add_special_tokens=False), strict=True):
+        for word, got in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
             young[word] = np.array(got.ids, dtype="<u4").tobytes()
         if self.mark is not None and some:
             parts = [some[at : at + TOGETHER] for at in range(0, len(some), TOGETHER)]
-            found = self.tokenizer.encode_batch([self.mark.join(w.decode() for w in p) for p in parts], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([self.mark.join(w.decode() for w in p) for p in parts], add_special_tokens=False)
             for part, got in zip(parts, found, strict=True):
                 ids = np.array(got.ids, dtype="<u4")
                 ends = np.flatnonzero(ids == self.mark_id)
