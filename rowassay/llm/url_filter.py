@@ -2,8 +2,8 @@
 
 Everything is built-in expressions. The models are variable-order Markov models over the
 characters of host and path with Witten-Bell smoothing, counted over every URL that a rule
-accepts or rejects. A URL that no rule decides is scored inside its own row, without a shuffle:
-the models become one table of a fixed number of slots that is part of the expression.
+accepts or rejects. The whole model is a table of runs of characters; distinct host and path texts
+are cut into runs, joined with it and summed up again.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from rowassay.session import durable
 #: Order of precedence is the length of the rule; (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 3
+#: A table of values with at most this many rows is broadcast; of a larger one less than HOT hot keys.
+FEW, HOT = 200_000, 20_000
+#: Shares that the rows of a hot key are spread over.
 SLOTS = 1 << 16
 BINS = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-START, END, CONTEXT = "\u0002", "\u0003", "\u0001"
-SCALE, MIDDLE, WIDTH = 1 << 14, 1 << 23, 1 << 24
+START, END = "\u0002", "\u0003"
+SCALE = 1 << 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,27 +56,27 @@ def grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(whole) - ORDER), lambda i: F.substr(whole, i, F.lit(ORDER + 1)))
 
 
-def slot_table(seen: DataFrame) -> list[int]:
-    """The difference of the two models, by slot. seen: text, accepted; one row per decided URL.
+def gram_values(parts: DataFrame) -> DataFrame:
+    """gram, uses, value: of every run of ORDER + 1 characters the difference of the two models.
 
-    For every run of characters that either model has seen, the difference of their log
-    probabilities; for every context, the difference of what they leave to shorter contexts. An
-    entry is a fingerprint and a fixed-point number. Of entries that share a slot the most
-    frequent stays, so the table has a fixed size, whatever the data.
+    parts: gram, n0, n1; one row per place in a distinct text, with the number of rejected and
+    accepted URLs that have this text. Runs that only open URLs hold count 0 in both models and get
+    what the smoothing leaves them, so the table has a value for every run there is to score.
+    value is the difference of the log probabilities in steps of 1 / SCALE: sums are exact.
     """
-    whole = durable(seen.select("accepted", F.explode(grams(F.col("text"))).alias("gram")).groupBy("accepted", "gram").agg(F.count("*").alias("n")))
+    whole = durable(parts.groupBy("gram").agg(F.count("*").alias("uses"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("size")
     runs = durable(
-        whole.select("accepted", "gram", "n", sizes)
+        whole.select("gram", "n0", "n1", sizes)
         .groupBy(F.expr("right(gram, size)").alias("gram"), "size")
-        .agg(*[F.coalesce(F.sum(F.when(F.col("accepted") == side, F.col("n"))), F.lit(0)).alias(f"n{side}") for side in (0, 1)])
+        .agg(*[F.sum(f"n{side}").alias(f"n{side}") for side in (0, 1)])
         .withColumn("context", F.expr("left(gram, size - 1)"))
     )
     contexts = durable(runs.groupBy("context", "size").agg(
         *[F.sum(f"n{side}").alias(f"c{side}") for side in (0, 1)],
         *[F.count(F.when(F.col(f"n{side}") > 0, 1)).alias(f"t{side}") for side in (0, 1)],
     ))
-    model = levels = None
+    model = None
     for size in range(1, ORDER + 2):
         level = runs.where(F.col("size") == size).join(contexts.where(F.col("size") == size).drop("size"), "context")
         if model is None:
@@ -81,51 +84,39 @@ def slot_table(seen: DataFrame) -> list[int]:
         else:
             level = level.join(model.select(F.col("gram").alias("__short"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), F.expr("right(gram, size - 1)") == F.col("__short"))
         seen_by = {f"p{s}": F.when(F.col(f"c{s}") > 0, (F.col(f"n{s}") + F.col(f"t{s}") * F.col(f"q{s}")) / (F.col(f"c{s}") + F.col(f"t{s}"))).otherwise(F.col(f"q{s}")) for s in (0, 1)}
-        model = durable(level.withColumns(seen_by).select("gram", "size", "n0", "n1", "p0", "p1"))
-        levels = model if size == 1 else levels.unionByName(model)
-    left = [F.when(F.col(f"c{s}") > 0, F.col(f"t{s}") / (F.col(f"c{s}") + F.col(f"t{s}"))).otherwise(1.0) for s in (0, 1)]
-    entries = levels.select("gram", (F.col("n0") + F.col("n1")).alias("n"), F.log(F.col("p1") / F.col("p0")).alias("d")).unionByName(
-        contexts.select(F.concat(F.lit(CONTEXT), "context").alias("gram"), (F.col("c0") + F.col("c1")).alias("n"), F.log(left[1] / left[0]).alias("d"))
-    )
-    fixed = F.greatest(F.lit(0), F.least(F.lit(WIDTH - 1), F.round(F.col("d") * SCALE) + MIDDLE)).cast("long")
-    slots = entries.groupBy(_slot(F.col("gram")).alias("slot")).agg(F.max_by(_mark(F.col("gram")) * WIDTH + fixed, F.struct("n", "gram")).alias("v"))
-    table = [-1] * SLOTS
-    for row in slots.collect():  # at most SLOTS rows
-        table[row["slot"]] = row["v"]
-    return table
-
-
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
-def _mark(gram: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(F.xxhash64(gram), 40), F.lit(1 << 20))
+        model = durable(level.withColumns(seen_by).select("gram", "p0", "p1"))
+    value = F.round(F.log(F.col("p1") / F.col("p0")) * SCALE).cast("long").alias("value")
+    return durable(whole.select("gram", "uses").join(model.select("gram", value), "gram"))
 
 
-def score(text: Column, table: Sequence[int]) -> Column:
-    """Log-likelihood difference per character: above 0 the text is more like accepted ones."""
-    slots = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows with the value of their key. table: key, uses, value; it has every key of the rows.
 
-    def keys(gram: Column) -> Column:
-        """Longest first: a run, then its context without the last character."""
-        runs = [F.right(gram, F.lit(size)) for size in range(ORDER + 1, 0, -1)]
-        return F.array(*[k for r in runs for k in (r, F.concat(F.lit(CONTEXT), F.left(r, F.length(r) - 1)))])
-
-    def decoded(key: Column, v: Column) -> Column:
-        return F.when((v >= 0) & (F.shiftright(v, 24) == _mark(key)), (F.pmod(v, F.lit(WIDTH)) - MIDDLE) / SCALE)
-
-    def difference(entries: Column) -> Column:
-        """The longest run that was seen, and what the contexts above it leave to shorter ones."""
-        out = F.lit(0.0)
-        for at in range(2 * ORDER, -1, -2):
-            out = F.coalesce(F.get(entries, F.lit(at)), F.coalesce(F.get(entries, F.lit(at + 1)), F.lit(0.0)) + out)
-        return out
-
-    looked_up = F.transform(grams(text), keys)
-    looked_up = F.transform(looked_up, lambda ks: F.zip_with(ks, F.transform(ks, lambda k: F.get(slots, _slot(k))), decoded))
-    found = F.transform(looked_up, difference)
-    return F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.size(found)
+    A table of up to FEW rows is broadcast. Of a larger one, the keys that more than 1 / HOT of the
+    rows use are broadcast, which are under HOT; their rows are spread by the column `spread`, and
+    the others meet their keys in a shuffle where none is hot.
+    """
+    size, total = table.agg(F.count("*"), F.coalesce(F.sum("uses"), F.lit(0))).first()
+    if size <= FEW:
+        return rows.join(F.broadcast(table.drop("uses")), key)
+    is_hot = F.col("uses") * HOT > total
+    hot = table.where(is_hot).select(key, F.col("value").alias("__hot"))
+    rest = table.where(~is_hot).select(key, F.lit(0).alias("__salt"), "value")
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(SLOTS)).cast("int") + 1)
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).join(rest, [key, "__salt"], "left")
+    return met.withColumn("value", F.coalesce("__hot", "value")).drop("__hot", "__salt")
+
+
+def scored(texts: DataFrame) -> DataFrame:
+    """texts with their score, the log-likelihood difference per character.
+
+    texts: text (distinct), accepted (null where open), uses. Above 0 a text is more like accepted
+    ones.
+    """
+    parts = texts.select("text", F.explode(grams(F.col("text"))).alias("gram"), *[F.when(F.col("accepted") == side, F.col("uses")).otherwise(0).alias(f"n{side}") for side in (0, 1)])
+    found = looked_up(parts.select("text", "gram"), gram_values(parts.drop("text")), "gram", "text")
+    sums = found.groupBy("text").agg((F.sum("value") / F.count("*") / SCALE).alias("value"))
+    return durable(texts.join(sums, "text"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -141,22 +132,26 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_c
     parsed = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
-    text = F.concat("host", "path")
-    seen = ruled.where("rule IS NOT NULL").select(text.alias("text"), (F.col("verdict") == "allow").cast("int").alias("accepted"))
-    kinds = {r["accepted"]: r["n"] for r in seen.groupBy("accepted").agg(F.count("*").alias("n")).collect()}
+    # host and path together tell the rule: a path is empty or starts with the first slash
+    accepted = F.when(F.col("rule").isNotNull(), (F.col("verdict") == "allow").cast("int"))
+    texts = durable(ruled.groupBy(F.concat("host", "path").alias("text")).agg(F.max(accepted).alias("accepted"), F.count("*").alias("uses")))
+    kinds = {r["accepted"]: r["n"] for r in texts.where("accepted IS NOT NULL").groupBy("accepted").agg(F.sum("uses").alias("n")).collect()}
     if len(kinds) < 2:
         return ruled.withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "score": F.lit(None).cast("double")})
-    table = slot_table(seen)
-    limit = threshold(seen, table, kinds)
-    own = F.when(F.col("rule").isNull(), score(text, table))
-    judged = ruled.withColumn("score", own)
-    return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= limit, "allow").otherwise("block")))
+    judged = scored(texts)
+    limit = threshold(judged, kinds)
+    open_ = ruled.where("rule IS NULL").withColumn("__text", F.concat("host", "path"))
+    values = judged.where("accepted IS NULL").select(F.col("text").alias("__text"), "uses", "value")
+    found = looked_up(open_, values, "__text", id_column)
+    decided = ruled.where("rule IS NOT NULL").withColumn("score", F.lit(None).cast("double"))
+    own = found.select(id_column, "host", "path", "rule", F.when(F.col("value") >= limit, "allow").otherwise("block").alias("verdict"), F.col("value").alias("score"))
+    return decided.unionByName(own)
 
 
-def threshold(seen: DataFrame, table: Sequence[int], kinds: dict[int, int]) -> float:
+def threshold(judged: DataFrame, kinds: dict[int, int]) -> float:
     """From a histogram of BINS steps between -1 and 1 over all decided URLs."""
-    step = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(0.999999), score(F.col("text"), table))) * (BINS // 2)).cast("int")
-    counts = seen.select(step.alias("bin"), "accepted").groupBy("bin", "accepted").agg(F.count("*").alias("n")).collect()
+    step = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(0.999999), F.col("value"))) * (BINS // 2)).cast("int")
+    counts = judged.where("accepted IS NOT NULL").groupBy(step.alias("bin"), "accepted").agg(F.sum("uses").alias("n")).collect()
     best, at = -1.0, 0
     for cut in range(-(BINS // 2), BINS // 2):
         kept = sum(r["n"] for r in counts if r["accepted"] and r["bin"] >= cut) / kinds[1]

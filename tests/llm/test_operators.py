@@ -421,6 +421,29 @@ def test_url_rules_and_scores(spark, monkeypatch):
     assert url_filter.filter_urls(empty).count() == 0
 
 
+@pytest.mark.parametrize("limits", [None, (0, 40)])
+def test_url_scores_are_those_of_the_whole_model(spark, limits, monkeypatch):
+    """Production settings, and a table that is not broadcast whole; nothing may be lost on the way."""
+    if limits:
+        monkeypatch.setattr(url_filter, "FEW", limits[0])
+        monkeypatch.setattr(url_filter, "HOT", limits[1])
+    rng = random.Random(10)
+    letters = "".join(map(chr, range(0x4E00, 0x4F00))) + "abcdefghijklmnopqrstuvwxyz0123456789"
+    hosts = ["shop.example.com", "news.example.net", "wiki.example.org", "cheap.net"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{''.join(rng.choices(letters, k=40))}") for i in range(600)]
+    rows += [(1000 + i, "http://wiki.example.org/es/again") for i in range(50)] + [(None, None)]
+    found = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()
+    parsed = [plain_rule(u) for _, u in rows]
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"]) for r in found) == Counter((i, *p[:3]) for (i, _), p in zip(rows, parsed, strict=True))
+    score = plain_model([(h + p, v == "allow") for h, p, _, v in parsed if v])
+    assert max(abs(r["score"] - score(r["host"] + r["path"])) for r in found if r["rule"] is None) < 1e-4
+    seen = [(int(np.floor(max(-1.0, min(0.999999, score(h + p))) * 100)), v == "allow") for h, p, _, v in parsed if v]
+    good = sum(a for _, a in seen)
+    parted = [sum(a and b >= cut for b, a in seen) / good + sum(not a and b < cut for b, a in seen) / (len(seen) - good) for cut in range(-100, 100)]
+    limit = (int(np.argmax(np.round(parted, 12))) - 100) / 100
+    assert all((r["verdict"] == "allow") == (r["score"] >= limit) for r in found if r["rule"] is None)
+
+
 def plain_model(seen):
     """Witten-Bell over all orders, straight from the counts."""
     order = url_filter.ORDER
