@@ -1,19 +1,23 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, removal by components.
 
 Equal paragraphs are one node. Nodes that share a band meet, every link is verified on the whole
-shingle sets, and of each connected group the first paragraph stays in place.
+shingle sets, and of each connected group the first paragraph stays in place. Passages inside a
+line or across short lines are runs of whole sentences, one from each sentence on; equal ones are
+one node. They overlap, so links by similarity would chain a text to its own neighbours.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.llm.links import LEAST, connect, mixed, parts_of, shingles
-from rowassay.llm.shared import components, measured, sliced, written
+from rowassay.llm.shared import WORD, components, measured, sliced, written
 from rowassay.session import durable
 
 #: A pair at Jaccard 0.75 shares a band with probability 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.998.
@@ -23,6 +27,12 @@ ROWS = 4
 MIN_WORDS = 20
 #: Paragraphs a task remembers to send each only once; more are sent again, to the same end.
 REMEMBERED = 1_000_000
+#: A line that begins inside a sentence begins a window of at most so many times the least words.
+NEAR = 4
+WORDS = re.compile(WORD)
+#: The end of a word that ends a sentence, with closing quotes and brackets of ASCII, Latin-1 and U+2019, U+201D.
+ENDING = re.compile(rb"[.!?](?:[\"')\]}]|\xc2\xbb|\xe2\x80[\x99\x9d])*\Z")
+LAST = frozenset(b".!?\"')]}\xbb\x99\x9d")
 
 
 def paragraphs(text: bytes | None, least_words: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -33,6 +43,85 @@ def paragraphs(text: bytes | None, least_words: int) -> Iterator[tuple[int, list
             yield at, words
 
 
+def windows(words: list[bytes], lines: list[int], least_words: int) -> Iterator[tuple[int, int]]:
+    """From each sentence on, the shortest run of whole sentences with enough words: first word, end.
+
+    lines: where lines begin; one that begins inside a sentence, as after a heading, counts as a
+    sentence if its run is not longer than NEAR times the least words, so the work stays linear.
+    """
+    ends = [i for i, w in enumerate(words, 1) if w[-1] in LAST and ENDING.search(w)]
+    if words and (not ends or ends[-1] < len(words)):
+        ends.append(len(words))
+    begin = {0, *ends[:-1]}
+    at = 0
+    for first in sorted(begin.union(lines)):
+        while at < len(ends) and ends[at] - first < least_words:
+            at += 1
+        if at == len(ends):
+            return
+        if first in begin or ends[at] - first <= NEAR * least_words:
+            yield first, ends[at]
+
+
+def passages(text: str, least_words: int) -> Iterator[tuple[int, int, bool, list[bytes]]]:
+    """(first character, end, whether it is a paragraph, words in lower case).
+
+    The paragraphs, then the windows of the text between blank lines, where a line break is any
+    white space.
+    """
+    at, known = 0, set()
+    stretches: list[tuple[list[bytes], list[tuple[int, int]], list[int]]] = [([], [], [])]
+    for line in text.split("\n"):
+        words = line.encode().lower().split()
+        spans = [(at + m.start(), at + m.end()) for m in WORDS.finditer(line)]
+        at += len(line) + 1
+        if len(words) >= least_words:
+            known.add((spans[0][0], spans[-1][1]))
+            yield spans[0][0], spans[-1][1], True, words
+        if words:
+            stretches[-1][2].append(len(stretches[-1][0]))
+            stretches[-1][0].extend(words)
+            stretches[-1][1].extend(spans)
+        elif stretches[-1][0]:
+            stretches.append(([], [], []))
+    for words, spans, lines in stretches:
+        for first, end in windows(words, lines, least_words):
+            place = spans[first][0], spans[end - 1][1]
+            if place not in known:
+                yield *place, False, words[first:end]
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without these characters, and how many separate spans that were.
+
+    White space after a span goes with it, up to the end of its line. Lines of which a span leaves
+    no word go whole.
+    """
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([start, end])
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        end, place, kept, cut = at + len(line), at, [], False
+        while k < len(merged) and merged[k][0] < end:
+            cut = True
+            kept.append(text[place : max(place, merged[k][0])])
+            place = min(end, merged[k][1])
+            if merged[k][1] > end:
+                break
+            k += 1
+            after = WORDS.search(text, place, end)
+            place = after.start() if after else end
+        rest = "".join(kept) + text[place:end]
+        if not cut or WORDS.search(rest):
+            out.append(rest)
+        at = end + 1
+    return "\n".join(out), len(merged)
+
+
 def node_of(words: list[bytes]) -> int:
     import xxhash
 
@@ -53,16 +142,16 @@ def bands(items: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def places(docs: DataFrame, least_words: int) -> DataFrame:
-    """(id, digest, line, node) of every paragraph."""
+    """(id, digest, start, end, line, node) of every paragraph and window; line tells them apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            rows = [(key, digest, at, node_of(words)) for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True) for at, words in paragraphs(text, least_words)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "digest", "line", "node"])
+            texts = batch.column(2).to_pylist()
+            rows = [(key, digest, start, end, line, node_of(words)) for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True) for start, end, line, words in passages(text or "", least_words)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], names=["id", "digest", "start", "end", "line", "node"])
 
-    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest long, line int, node long")
+    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest long, start int, end int, line boolean, node long")
 
 
 def postings(docs: DataFrame, least_words: int) -> DataFrame:
@@ -101,14 +190,15 @@ def sets(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def removals(source: DataFrame, least_words: int, least: int) -> DataFrame:
-    """(id, digest, gone): the lines to remove of each document that loses any."""
+    """(id, digest, gone): the spans of characters to remove of each document that loses any."""
     found, _ = written(places(source, least_words), "paragraph-places")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "line"))
-    nodes = durable(found.groupBy("node").agg(first.alias("first"), F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "start", "end"))
+    holder = F.min(F.when(F.col("line"), F.struct("id", "digest")))
+    nodes = durable(found.groupBy("node").agg(first.alias("first"), holder.alias("holder"), F.count("*").alias("n")).where("n > 1 OR holder IS NOT NULL"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = measured(wanted)
-        holders = durable(nodes.join(wanted, "node", "left_semi").select("first.id", "first.digest").distinct())
+        holders = durable(nodes.join(wanted, "node", "left_semi").select("holder.id", "holder.digest").distinct())
         own = source.join(measured(holders.select(F.col("id").alias("__id"), F.col("digest").alias("__d"))), F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left_semi")
         return sets(own, least_words).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
@@ -117,9 +207,10 @@ def removals(source: DataFrame, least_words: int, least: int) -> DataFrame:
     grouped = nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     kept = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     repeated = durable(grouped.join(kept, "comp").select("node", "keep"))
-    own = F.struct(F.col("id").isNull().alias("last"), "id", "digest", "line")
+    # what overlaps the passage that stays is no repeat of it
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("digest") == F.col("keep.digest")) & (F.col("start") < F.col("keep.end"))
     return durable(
-        found.join(measured(repeated), "node").where(~own.eqNullSafe(F.col("keep"))).groupBy("id", "digest").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+        found.join(measured(repeated), "node").where(~stays).groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
     )
 
 
@@ -131,24 +222,31 @@ def digest_of(text_column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
 
 
+def _cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    rows = [(None, 0) if a is None else without(t, list(zip(a.tolist(), b.tolist(), strict=True))) for t, a, b in zip(texts, starts, ends, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "cuts"])
+
+
 def without_repeats(docs: DataFrame, least_words: int = MIN_WORDS, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, all columns, with the repeated paragraphs cut out of text, and __gone, the count.
+    """The documents, all columns, with the repeated passages cut out of text, and __gone, the count.
 
-    The first paragraph of a group, by id, text hash and line, stays; ids that are null come last.
-    Rows equal in id and text are one document and lose the same lines. Null texts stay null.
+    The first passage of a group, by id, text hash and place, stays; ids that are null come last.
+    Rows equal in id and text are one document and lose the same passages. Null texts stay null.
     """
-    gone = measured(removals(prepared(docs, id_column, text_column), least_words, least).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__lines")))
+    gone = measured(removals(prepared(docs, id_column, text_column), least_words, least).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__spans")))
     joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (digest_of(text_column) == F.col("__digest")), "left")
-    lines = F.filter(F.split(F.col(text_column), "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i))
-    text = F.when(F.col("__lines").isNull(), F.col(text_column)).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumns({text_column: text, "__gone": F.coalesce(F.size("__lines"), F.lit(0))}).drop("__id", "__digest", "__lines")
+    own = F.when(F.col("__spans").isNotNull(), F.col(text_column).cast("string"))
+    cut = joined.withColumn("__cut", F.pandas_udf(_cut, "text string, cuts int")(own, F.col("__spans.start"), F.col("__spans.end")))
+    text = F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(F.col("__cut.text"))
+    return cut.withColumns({text_column: text, "__gone": F.coalesce("__cut.cuts", F.lit(0))}).drop("__id", "__digest", "__spans", "__cut")
 
 
 def dedup(docs: DataFrame, least_words: int = MIN_WORDS, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, n_paragraphs (lines), n_removed, text (what is left).
+    """One row per document: id, n_paragraphs (lines), n_removed (passages cut out), text (what is left).
 
     Paragraphs are lines of at least least_words words; two link at a Jaccard similarity of their
-    five-word shingles of least percent. Empty tables give no rows, null texts have no paragraphs.
+    five-word shingles of least percent. Runs of whole sentences with as many words repeat if they
+    are equal but for case and white space, inside a line or across lines. Empty tables give no rows, null texts have no paragraphs.
     """
     narrow = docs.select(F.col(id_column), F.col(text_column), F.when(F.length(text_column) > 0, F.size(F.split(F.col(text_column), "\n"))).otherwise(0).alias("n_paragraphs"))
     out = without_repeats(narrow, least_words, least, id_column, text_column)

@@ -126,6 +126,30 @@ def test_paragraphs(spark, docs, rounds, block, monkeypatch):
     assert paragraph_dedup.dedup(nothing(spark)).count() == 0
 
 
+def sentences(n, rng):
+    return " ".join(f"{prose(rng.randint(4, 14), rng).capitalize()}." for _ in range(n))
+
+
+def test_passages_inside_and_across_lines(spark):
+    """A repeated passage goes, wherever line breaks are; what stands around it stays."""
+    rng = random.Random(31)
+    passage = sentences(9, rng)
+    words = passage.split()
+    wrapped = "\n".join(" ".join(words[at : at + 9]) for at in range(0, len(words), 9))
+    wide = " ".join(words[:18]) + "\n" + " ".join(words[18:])
+    around = [(sentences(8, rng), sentences(8, rng)) for _ in range(6)]
+    bodies = [passage, passage, passage.upper(), wrapped, wide, passage.replace(" ", "  ", 5)]
+    rows = [(i, f"{a}{'\n' if i in (3, 4) else ' '}{body}{'\n' if i in (3, 4) else ' '}{b}") for i, ((a, b), body) in enumerate(zip(around, bodies, strict=True))]
+    own = sentences(30, rng)
+    rows += [(10, own), (11, "Yes. No. Maybe so. " * 3 + sentences(12, rng)), (12, None)]
+    got = {r["doc_id"]: r for r in paragraph_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i]["text"] == t and got[i]["n_removed"] == 0 for i, t in rows if i in (0, 10, 11, 12))
+    for i, (a, b) in enumerate(around[1:], 1):
+        left = got[i]["text"].split()
+        assert left[: len(a.split())] == a.split() and left[-len(b.split()) :] == b.split()
+        assert len(left) - len(a.split()) - len(b.split()) < 20 and got[i]["n_removed"] >= 1, (i, left)
+
+
 def paragraph_key(spark, text, known={}):  # noqa: B006
     if text not in known:
         known[text] = spark.createDataFrame([(text,)], "text string").select(paragraph_dedup.digest_of("text")).first()[0]
