@@ -3,7 +3,8 @@
 Pages of one host are aligned with a reference page of that host by simple tree matching. A text
 that stands in the same aligned place on most of the host's different pages belongs to the
 template; what varies is content. Menus, adverts, forms and the like are known by element and by
-words in their class, id or role, because their text may vary from page to page as well.
+the words that end the names in their class, id or role, because their text may vary from page to
+page as well.
 """
 
 from __future__ import annotations
@@ -33,12 +34,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video map search datalist".split()) | RAW
-#: Words in a class, id or role that mark an element as no part of the article.
+#: Words that mark an element as no part of the article where a name in its class, id or role ends in them.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs masthead footer sidebar sidebars aside cookie cookies consent gdpr notice notices notification comment comments disqus reply replies respond "
     "share sharing social related recommended newsletter subscribe signup popup modal overlay pagination pager toolbar complementary contentinfo search".split()
 )
+#: Words after a mark that say no more than that this is a part of the page, …
+PARTS = frozenset(
+    "container wrapper wrap box block list area section region widget slot bar panel pane group row column col inner outer unit item items link links "
+    "button buttons icon icons form logo logos media post posts article articles content body header footer title left right top bottom primary secondary main first second third small large mobile desktop".split()
+)
+#: … and words before one that tell of another element: class="has-sidebar".
+TELLING = frozenset("has have no not with without is hide show toggle open close enable disable enabled disabled".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 READERS = frozenset("comment comments reply replies disqus".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -51,7 +60,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 class Node:
     """A block element, or a run of text (label #text). slot: the aligned node of the reference."""
 
-    __slots__ = ("label", "kids", "text", "out", "main", "groups", "shape", "slot", "number")
+    __slots__ = ("label", "kids", "text", "out", "main", "groups", "shape", "slot", "number", "named")
 
     def __init__(self, label: str, out: bool = False, main: bool = False):
         self.label, self.out, self.main = label, out, main
@@ -60,18 +69,57 @@ class Node:
         self.groups: list[list[Node]] = []
         self.shape = self.number = 0
         self.slot = -1
+        self.named = ""
+
 
+def mark_of(token: str) -> str:
+    """The mark a name ends in, parts of pages and numbers left out: cookie-notice, nav_list, not related-work or has-sidebar."""
+    words = [w.lower() for w in WORDS.findall(token) if len(w) > 1 and not w.isdigit()]
+    if not words or words[0] in TELLING:
+        return ""
+    while len(words) > 1 and words[-1] in PARTS and words[-1] not in MARKS:
+        words.pop()
+    return words[-1] if words[-1] in MARKS else ""
 
-def marked(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label of an element, and whether it is no part of an article."""
+
+def marked(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """The label of an element, whether it is no part of an article, and the mark in its names."""
     if not attributes or attributes.isspace():
-        return tag, tag in DROPPED
+        return tag, tag in DROPPED, ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return tag, True
-    names = {w.lower() for key in ("class", "id", "role") for w in WORDS.findall(found.get(key, ""))}
+        return tag, True, ""
+    keys = ("class", "role") if tag in HEADINGS or tag in INLINE else ("class", "id", "role")
+    names = {mark_of(token) for key in keys for token in found.get(key, "").split()}
     marks = READERS if tag == "article" else frozenset() if tag in ("html", "body", "main") else MARKS
-    return tag + "." + found.get("class", ""), tag in DROPPED or bool(names & marks)
+    return tag + "." + found.get("class", ""), tag in DROPPED, min(names & marks, key=lambda m: (m not in READERS, m), default="")
+
+
+def held(root: Node) -> None:
+    """Drops the elements with marked names, but none that holds the main content of its page.
+
+    That is a main part, or more than half of the text where no article or main part is elsewhere.
+    Comments are no main content, however long.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, under = stack.pop()
+        if not node.out:
+            order.append((node, under))
+            stack += [(kid, under or bool(node.named)) for kid in node.kids]
+    chars: dict[int, int] = {}
+    mains: set[int] = set()
+    elsewhere = any(n.main and not n.named and not under for n, under in order)
+    for node, _ in reversed(order):
+        kept = [k for k in node.kids if not k.out]
+        chars[id(node)] = len(node.text) + sum(chars[id(k)] for k in kept)
+        if node.main and not node.label.startswith("article") or any(id(k) in mains for k in kept):
+            mains.add(id(node))
+    for node, _ in order:
+        if node.named:
+            most = not elsewhere and 2 * chars[id(node)] > chars[id(root)]
+            node.out = node.named in READERS or not (id(node) in mains or most)
+            node.main = node.main and not node.out
 
 
 def parse(page: str) -> Node:
@@ -112,8 +160,8 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             run.append(" ")
             continue
-        label, out = marked(tag, attributes)
-        if tag in INLINE and not out:
+        label, out, named = marked(tag, attributes)
+        if tag in INLINE and not out and not named:
             if tag in ("br", "img", "wbr"):
                 run.append(" " if tag != "wbr" else "")
             continue
@@ -127,16 +175,18 @@ def parse(page: str) -> Node:
         role_main = 'role="main"' in attributes or "role='main'" in attributes
         if tag == "header" and not inside:
             out = True
-        if len(stack) > DEEPEST and not out:
+        if len(stack) > DEEPEST and not out and not named:
             stack.append((tag, stack[-1][1]))
             continue
         node = Node(label, out, (tag in ("article", "main") or role_main) and not out)
+        node.named = named
         stack[-1][1].kids.append(node)
         if not attributes.endswith("/") or tag not in VOID:
             stack.append((tag, node))
     if at < len(page):
         run.append(entities.unescape(page[at:]))
     flush()
+    held(root)
     return root
 
 

@@ -228,6 +228,31 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head>
 <aside>side {n}</aside><div id="cookie-notice">ok {n}</div><form><p>form {n}</p></form><footer>&copy; {n}</footer></body></html>"""
 
 
+@pytest.mark.parametrize("opened, kept", [
+    ('div id="content" class="has-sidebar"', True), ('div class="no-sidebar"', True), ('article class="post comments-open"', True),
+    ('section id="search-algorithms"', True), ('h2 id="related-work"', True), ('h2 id="comments"', True), ('span id="Social_structure"', True),
+    ('div class="sidebar"', False), ('div class="sidebar-left col"', False), ('div id="cookie-notice"', False), ('ul class="site-nav__list"', False),
+    ('div class="ad-728x90"', False), ('div class="postComments"', False), ('article class="comment"', False),
+])
+def test_marks_name_the_whole_element(opened, kept):
+    body = f"<p>{'before ' * 30}</p><{opened}>words inside</{opened.split()[0]}><p>{'after ' * 30}</p>"
+    found = " ".join(x.text for x in extraction.texts(extraction.parse(f"<html><body>{body}</body></html>")))
+    assert ("words inside" in found) == kept
+    assert "after" in found or opened.startswith("article") and kept
+
+
+def test_marks_do_not_drop_the_main_content():
+    def of(page):
+        return " ".join(x.text for x in extraction.texts(extraction.parse(page)))
+
+    long = "main text " * 40
+    assert of(f'<div class="modal"><main><p>short</p></main></div><p>{long}</p>') == "short"
+    assert of(f'<div class="popup"><p>{long}</p></div><p>tail</p>') == f"{long.strip()} tail"
+    assert of(f'<p>post</p><div class="comments"><p>{long}</p></div>') == "post"
+    assert of(f'<div class="related"><article>teaser</article></div><p>{long}</p>') == long.strip()
+    assert of(f'<article>own</article><div class="related"><article>{long}</article></div>') == "own"
+
+
 def test_extraction(spark):
     rows = [(n, f"http://h.example/{n}", PAGE.format(n=n)) for n in range(9)]
     rows += [(20, "http://x.example/", None), (21, None, ""), (22, "no host", "<p>a<p>b &lt;c"), (None, "http://y.example/a", "plain &eacute; text"), (23, "http://z.example", "<div>" * 3000 + "deep" + "</div>" * 3000)]
