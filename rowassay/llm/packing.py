@@ -113,7 +113,8 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[i
     """Best-fit over a histogram, longest first: (repeats, lengths in one sequence).
 
     Open sequences are groups of equal content, kept by free space. A length goes to the group with
-    the least space that fits it; a group is split where fewer pieces remain than it has sequences.
+    the least space that fits it, and fills one sequence before the next; a group is split where the
+    pieces do not fill all its sequences.
     """
     open_: dict[int, list[tuple[int, list[int]]]] = {}
     free: list[int] = []
@@ -141,12 +142,17 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[i
             if not open_[space]:
                 del open_[space]
                 free.pop(at)
-            each = min(space // size, max(1, left // repeats))
-            if left < repeats:
-                put(space, repeats - left, content)
-                repeats, each = left, 1
-            left -= repeats * each
-            put(space - each * size, repeats, content + [size] * each)
+            each = space // size
+            full, rest = divmod(left, each)
+            if full >= repeats:
+                full, rest = repeats, 0
+            if full:
+                put(space - each * size, full, content + [size] * each)
+            if rest:
+                put(space - rest * size, 1, content + [size] * rest)
+            if untouched := repeats - full - bool(rest):
+                put(space, untouched, content)
+            left -= full * each + rest
     return [group for space in free for group in open_[space]]
 
 

@@ -576,3 +576,27 @@ def test_plan_against_plain_best_fit():
         assert Counter(x for n, content in planned for x in content * n) == Counter(sizes)
         assert all(sum(content) <= 100 for _, content in planned)
         assert sum(n for n, _ in planned) <= len(free) + 2
+
+
+def test_plan_fills_groups_like_plain_best_fit():
+    """Thousands of equal lengths: as many sequences, with the same free space, as piece by piece."""
+    rng = random.Random(13)
+    cases = [{1025: 1000, 511: 1000, 341: 1500}]
+    cases += [{rng.randint(1, 2048): rng.randint(1, 3000) for _ in range(rng.randint(1, 12))} for _ in range(25)]
+    for counts in cases:
+        free = Counter()
+        for size in sorted(counts, reverse=True):
+            for _ in range(counts[size]):
+                space = min((s for s in free if s >= size), default=2048)
+                if space in free:
+                    free[space] -= 1
+                    if not free[space]:
+                        del free[space]
+                free[space - size] += 1
+        planned = packing.plan(counts, 2048)
+        assert sum((Counter({x: n * k for x, k in Counter(content).items()}) for n, content in planned), Counter()) == Counter(counts)
+        got = Counter()
+        for n, content in planned:
+            got[2048 - sum(content)] += n
+        assert got == free
+    assert sum(n for n, _ in packing.plan(cases[0], 2048)) == 1000
