@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import embedding_links, extraction, jaccard_join, license_scan, mixing, packing, paragraph_dedup, quality, suffix_dedup, url_filter
+from rowassay.llm import (
+    chat_format, divergence, embedding_links, extraction, jaccard_join, license_scan, merkle, mixing, packing, paragraph_dedup, quality, suffix_dedup, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +80,20 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf, "documents")).drop("spans")
+
+
+@query(divergence.DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf, "documents"))
+
+
+@query(chat_format.CHAT_SQL)
+def op12_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return chat_format.format_and_read(table(spark, sf, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(merkle.MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(table(spark, sf, "documents"))
