@@ -190,3 +190,33 @@ def monotonic_events_shared_position(spark, sf):
     labeled = report.labeled().agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("__dq_status__") == "FAIL").alias("labeled"))
     both = report.test_results().select("failed_count").join(F.broadcast(labeled), F.col("failed_count") >= 0)
     return both.select("total_rows", (F.col("failed_count") == F.col("labeled")).alias("counts_equal_labels"), (F.col("failed_count") > 0).alias("any_failed"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || chr(10) || p_type || ', "' || p_brand || '"' WHEN p_partkey % 3 = 1 THEN chr(10) || p_name ELSE p_name END AS name,
+   (p_partkey % 5)::VARCHAR AS file FROM part""")
+def csv_multiline_skip(spark, sf):
+    """Five files, read in splits, with line breaks inside quotes, two skipped rows of title and one of totals."""
+    part = table(spark, sf, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\n"), "p_type", F.lit(', "'), "p_brand", F.lit('"')))
+    name = name.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("\n"), "p_name")).otherwise(F.col("p_name"))
+    cell = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    body = part.select((F.col("p_partkey") % 5).alias("n"), F.col("p_partkey").alias("at"), F.concat_ws(",", "p_partkey", cell, (F.col("p_partkey") % 5)).alias("value"))
+    lead = [(-3, "a report"), (-2, '"made\ntoday, ""early""",x'), (-1, "id,name,file"), (2**62, '"the\nend"')]
+    extra = body.select("n").distinct().select("n", F.inline(F.array(*[F.struct(F.lit(at).cast("bigint").alias("at"), F.lit(v).alias("value")) for at, v in lead])))
+    path = scratch_path(spark, "multiline")
+    rows = body.unionByName(extra).repartition("n").sortWithinPartitions("n", "at")
+    rows.select("n", "value").write.partitionBy("n").text(path)
+    return csv_source.read_csv(spark, path, encoding="utf-8", skip_rows=2, skip_footer_rows=1, multiline=True).rows
+
+
+@query("""SELECT s_suppkey::VARCHAR AS key, s_name || ' é' AS name, 'mixed' AS encoding FROM supplier WHERE s_suppkey % 2 = 0
+   UNION ALL SELECT s_suppkey::VARCHAR, s_name || ' naïve', 'mixed' FROM supplier WHERE s_suppkey % 2 = 1""")
+def csv_mixed_encodings(spark, sf):
+    """UTF-8 and Latin-1 files in one folder; each is read with its own charset."""
+    supplier = table(spark, sf, "supplier")
+    path = scratch_path(spark, "mixed")
+    for i, (charset, word) in enumerate([("UTF-8", " é"), ("ISO-8859-1", " naïve")]):
+        rows = supplier.where(F.col("s_suppkey") % 2 == i).select(F.col("s_suppkey").alias("key"), F.concat("s_name", F.lit(word)).alias("name"))
+        rows.write.options(header=True, encoding=charset).csv(f"{path}/{i}")
+    read = csv_source.read_csv(spark, [f"{path}/0", f"{path}/1"])
+    return read.rows.withColumn("encoding", F.lit(read.encoding))

@@ -6,11 +6,12 @@ import csv
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions.text import col
 from rowassay.operators import keys
+from rowassay.sources.records import Records
 
 # Texts read as null before any rule is applied; matching is exact.
 NA_TOKENS = [
@@ -26,7 +27,8 @@ _EXTRA = "__extra"
 class CsvRead:
     rows: DataFrame
     rejects: DataFrame  # rows with more fields than the header
-    encoding: str
+    encoding: str  # "mixed" if the files differ
+    files: dict[str, list[str]]  # by encoding, where the encodings were looked up
 
 
 def read_csv(
@@ -41,45 +43,80 @@ def read_csv(
 ) -> CsvRead:
     """Read files with a header line; every column is text.
 
-    Short rows are padded with nulls, long rows are set aside. One scan finds the header of every
-    file, and without ``encoding`` also bytes that are no UTF-8; files are read as Latin-1 if there
-    are any. Files whose headers hold the same names in another order are read by name; other names
-    are an error. Skipping lines works per file on physical lines. ``multiline`` allows line breaks inside quotes, at the price
-    of files that cannot be split.
+    Short rows are padded with nulls, long rows are set aside. Without ``encoding`` one scan finds
+    files that hold bytes that are no UTF-8; each of them is read as Latin-1, the others as UTF-8.
+    Files whose headers hold the same names in another order are read by name; other names are an
+    error. Skipped rows are counted per file, and a row may have line breaks inside quotes; the first
+    row left that is not blank is the header. ``multiline`` allows such breaks where nothing is
+    skipped. Files are read in splits in either case.
     """
-    if encoding is None or not (skip_rows or skip_footer_rows):
-        first_lines, valid = _first_lines(spark, path)
-        encoding = encoding or ("utf-8" if valid else "latin-1")
-    charset = ENCODINGS[encoding]
+    by_record = multiline or skip_rows or skip_footer_rows
+    first_lines = [] if encoding and by_record else _first_lines(spark, path)
+    charsets: dict[str, list[str]] = {}
+    for file, _, valid in first_lines:
+        charsets.setdefault(encoding or ("utf-8" if valid else "latin-1"), []).append(file)
+    encodings = list(charsets) or [encoding or "utf-8"]
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    if skip_rows or skip_footer_rows:
-        numbered = _numbered_lines(spark, path, charset)
-        heads = numbered.where(F.col("line_no") == skip_rows).groupBy("line").agg(F.min("file").alias("file"))
-        headers = [header_names(r["line"], sep) for r in heads.orderBy("file").collect()]
-        if any(h != headers[0] for h in headers):
-            raise ValueError(f"files have different headers after the skipped lines: {headers[:2]}")
-        names = headers[0] if headers else []
-        last = F.col("lines") - skip_footer_rows
-        body = numbered.where((F.col("line_no") > skip_rows) & (F.col("line_no") < last) & (F.col("line") != ""))
-        raw = _parsed(body, names, options)
+    if by_record:
+        sets = [Records(spark, path if len(encodings) == 1 else charsets[e], sep, _decoded(e)) for e in encodings]
+        parts = [(r, *_headers(r, sep, skip_rows)) for r in sets]
+        names = next((list(head) for _, heads, _ in parts for head in heads), [])
+        raws = []
+        for records, heads, numbers in parts:
+            _same_names(heads, names)
+            raws.append(_bodies(spark, records, heads, numbers, skip_footer_rows, names, options))
     else:
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for file, line in first_lines:
-            groups.setdefault(tuple(header_names(line.decode(PYTHON_CODECS[encoding]), sep)), []).append(file)
-        names = list(next(iter(groups), ()))
-        for head, files in groups.items():
-            if sorted(head) != sorted(names):
-                raise ValueError(f"{files[0]} has the columns {list(head)}, other files have {names}")
-        reader = spark.read.options(header=True, encoding=charset, multiLine=multiline, **options)
+        groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+        for file, line, valid in first_lines:
+            own = encoding or ("utf-8" if valid else "latin-1")
+            if line:
+                groups.setdefault((own, tuple(header_names(line.decode(PYTHON_CODECS[own]), sep))), []).append(file)
+        names = list(next((head for _, head in groups), ()))
+        _same_names({head: files for (_, head), files in groups.items()}, names)
+        reader = spark.read.options(header=True, **options)
         if len(groups) < 2:
-            raw = reader.schema(_schema(names)).csv(path)
+            raws = [reader.schema(_schema(names)).option("encoding", ENCODINGS[encodings[0]]).csv(path)]
         else:
-            parts = [reader.schema(_schema(list(head))).csv(files) for head, files in groups.items()]
-            raw = reduce(DataFrame.unionByName, parts)
+            raws = [reader.schema(_schema(list(head))).option("encoding", ENCODINGS[e]).csv(files) for (e, head), files in groups.items()]
+    raw = reduce(DataFrame.unionByName, raws)
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     over = F.col(_EXTRA).isNotNull()
     rows = raw.where(~over).select(*[_nulled(n, tokens) for n in names])
-    return CsvRead(rows, raw.where(over), encoding)
+    return CsvRead(rows, raw.where(over), encodings[0] if len(encodings) == 1 else "mixed", charsets)
+
+
+def _same_names(heads: dict[tuple[str, ...], list[str]], names: list[str]) -> None:
+    for head, files in heads.items():
+        if sorted(head) != sorted(names):
+            raise ValueError(f"{files[0]} has the columns {list(head)}, other files have {names}")
+
+
+def _headers(records: Records, sep: str, skip_rows: int) -> tuple[dict[tuple[str, ...], list[str]], dict[str, int]]:
+    """Files by their header, and the number of the header's record in each file: the first that is not blank."""
+    found: dict[str, tuple[int, str]] = {}
+    # blocks that begin at or before the last skipped row hold the header, unless only blank rows follow in them
+    for wanted in (F.col("before") <= skip_rows, None):
+        rows = records.select(wanted).where((F.col("number") >= skip_rows) & (F.col("record") != ""))
+        first = rows.groupBy("file").agg(F.min(F.struct("number", "record")).alias("head"))
+        found = {r["file"]: (r["head"]["number"], r["head"]["record"]) for r in first.collect()}  # a row per file
+        if len(found) == records.files:
+            break
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(found):
+        heads.setdefault(tuple(header_names(found[file][1], sep)), []).append(file)
+    return heads, {file: number for file, (number, _) in found.items()}
+
+
+def _bodies(spark: SparkSession, records: Records, heads: dict, numbers: dict[str, int], footer: int, names: list[str], options: dict) -> DataFrame:
+    """The parsed rows between header and footer, with the columns in the given order."""
+    body = records.select().where((F.col("record") != "") & (F.col("number") < F.col("records") - footer))
+    if len(heads) < 2 and len(set(numbers.values())) < 2:
+        return _parsed(body.where(F.col("number") > next(iter(numbers.values()), 0)), list(next(iter(heads), names)), options)
+    known = [(file, numbers[file], group) for group, files in enumerate(heads.values()) for file in files]
+    table = spark.createDataFrame(known, "file string, head long, set int")
+    body = body.join(F.broadcast(table) if len(known) <= keys.BROADCAST_ROWS else table, "file").where(F.col("number") > F.col("head"))
+    parts = [_parsed(body.where(F.col("set") == i), list(head), options) for i, head in enumerate(heads)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _schema(names: list[str]) -> T.StructType:
@@ -88,7 +125,7 @@ def _schema(names: list[str]) -> T.StructType:
 
 def _parsed(lines: DataFrame, names: list[str], options: dict) -> DataFrame:
     ddl = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    parsed = lines.select(F.from_csv("line", ddl, options).alias("r"))
+    parsed = lines.select(F.from_csv("record", ddl, options).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate([*names, _EXTRA])])
 
 
@@ -116,14 +153,14 @@ def header_names(line: str, sep: str) -> list[str]:
     return names
 
 
-def _decoded(charset: str) -> Column:
-    if charset == "UTF-8":
-        return F.col("value")
-    return F.decode(F.col("value").cast("binary"), charset)
+def _decoded(encoding: str):
+    """Adds the line as text; the text source hands over raw bytes."""
+    value = F.col("value") if ENCODINGS[encoding] == "UTF-8" else F.decode(F.col("value").cast("binary"), ENCODINGS[encoding])
+    return lambda lines: lines.withColumn("line", value)
 
 
-def _first_lines(spark: SparkSession, path) -> tuple[list[tuple[str, bytes]], bool]:
-    """The first non-empty line of every file, in order of the files, and whether all lines are UTF-8.
+def _first_lines(spark: SparkSession, path) -> list[tuple[str, bytes, bool]]:
+    """Of every file, in order: its name, the first non-empty line (empty if none), and whether all lines are UTF-8.
 
     Spark's text source hands over the raw bytes. One row per file comes back.
     """
@@ -136,31 +173,4 @@ def _first_lines(spark: SparkSession, path) -> tuple[list[tuple[str, bytes]], bo
     found = lines.groupBy("file").agg(
         F.min_by("line", F.when(F.length("line") > 0, F.col("at"))).alias("line"), F.every("valid").alias("valid")
     )
-    rows = sorted(found.collect())
-    return [(r["file"], bytes(r["line"])) for r in rows if r["line"]], all(r["valid"] for r in rows)
-
-
-def _numbered_lines(spark: SparkSession, path, charset: str) -> DataFrame:
-    """Lines with their number in the file and the file's line count.
-
-    Lines are counted per file block, and only those counts are summed up across blocks.
-    """
-    lines = spark.read.text(path).select(
-        _decoded(charset).alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("base"), F.count(F.lit(1)).alias("n"))
-    in_file = W.partitionBy("file").orderBy("block")
-    blocks = blocks.select(
-        "file",
-        "block",
-        "base",
-        (F.sum("n").over(in_file) - F.col("n")).alias("before"),
-        F.sum("n").over(W.partitionBy("file")).alias("lines"),
-    )
-    known = keys.measure([blocks], None)[0]
-    return lines.join(F.broadcast(known.table) if known.small else known.table, ["file", "block"]).select(
-        "file", "line", "lines", (F.col("at") - F.col("base") + F.col("before")).alias("line_no")
-    )
+    return sorted((r["file"], bytes(r["line"] or b""), r["valid"]) for r in found.collect())
