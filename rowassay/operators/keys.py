@@ -135,10 +135,13 @@ def attach(
     payload: list[str],
     table_keys: list[str] | None = None,
     weight: str | None = "__n",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join ``payload`` of a table with one row per key; null keys match null keys.
 
-    ``weight`` names the table column that says how many rows of ``df`` carry the key.
+    ``weight`` names the table column that says how many rows of ``df`` carry the key. ``counted``
+    has the same rows with the keys and fewer joins behind it; hot keys are looked for there, so that
+    a chain of joins is not run again at each link.
     """
     seen = table if isinstance(table, Measured) else measure([table], weight)[0]
     types = {f.name: f.dataType for f in seen.table.schema.fields}
@@ -155,7 +158,7 @@ def attach(
     if seen.small:
         side = F.broadcast(side)
     else:
-        hot = F.broadcast(hot_slots(df, keys))
+        hot = F.broadcast(hot_slots(df if counted is None else counted, keys))
         salts = F.coalesce(F.col("__salts"), F.lit(1))
         side = (
             side.withColumn("__slot", slot_of([F.col(n) for n in names]))
@@ -181,12 +184,12 @@ def _hashable(dtype: T.DataType) -> bool:
 
 
 def mark(
-    df: DataFrame, keys: list[str], bad: DataFrame | Measured, flag: str, table_keys: list[str] | None = None
+    df: DataFrame, keys: list[str], bad: DataFrame | Measured, flag: str, table_keys: list[str] | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
     """Add a boolean that is true on rows whose key is listed in ``bad``."""
     seen = bad if isinstance(bad, Measured) else measure([bad])[0]
     seen = replace(seen, table=seen.table.withColumn(flag, F.lit(True)))
-    marked = attach(df, keys, seen, [flag], table_keys)
+    marked = attach(df, keys, seen, [flag], table_keys, counted=counted)
     return marked.withColumn(flag, F.coalesce(col(flag), F.lit(False)))
 
 

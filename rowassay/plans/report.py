@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.functions.text import as_text, col, is_missing
 from rowassay.operators import column_checks, dataset_checks, keys, membership, order
+from rowassay.operators.key_lists import repeated_lists
 from rowassay.operators.order import first_of
 from rowassay.operators.normalize import normalized
 from rowassay.operators.quantiles import quantiles_of
@@ -336,7 +337,7 @@ class Report:
                 distinct = F.approx_count_distinct(col(value), 0.01)
                 got = filled.agg(F.lit(i).alias("i"), distinct.alias("distinct"), F.count(F.lit(1)).alias("filled"))
             elif (value,) in self._shared:
-                more = self._shared[value,].table.where(~missing).select((F.lit(1) - F.col("__n")).alias("d"), F.lit(0).cast("bigint").alias("f"))
+                more = self._shared[value,].filled().select((F.lit(1) - F.col("__n")).alias("d"), F.lit(0).cast("bigint").alias("f"))
                 one = F.lit(1).cast("bigint")
                 got = filled.select(one.alias("d"), one.alias("f")).unionByName(more)
                 got = got.agg(F.lit(i).alias("i"), F.coalesce(F.sum("d"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("f"), F.lit(0)).alias("filled"))
@@ -380,34 +381,30 @@ class Report:
         check.details["outlier_count"] = F.count_if(flag)
 
     def _measure_keys(self) -> None:
-        """Failing keys of all set checks: one grouping per key list, all measured in one job.
+        """Failing keys of all set checks: one grouping for all key lists, all others measured in one job.
 
         The counts are known from here on; a check without failing keys adds no join.
         """
-        lists = [keys.repeated(self.frame, list(names), held=self._tables) for names in self._key_lists]
-        measured = keys.measure([*lists, *[bad for _, _, bad, _ in self._key_checks]], held=self._tables)
-        self._shared = dict(zip(self._key_lists, measured))
-        self._seen = measured[len(lists):]
+        types = self.frame.schema
+        lists = [(list(n), is_missing(col(n[0]), types[n[0]].dataType) if len(n) == 1 else None) for n in self._key_lists]
+        self._shared = dict(zip(self._key_lists, repeated_lists(self.frame, lists, self._tables)))
+        for names, checks in self._key_lists.items():
+            for check, excused in checks:
+                check.settled_count = self._shared[names].seen.total - (0 if excused is None else self._shared[names].missing)
+        self._seen = keys.measure([bad for _, _, bad, _ in self._key_checks], held=self._tables)
         for (check, *_), seen in zip(self._key_checks, self._seen):
             check.settled_count = seen.total
-        excused = [(check, names, x) for names, checks in self._key_lists.items() for check, x in checks]
-        asks = [
-            self._shared[names].table.where(~x).agg(F.lit(i).alias("i"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
-            for i, (_, names, x) in enumerate(excused) if x is not None and self._shared[names].rows
-        ]
-        less = {r["i"]: r["n"] for r in reduce(DataFrame.unionByName, asks).collect()} if asks else {}
-        for i, (check, names, _) in enumerate(excused):
-            check.settled_count = less.get(i, self._shared[names].total)
 
     def _mark_keys(self, frame: DataFrame) -> DataFrame:
         """Mark the rows of failing keys, once per key list."""
+        rows = frame
         for i, (names, checks) in enumerate(self._key_lists.items()):
             shared = f"__r{i}"
-            frame = keys.mark(frame, list(names), self._shared[names], shared)
+            frame = self._shared[names].mark(frame, shared, rows)
             flags = {check.flag: col(shared) if x is None else col(shared) & ~x for check, x in checks}
             frame = frame.withColumns(flags).drop(shared)
         for (check, names, _, table_keys), seen in zip(self._key_checks, self._seen):
-            frame = keys.mark(frame, names, seen, check.flag, table_keys)
+            frame = keys.mark(frame, names, seen, check.flag, table_keys, rows)
         return frame
 
     # --- counts ----------------------------------------------------------------------------
