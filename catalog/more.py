@@ -220,3 +220,21 @@ def csv_mixed_encodings(spark, sf):
         rows.write.options(header=True, encoding=charset).csv(f"{path}/{i}")
     read = csv_source.read_csv(spark, [f"{path}/0", f"{path}/1"])
     return read.rows.withColumn("encoding", F.lit(read.encoding))
+
+
+@query(r"""SELECT count(*) FILTER (WHERE p_partkey % 3 <> 0) AS line_breaks, count(*) FILTER (WHERE p_partkey % 4 = 0) AS classes,
+   count(*) FILTER (WHERE NOT regexp_matches(p_name, '^[^\x00-\x40\x5B-\x60\x7B-\x7F]+ ?[a-z]*')) AS words, count(*) FILTER (WHERE p_partkey % 2 = 1) AS references_ FROM part""")
+def pattern_vertical_tab(spark, sf):
+    """Patterns whose escapes, classes and references mean other things in Java, as Python reads them."""
+    part = table(spark, sf, "part")
+    mark = F.element_at(F.array(F.lit("\v"), F.lit("\n"), F.lit("\x85")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = part.select(
+        F.concat("p_name", mark, "p_brand").alias("line_breaks"),
+        F.when(F.col("p_partkey") % 4 == 0, F.lit("[x]\t")).otherwise("[x&&y]").alias("classes"),
+        F.col("p_name").alias("words"),
+        F.concat(F.lit("k"), F.when(F.col("p_partkey") % 2 == 1, F.lit("K")).otherwise("\u212a"), F.lit("..")).alias("references_"),
+    )
+    patterns = {"line_breaks": r"[^\v]*\v[^\v]+\Z", "classes": r"\[[x&&[y]+\]$", "words": r"[^\W\d_]+ ?[a-z]*", "references_": r"k\u212a(?P<dot>\.)(?P=dot)$"}
+    rules = {"columns": [{"name": n, "tests": [{"type": "pattern", "params": {"tier": "custom", "pattern": p}}]} for n, p in patterns.items()]}
+    found = validate(rows, rules).test_results()
+    return found.agg(*[F.max(F.when(F.col("target") == n, F.col("failed_count"))).alias(n) for n in patterns])

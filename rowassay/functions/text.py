@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import string
 
 from pyspark.sql import Column, functions as F
@@ -103,43 +102,3 @@ def escape_formula(c: Column) -> Column:
 
 def null_if_token(c: Column, tokens: list[str]) -> Column:
     return F.when(c.isin(list(tokens)), F.lit(None)).otherwise(c) if tokens else c
-
-
-def java_regex(pattern: str) -> str | None:
-    """A Python pattern, matched at the start of the value, in Java's dialect.
-
-    None when the pattern is not valid Python, in which case nothing can match it.
-    """
-    try:
-        re.compile(pattern)
-    except re.error:
-        return None
-    out: list[str] = []
-    at, inside, unicode_class = 0, False, False
-    while at < len(pattern):
-        ch = pattern[at]
-        named = None if inside else re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))").match(pattern, at)
-        if ch == "\\":
-            escape = pattern[at : at + 2]
-            unicode_class |= escape[1] in "dDwWsSbB"
-            out.append("\\z" if escape == "\\Z" and not inside else escape)
-            at += 2
-        elif named:
-            out.append(f"(?<{named[1]}>" if named[1] else f"\\k<{named[2]}>")
-            at = named.end()
-        elif inside:
-            # Java reads "[" and "&&" inside a character class as set operators.
-            out.append({"[": "\\[", "&": "\\&"}.get(ch, ch))
-            inside = ch != "]"
-            at += 1
-        elif ch == "[":
-            opening = re.compile(r"\[\^?\]?").match(pattern, at)[0]
-            out.append(opening.replace("]", "\\]"))
-            inside = True
-            at += len(opening)
-        else:
-            out.append(ch)
-            at += 1
-    # d: only LF ends a line, as in Python; U: \d \w \s \b cover all of Unicode; u: so does (?i).
-    flags = ("U" if unicode_class else "") + ("u" if re.compile(pattern).flags & re.IGNORECASE or "(?i" in pattern else "")
-    return f"(?d{flags})^(?:{''.join(out)})"

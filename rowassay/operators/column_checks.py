@@ -9,15 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions import dates, numbers, presets
-from rowassay.functions.text import as_text, is_missing, java_regex, strip
+from rowassay.functions.patterns import OnlyPython, java_regex
+from rowassay.functions.text import as_text, is_missing, strip
 
 Builder = Callable[[Column, T.DataType, dict, str], Column]
 ROW_CHECKS: dict[str, Builder] = {}
@@ -114,22 +113,11 @@ def pattern(c, dtype, params, declared):
     wanted = pattern_of(params)
     if not wanted:
         return F.lit(False)
-    java = java_regex(wanted)
-    if java is None:
-        return text.isNotNull()
-    if not _java_compiles(java):
-        return text.isNotNull() & ~_python_match(wanted)(text)
-    return ~text.rlike(java)
-
-
-@lru_cache(maxsize=1000)
-def _java_compiles(java: str) -> bool:
-    """Tried on one row, as sessions without a JVM at hand can."""
     try:
-        SparkSession.builder.getOrCreate().range(1).select(F.lit("").rlike(java)).collect()
-    except PySparkException:
-        return False
-    return True
+        java = java_regex(wanted)
+    except OnlyPython:
+        return text.isNotNull() & ~_python_match(wanted)(text)
+    return text.isNotNull() if java is None else ~text.rlike(java)
 
 
 def _python_match(wanted: str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions import dates, numbers, presets, text
+from rowassay.functions.patterns import OnlyPython, java_regex
 
 ALPHABET = (
     string.printable + "àÉöñßÆøИЖяΩσ東京あ٣५€£¥ ​  　\x00\x07\x1c\x1f\x85\xad‘’…—🙂‎"
@@ -157,7 +158,7 @@ SAMPLES = [
 @pytest.mark.parametrize("name", presets.PATTERNS)
 def test_presets_like_re(column, name):
     pattern = presets.PATTERNS[name]
-    got = column(SAMPLES, lambda c: c.rlike(text.java_regex(pattern)))
+    got = column(SAMPLES, lambda c: c.rlike(java_regex(pattern)))
     assert dict(zip(SAMPLES, got)) == {s: bool(re.match(pattern, s)) for s in SAMPLES}
 
 
@@ -166,7 +167,7 @@ def test_presets_like_re(column, name):
 )
 def test_python_dialect(column, pattern):
     values = SAMPLES + ["aab", "ab", "[b", "]x", "a\nc", "abc\n", "12", "12\n", "&&x", "[", "xx", "y"]
-    got = column(values, lambda c: c.rlike(text.java_regex(pattern)))
+    got = column(values, lambda c: c.rlike(java_regex(pattern)))
     assert dict(zip(values, got)) == {s: bool(re.match(pattern, s)) for s in values}
 
 
@@ -178,7 +179,7 @@ def test_python_dialect(column, pattern):
 )
 def test_escapes_like_python(column, pattern):
     values = ["[12]", "[x]", "[ERROR] x", "[2024-01] [INFO]", "\\Z", "\\z", "ÉCOLE", "école", "][x", "\\a", "\\[ab]", "éCole", "ab]", ""]
-    got = column(values, lambda c: c.rlike(text.java_regex(pattern)))
+    got = column(values, lambda c: c.rlike(java_regex(pattern)))
     assert dict(zip(values, got)) == {s: bool(re.match(pattern, s)) for s in values}
 
 
@@ -189,12 +190,60 @@ def test_random_patterns_like_python(column):
     values = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 5))) for _ in range(300)]
     for _ in range(25):
         pattern = rng.choice(["", "(?i)"]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + rng.choice(["", "$", r"\Z"])
-        got = column(values, lambda c: c.rlike(text.java_regex(pattern)))
+        got = column(values, lambda c: c.rlike(java_regex(pattern)))
         assert (pattern, dict(zip(values, got))) == (pattern, {s: bool(re.match(pattern, s)) for s in values})
 
 
+def agree(spark, patterns, values):
+    """Which values each pattern matches, in one job, against re.match."""
+    rows = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    got = rows.select("v", F.array(*[F.col("v").rlike(java_regex(p)) for p in patterns]).alias("hits")).collect()
+    assert len(got) == len(values)
+    for p, i in zip(patterns, range(len(patterns)), strict=True):
+        found = re.compile(p)
+        wrong = [(r["v"], r["hits"][i]) for r in got if r["hits"][i] != bool(found.match(r["v"]))]
+        assert not wrong, (p, java_regex(p), wrong[:5])
+
+
+ODD = ["", "\n", "a\n", "\n\n", "a\vb", "a\nb", "a\x85b", "a\u2028b", "a\rb", "a\x1cb", " ", "\xa0", "٣", "ß", "ẞ", "ſ", "s", "S", "K", "k", "K", "İ", "ı", "i", "I", "é", "É",
+       "µ", "μ", "Σ", "ς", "σ", "_", "-", "a-b", "猫", "🙂", "\x00", "1", "²", "Ⅷ", "aa", "aab", "abab", "foo bar", "x&&y", "[a]", "]", "^", "\\", "ab\ncd\n", "cd", "ǅ", "ǆ", "Ǆ", "́"]
+
+
+def test_every_kind_of_node(spark):
+    patterns = [
+        r"a\vb", r"a[\v]b", r"a[^\v]b", r"a.b", r"(?s)a.b", r"(?s:a.)b|c", r"\s", r"[\s\d]", r"[^\s\d]", r"[^\W\d]", r"[\S\n]", r"\S", r"\w+\Z", r"\W", r"\D", r"(?a)\w", r"(?a)\s|\d", r"(?a:\w)x|(?u:é)",
+        r"(?i)s", r"(?i)ß", r"(?i)ẞ", r"(?i)k", r"(?i)i", r"(?i)İ", r"(?i)ı", r"(?i)σ", r"(?i)ς", r"(?i)µ", r"(?i)ǅ", r"(?ai)k", r"(?ai)É", r"(?i)[a-z]$", r"(?i)[^k-s]", r"(?i)[^s]", r"(?i:É)", r"(?i:a(?-i:B))|(?-i:I)",
+        r"^", r"$", r"a$", r"(?m)a$", r"(?m).*\n^cd$", r"(?m)(?s:.)*^$", r"a\Z", r"\A\Z", r"\b", r"\B", r"\w+\b.", r"\B\w|.\B", r"(?a)\b.", r"[^\n]*\b\S",
+        r"(a)(b)?\2", r"(?P<x>a)(?P=x)b", r"(ab)\1", r"(?:(a)|b)*\1", r"a*?b", r"a*+b", r"a++a", r"(?>a+)b", r"(?:a|b){2,3}$", r"(?:a?){3}", r"a{,2}$", r"a{2}", r"x*",
+        r"(?=a)a", r"(?!a)", r"(?=.*b)a", r".*(?<=b)$", r".(?<!a)", r"(?<=x)a", r".(?<=[a\s])", r"(?!)", r"(?x) a  # b\n b", r"[]a]", r"[^]a]", r"[[]a", r"[&&x]+", r"[x&&[y]", r"[a\-b]+", r"[-a]+", r"[\^]", r"\\", r"[\\]", r"[\x00-\x1f]",
+        r"\u00e9|\U0001F642", r"[\U0001F600-\U0001F64F]", r".$", r"\.|\[", r"#|~|&&", r"foo\ bar", r"\t|\r|\f", r"\012", r"|a", r"(?:)", r"()\1a",
+    ]
+    agree(spark, patterns, ODD)
+
+
+def test_random_patterns(spark):
+    rng = random.Random(29)
+    atoms = ["a", "b", "É", "k", ".", r"\d", r"\w", r"\s", r"\v", r"\W", r"[ab]", r"[^a\s]", r"[\w-]", r"[^\d_]", r"[a-k]", r"\b", r"\B", "^", "$", r"(?=a)", r"(?<!b)", r"(a|b)", r"\n", r"[\n\v]", "(?:ab|k)"]
+    patterns = []
+    while len(patterns) < 150:
+        p = rng.choice(["", "", "(?i)", "(?s)", "(?m)", "(?a)", "(?im)"]) + "".join(rng.choice(atoms) + rng.choice(["", "", "", "?", "*", "+?", "{2}", "{0,2}", "*+"]) for _ in range(rng.randint(1, 5)))
+        try:
+            re.compile(p)
+            patterns.append(p)
+        except re.error:
+            pass
+    values = ["".join(rng.choice("abkKÉé1 _-\n\v\x85K") for _ in range(rng.randint(0, 6))) for _ in range(200)]
+    agree(spark, patterns, list(dict.fromkeys([*values, *ODD])))
+
+
 def test_bad_pattern_is_none():
-    assert text.java_regex("(") is None
+    assert java_regex("(") is None and java_regex(r"[z-a]") is None and java_regex("a**") is None
+
+
+def test_only_python():
+    for pattern in (r"(a)?b(?(1)c|d)", r"(?i)(a)\1", r"(a)b(?<=\1b)", r"(?i)[\u0100-\uffff]"):
+        with pytest.raises(OnlyPython):
+            java_regex(pattern)
 
 
 def test_value_lists(spark):
