@@ -126,6 +126,20 @@ def enum_customer_segment_exact_case(spark, sf):
     return tested(dirty_customer(spark, sf), "segment", "enum", params)
 
 
+@query(f"""SELECT count(*) FILTER (WHERE o_custkey % 2 = 1 OR o_custkey > 100000) AS by_list, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS by_table,
+   count(*) FILTER (WHERE o_custkey % 2 = 1 OR o_custkey > 100000 OR o_orderkey % 9 = 0) AS flagged FROM {DUCK_ORDERS}""")
+def enum_long_list(spark, sf):
+    """A list of 50 000 values, and a table of them."""
+    orders = dirty_orders(spark, sf).withColumn("name", F.concat(F.lit(" cust "), "o_custkey"))
+    known = table(spark, sf, "orders").where("o_orderkey % 9 <> 0").select("o_orderkey")
+    lists = {"name": [f"Cust {i}" for i in range(0, 100_001, 2)], "o_orderkey": known}
+    label = {"action": "label_failure"}
+    rules = {"columns": [{"name": n, "tests": [{"type": "enum", "params": {"allowed_values": v}}], "failure_handling": label} for n, v in lists.items()]}
+    report = validate(orders, rules, row_key=["o_orderkey"])
+    found = report.test_results().agg(*[F.max(F.when(F.col("target") == n, F.col("failed_count"))).alias(a) for n, a in (("name", "by_list"), ("o_orderkey", "by_table"))])
+    return found.join(F.broadcast(report.labeled().agg(F.count_if(F.col("__dq_status__") == "FAIL").alias("flagged"))))
+
+
 @query(outcome("lang", "enum", "lower(lang) NOT IN ('de','es','fr','it','in','no','sv')", "documents"))
 def enum_documents_country_preset(spark, sf):
     # of the language codes in the table, de, es and fr are also country codes

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from datetime import date, datetime
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rowassay.functions import dates, numbers, presets
 from rowassay.functions.patterns import OnlyPython, java_regex
-from rowassay.functions.text import as_text, is_missing, strip
+from rowassay.functions.text import as_text, col, is_missing, strip
 
 Builder = Callable[[Column, T.DataType, dict, str], Column]
 ROW_CHECKS: dict[str, Builder] = {}
@@ -81,17 +81,43 @@ def _outside(x: Column, low, high, literal) -> Column:
     return bad
 
 
-@register("enum")
-def allowed(c, dtype, params, declared):
-    values = params.get("allowed_values") or []
+#: Allowed values that stay in the plan; more of them become a table.
+LISTED = 1000
+
+
+def allowed_values(params: dict) -> list | DataFrame:
+    values = params.get("allowed_values")
     if params.get("preset"):
         values = presets.value_list(params["preset"]) or values
+    return values if isinstance(values, DataFrame) else values or []
+
+
+def compared(c: Column, dtype: T.DataType, params: dict) -> Column:
+    """A value as the list is asked for it: trimmed text, in upper case where case is ignored."""
     text = strip(as_text(c, dtype))
-    values = [str(v) for v in values]
-    if params.get("case_insensitive", True):
-        text, values = F.upper(text), [v.upper() for v in values]
-    values = [v.strip() for v in values]
-    return ~text.isin(values) if values else text.isNotNull()
+    return F.upper(text) if params.get("case_insensitive", True) else text
+
+
+def listed(values: list, params: dict) -> list[str]:
+    texts = [str(v) for v in values]
+    return [v.strip() for v in (map(str.upper, texts) if params.get("case_insensitive", True) else texts)]
+
+
+def value_table(spark: SparkSession, values: list | DataFrame, params: dict) -> DataFrame:
+    """The allowed values as a table of one column, ``value``: of a list, or of a table's first column."""
+    if isinstance(values, DataFrame):
+        first = values.schema[0]
+        return values.select(compared(col(first.name), first.dataType, params).alias("value")).where("value IS NOT NULL")
+    return spark.createDataFrame(pd.DataFrame({"value": list(dict.fromkeys(listed(values, params)))}), "value string")
+
+
+@register("enum")
+def allowed(c, dtype, params, declared):
+    values = allowed_values(params)
+    if isinstance(values, DataFrame):
+        raise ValueError("a table of allowed values is no expression; check it with validate()")
+    text = compared(c, dtype, params)
+    return ~text.isin(listed(values, params)) if values else text.isNotNull()
 
 
 def pattern_of(params: dict) -> str | None:

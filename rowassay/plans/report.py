@@ -193,7 +193,10 @@ class Report:
     def _column_check(self, check: Check, params: dict, declared: str) -> None:
         value, dtype = self.view[check.target], self.view_types[check.target]
         missing = is_missing(col(value), dtype)
-        if check.test in column_checks.ROW_CHECKS:
+        values = column_checks.allowed_values(params) if check.test == "enum" else []
+        if isinstance(values, DataFrame) or (len(values) > column_checks.LISTED and not self.frame.isStreaming):
+            self._value_list(check, value, values, params)
+        elif check.test in column_checks.ROW_CHECKS:
             if check.test == "pattern" and not column_checks.pattern_of(params):
                 check.passed, check.note = False, "no pattern given"
                 return
@@ -228,6 +231,15 @@ class Report:
         else:
             check.passed, check.note = False, f"unknown test {check.test}"
 
+    def _value_list(self, check: Check, value: str, values: list | DataFrame, params: dict) -> None:
+        """A long list of allowed values is a table; failing values are those it does not hold."""
+        check.flags = True
+        asked = f"__l{check.id}"
+        self.frame = self.frame.withColumn(asked, column_checks.compared(col(value), self.view_types[check.target], params))
+        table = column_checks.value_table(self.frame.sparkSession, values, params)
+        bad = keys.missing_keys(self.frame, asked, table, "value", self._tables)
+        self._key_checks.append((check, [asked], bad, None))
+
     def _dataset_checks(self) -> None:
         for t in self.rules["dataset_tests"]:
             params, test = t["params"], t["type"]

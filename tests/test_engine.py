@@ -556,3 +556,33 @@ def test_columns_named_like_counts(spark):
     assert membership.missing_values(df, "n", df.where("n = 2"), "n").first()["row_count"] == 2
     assert sorted(r["rows"] for r in treatments.deduplicate(df, ["n"], "last", ["rows"]).collect()) == ["b", "c"]
     assert {r["column_name"]: r["unique_count"] for r in profile.column_stats(df).collect()} == {"n": 2, "rows": 3}
+
+
+# --- long value lists --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_long_lists_like_short_ones(spark, monkeypatch, exact):
+    values = [("a",), (" A ",), ("b",), ("é",), ("É",), (None,), ("",), ("x y",), ("a",), ("zz",)]
+    df = spark.createDataFrame([(i, v, float(i % 3) if i % 4 else float("nan")) for i, (v,) in enumerate(values)], "id int, `v.w` string, n double")
+    tests = [("v.w", ["A ", "é", "", "X Y", 7]), ("n", [0.0, "1.0"])]
+
+    def found(as_table):
+        def given(v):
+            return spark.createDataFrame([(str(x),) for x in v], "allowed string").unionByName(spark.createDataFrame([(None,)], "allowed string")) if as_table else v
+
+        rules = {"columns": [{"name": n, "tests": [{"type": "enum", "params": {"allowed_values": given(v), "case_insensitive": not exact}}], "failure_handling": {"action": "label_failure"}} for n, v in tests]}
+        report = validate(df, rules, row_key=["id"])
+        cells = sorted(tuple(r) for r in report.cell_errors().select("id", "column_name", "value").collect())
+        return [r["failed_count"] for r in report.test_results().collect()], cells
+
+    short = found(False)
+    monkeypatch.setattr(column_checks, "LISTED", 1)
+    assert found(False) == short and found(True) == short and short[1]
+
+
+def test_long_list_stays_out_of_the_plan(spark):
+    df = spark.range(100).selectExpr("cast(id as string) v")
+    report = validate(df, {"columns": [{"name": "v", "tests": [{"type": "enum", "params": {"allowed_values": list(range(50, 50_000))}}], "failure_handling": {"action": "label_failure"}}]})
+    assert report.test_results().first()["failed_count"] == 50
+    assert len(report.annotated._jdf.queryExecution().toString()) < 50_000
