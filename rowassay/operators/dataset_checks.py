@@ -19,6 +19,8 @@ from rowassay.operators.quantiles import exact_quantiles
 
 IQR_MULTIPLIER = 1.5
 ZSCORE_THRESHOLD = 3.0
+#: One over the part of all rows by which the rank of an approximate quartile may be off.
+SKETCH_ACCURACY = 10_000
 
 
 def duplicate_report(df: DataFrame, subset: list[str] | None = None, hash_first: bool | None = None) -> DataFrame:

@@ -233,18 +233,17 @@ def deduplicate(
             # positions are gathered only for keys known to repeat
             group = keys.mark(rows, subset, bad, "__dup").where("__dup")
     pick = F.min if keep == "first" else F.max
-    kept = (
-        group.groupBy(*[col(s) for s in subset])
-        .agg(F.count(F.lit(1)).alias("__n"), pick(at).alias("__keep"))
-        .where("__n > 1")
-    )
-    seen = keys.measure([kept])[0]
+    names = [col(s) for s in subset]
+    # copies are counted by position first, so the kept position comes with the rows that share it
+    spots = group.groupBy(*names, at.alias("__at")).agg(F.count(F.lit(1)).alias("__c"))
+    kept = spots.groupBy(*names).agg(F.sum("__c").alias("__n"), pick(F.struct("__at", "__c")).alias("__k")).where("__n > 1")
+    seen = keys.measure([kept.select(*names, "__n", F.col("__k.__at").alias("__keep"), F.col("__k.__c").alias("__same"))])[0]
+    found = keys.attach(df, subset, seen, ["__keep", "__same"])
     chosen = F.col("__keep") == at
-    found = keys.attach(df, subset, seen, ["__keep"])
-    out = found.where(F.col("__keep").isNull() | chosen).drop("__keep")
-    if keys.attach(rows, subset, seen, ["__keep"]).where(chosen).count() > seen.rows:
+    out = found.where(F.col("__keep").isNull() | chosen)
+    if seen.table.where("__same > 1").limit(1).count():
         # copies share a position: those rows are thinned out among themselves
-        same = list(dict.fromkeys([*subset, *order_by]))
-        single, tied = found.where("__keep IS NULL"), found.where(chosen).dropDuplicates(same)
-        out = single.unionByName(tied).drop("__keep")
+        tied = out.where("__same > 1").dropDuplicates(list(dict.fromkeys([*subset, *order_by])))
+        out = out.where("__keep IS NULL OR __same = 1").unionByName(tied)
+    out = out.drop("__keep", "__same")
     return out.drop(order.ROW_ID) if numbered else out

@@ -364,17 +364,29 @@ class Report:
             check.settled_count = 0 if check.passed else 1
 
     def _settle_outliers(self) -> None:
-        """Bounds of all outlier checks: one job for spreads, one count and one for quartiles."""
+        """Bounds of all outlier checks: one pass for spreads and sketches, one count and one for exact quartiles.
+
+        With ``approximate`` quartiles come from a mergeable sketch: the rank of each is off by one
+        part in ``accuracy`` of the rows at most, and the details say so.
+        """
         spreads = [o for o in self._outliers if o[0].test == "outliers_zscore"]
-        ranges = [o for o in self._outliers if o[0].test == "outliers_iqr"]
-        if spreads:
+        sketched = [o for o in self._outliers if o[0].test == "outliers_iqr" and o[2].get("approximate")]
+        ranges = [o for o in self._outliers if o[0].test == "outliers_iqr" and not o[2].get("approximate")]
+        if spreads or sketched:
             asks = []
             for _, value, _ in spreads:
                 x = dataset_checks.outlier_value(self.frame, value)
-                asks += [F.avg(x), F.stddev_samp(x)]
+                asks.append(F.struct(F.avg(x), F.stddev_samp(x)))
+            for _, value, params in sketched:
+                x = dataset_checks.outlier_value(self.frame, value)
+                asks.append(F.percentile_approx(x, [0.25, 0.75], int(params.get("accuracy", dataset_checks.SKETCH_ACCURACY))))
             got = self.frame.agg(*[a.alias(f"a{i}") for i, a in enumerate(asks)]).first()
+            for (check, value, params), quartiles in zip(sketched, got[len(spreads):]):
+                bounds = dataset_checks.bounds_of(quartiles or [None, None], params.get("multiplier", dataset_checks.IQR_MULTIPLIER))
+                error = 1 / int(params.get("accuracy", dataset_checks.SKETCH_ACCURACY))
+                self._outlier_details(check, {**bounds, "rank_error": error}, dataset_checks.iqr_flag(self.frame, value, bounds))
             for i, (check, value, params) in enumerate(spreads):
-                mean, std = got[2 * i], got[2 * i + 1]
+                mean, std = got[i]
                 check.note = None if std else "no variance"
                 flag = dataset_checks.zscore_flag(
                     self.frame, value, mean, std, params.get("threshold", dataset_checks.ZSCORE_THRESHOLD)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowassay import validate
 from rowassay.operators import dataset_checks, keys, membership, order, quantiles, treatments
 
 random.seed(3)
@@ -251,3 +252,36 @@ def test_unreadable_window_bound(spark):
 def test_unknown_keep(spark):
     with pytest.raises(ValueError):
         treatments.deduplicate(spark.range(3), ["id"], "none", ["id"])
+
+
+@pytest.mark.parametrize("accuracy", [20, 200])
+def test_sketched_quartiles(spark, accuracy):
+    """The rank of an approximate quartile is within its stated error."""
+    rng = np.random.default_rng(8)
+    values = np.round(np.concatenate([rng.normal(0, 1, 6000), np.full(3000, 0.5), rng.exponential(50, 3000)]), 3)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 7, "v double").repartition(6)
+    test = {"type": "outliers_iqr", "params": {"column": "v", "approximate": True, "accuracy": accuracy}}
+    details = validate(df, {"columns": [{"name": "v"}], "dataset_tests": [test]}).test_results().first()["details"]
+    assert float(details["rank_error"]) == 1 / accuracy
+    for name, p in (("q1", 0.25), ("q3", 0.75)):
+        low, high = np.searchsorted(np.sort(values), float(details[name]), "left"), np.searchsorted(np.sort(values), float(details[name]), "right")
+        assert low - len(values) / accuracy <= p * len(values) <= high + len(values) / accuracy
+    b = [float(details[k]) for k in ("lower_bound", "upper_bound")]
+    assert int(details["outlier_count"]) == int(((values < b[0]) | (values > b[1])).sum())
+
+
+def test_sketch_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    test = {"type": "outliers_iqr", "params": {"column": "v", "approximate": True}}
+    got = validate(df, {"columns": [{"name": "v"}], "dataset_tests": [test]}).test_results().first()
+    assert got["passed"] and got["details"]["outlier_count"] == "0" and got["details"]["q1"] is None
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_deduplicate_with_and_without_ties(spark, forced, keep):
+    """Some kept positions hold several rows, others one; rows that differ elsewhere stay one of each."""
+    rows = [("a", 1, 0), ("a", 1, 1), ("a", 2, 2), ("b", 5, 3), ("b", 4, 4), ("c", 9, 5), ("d", 3, 6), ("d", 3, 6), (None, 1, 7), (None, 2, 8)] * 3
+    df = spark.createDataFrame(rows, "k string, at int, x int").repartition(4)
+    got = sorted(((r["k"] or "", r["at"]) for r in treatments.deduplicate(df, ["k"], keep, ["at"]).collect()))
+    pick = min if keep == "first" else max
+    assert got == sorted({k or "": (k or "", pick(a for o, a, _ in rows if o == k)) for k, _, _ in rows}.values())
