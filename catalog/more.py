@@ -14,22 +14,32 @@ from rowassay.sources import csv as csv_source, sinks
 
 LABEL = {"action": "label_failure"}
 
-BAD_RULES = {
-    "columns": [
-        {"name": "o_orderkey", "data_type": "number", "tests": [{"type": "sorted"}]},
-        {"name": "o_orderkey", "tests": [{"type": "date_window", "params": {"min_date": "someday"}}]},
-        {"name": "o_orderdate", "tests": [{"type": "date_rule"}], "failure_handling": {"action": "quarantine_row"}},
-    ],
-    "dataset_tests": [{"type": "primary_key_uniqueness", "params": {"key_columns": ["o_custkey"]}}],
-    "foreign_key_checks": [{"name": "", "dataset_column": "o_orderkey", "fk_column": ""}],
-}
-
-
-@query("SELECT 9::BIGINT AS issues, count(*) AS orders FROM orders")
+@query("""SELECT 'columns[' || n_name || ']: unknown data type ''region ' || n_regionkey || '''' AS issue FROM nation WHERE n_regionkey > 2
+   UNION ALL SELECT 'columns[' || n_name || ']: quarantine_row needs quarantine_export_name' FROM nation WHERE n_nationkey % 4 = 0
+   UNION ALL SELECT 'columns[' || n_name || '].range: unknown severity ''' || lower(n_name) || '''' FROM nation WHERE n_nationkey % 3 = 0
+   UNION ALL SELECT 'columns[' || n_name || ']: listed twice' FROM nation WHERE n_nationkey % 10 = 5
+   UNION ALL SELECT 'columns[' || n_name || ']: unknown data type ''region ' || n_regionkey || '''' FROM nation WHERE n_nationkey % 10 = 5 AND n_regionkey > 2
+   UNION ALL SELECT 'columns[' || n_name || ']: quarantine_row needs quarantine_export_name' FROM nation WHERE n_nationkey % 10 = 5 AND n_nationkey % 4 = 0
+   UNION ALL SELECT 'columns[' || n_name || '].range: unknown severity ''' || lower(n_name) || '''' FROM nation WHERE n_nationkey % 10 = 5 AND n_nationkey % 3 = 0
+   UNION ALL SELECT 'dataset_tests[' || (row_number() OVER (ORDER BY n_nationkey) - 1) || ']: column ''no ' || n_name || ''' is not listed' FROM nation
+   UNION ALL SELECT (SELECT count(*) FROM orders)::VARCHAR || ' orders'""")
 def rule_issues_orders(spark, sf):
-    """A rule set with nine faults, looked at with the table's schema."""
+    """Faulty rules, one column and one key check per nation, looked at with the schema of the orders."""
+    nations = table(spark, sf, "nation").orderBy("n_nationkey").collect()  # 25 rows at every size
+    columns = [
+        {
+            "name": n["n_name"],
+            "data_type": f"region {n['n_regionkey']}" if n["n_regionkey"] > 2 else "text",
+            "tests": [{"type": "range", "severity": n["n_name"].lower() if n["n_nationkey"] % 3 == 0 else "error"}],
+            "failure_handling": {"action": "quarantine_row" if n["n_nationkey"] % 4 == 0 else "drop_row"},
+        }
+        for n in [*nations, *[n for n in nations if n["n_nationkey"] % 10 == 5]]
+    ]
+    tests = [{"type": "primary_key_uniqueness", "params": {"key_columns": ["no " + n["n_name"]]}} for n in nations]
     orders = table(spark, sf, "orders")
-    return orders.agg(F.lit(len(find_issues(BAD_RULES, orders.schema))).cast("bigint").alias("issues"), F.count(F.lit(1)).alias("orders"))
+    found = find_issues({"columns": columns, "dataset_tests": tests}, orders.schema)
+    count = orders.agg(F.concat(F.count(F.lit(1)), F.lit(" orders")).alias("issue"))
+    return spark.createDataFrame([(i,) for i in found], "issue string").unionByName(count)
 
 
 VALID_RULES = {

@@ -220,35 +220,89 @@ def sample_values_part(spark, sf):
     return out.withColumn("samples", F.array_join(F.array_sort("samples"), "|"))
 
 
-_GUESSES = """SELECT 'o_orderkey' AS column_name, '{i}' AS guessed UNION ALL SELECT 'o_totalprice', 'float' UNION ALL SELECT 'priority', '{s}'
-  UNION ALL SELECT 'day_text', '{s}' UNION ALL SELECT 'flag_text', '{s}' UNION ALL SELECT 'o_orderdate', '{d}'"""
+# What values say, in SQL: conditions on all of a column's first values.
+_BOOLEAN = "lower(trim(v)) IN ('true', 'false', 'yes', 'no', '1', '0', 't', 'f', 'y', 'n'{more})"
+_DATE = "regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?$') OR regexp_matches(v, '^[0-9]{2}/[0-9]{2}/[0-9]{4}$')"
+_TYPED = "regexp_extract(typeof(any_value({c})), '[A-Z]+')"
+_PHYSICAL = """CASE WHEN {t} IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer' WHEN {t} IN ('DOUBLE', 'FLOAT', 'DECIMAL') THEN 'float'
+   WHEN {t} IN ('DATE', 'TIMESTAMP') THEN '{moment}' WHEN {t} = 'BOOLEAN' THEN 'boolean' ELSE 'text' END"""
 
 
-@query(_GUESSES.format(i="integer", s="string", d="datetime"))
+def _guess_of(column, size, source, order):
+    """What the first values of a text column look like."""
+    return f"""SELECT '{column}' AS column_name, CASE WHEN count(*) = 0 THEN 'unknown' WHEN bool_and({_BOOLEAN.format(more="")}) THEN 'boolean' WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'numeric'
+      WHEN bool_and({_DATE}) THEN 'date/datetime' ELSE 'string' END AS guessed FROM {_first(column, size, source, order)}"""
+
+
+def _physical_of(column, source, moment):
+    return f"SELECT '{column}' AS column_name, {_PHYSICAL.format(t=_TYPED.format(c=column), moment=moment)} AS guessed FROM {source}"
+
+
+_LOOKS = f"""(SELECT *, CAST(o_orderkey AS VARCHAR) || '.50' AS number_text, CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' ELSE ' n' END AS yes_no, CASE WHEN o_orderkey < 0 THEN 'x' END AS nothing,
+   strftime(o_orderdate, '%Y-%m-%d') AS iso_day FROM {DUCK_ORDERS})"""
+
+
+@query(" UNION ALL ".join([_physical_of(c, _LOOKS, "datetime") for c in ("o_orderkey", "o_totalprice", "o_orderdate")]
+       + [_guess_of(c, 100, _LOOKS, "o_orderkey") for c in ("priority", "day_text", "flag_text", "number_text", "yes_no", "nothing", "iso_day")]))
 def semantic_types_orders(spark, sf):
-    cols = ["o_orderkey", "o_totalprice", "priority", "day_text", "flag_text", "o_orderdate"]
-    return profile.semantic_types(dirty_orders(spark, sf).select(*cols), ["o_orderkey"])
+    cols = ["o_orderkey", "o_totalprice", "priority", "day_text", "flag_text", "o_orderdate", "number_text", "yes_no", "nothing", "iso_day"]
+    rows = dirty_orders(spark, sf).withColumns({
+        "number_text": F.concat("o_orderkey", F.lit(".50")), "yes_no": F.when(F.col("o_orderkey") % 3 == 0, "Yes").otherwise(" n"),
+        "nothing": F.when(F.col("o_orderkey") < 0, "x"), "iso_day": F.date_format("o_orderdate", "yyyy-MM-dd"),
+    })
+    return profile.semantic_types(rows.select(*cols), ["o_orderkey"])
 
 
-@query("SELECT CASE WHEN bool_and(regexp_matches(v, '^-?[0-9]+%$')) THEN 'integer' ELSE 'text' END AS guessed, 'discount_text' AS column_name FROM "
-       + _first("discount_text", 20, DUCK_LINES, "l_orderkey, l_linenumber, l_extendedprice, l_shipdate")
-       + " UNION ALL SELECT 'date', 'l_shipdate' UNION ALL SELECT 'integer', 'l_linenumber' UNION ALL SELECT 'text', 'l_returnflag'")
+def _rule_type_of(column, size, source, order):
+    """The declared type the first values of a text column ask for."""
+    return f"""SELECT CASE WHEN count(*) = 0 THEN 'text' WHEN bool_and({_BOOLEAN.format(more=", 'on', 'off'")}) THEN 'boolean'
+      WHEN bool_and(regexp_matches(trim(translate(v, ',$%', '')), '^-?[0-9]+$')) THEN 'integer' WHEN bool_and(TRY_CAST(translate(v, ',$', '') AS DOUBLE) IS NOT NULL) THEN 'float'
+      WHEN bool_and({_DATE}) THEN 'date' ELSE 'text' END AS guessed, '{column}' AS column_name FROM {_first(column, size, source, order)}"""
+
+
+_LINE_ORDER = "l_orderkey, l_linenumber, l_extendedprice, l_shipdate"
+
+
+@query(" UNION ALL ".join([_rule_type_of(c, 20, DUCK_LINES, _LINE_ORDER) for c in ("discount_text", "l_returnflag", "price_text", "quantity_text")]
+       + [f"SELECT guessed, column_name FROM ({_physical_of('l_linenumber', DUCK_LINES, 'timestamp')})",
+          f"SELECT CASE WHEN contains(column_name, 'date') THEN 'date' ELSE guessed END, column_name FROM ({_physical_of('l_shipdate', DUCK_LINES, 'timestamp')})"]))
 def rule_types_lineitem(spark, sf):
     lines = dirty_lines(spark, sf)
     by = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
-    names = ["discount_text", "l_shipdate", "l_linenumber", "l_returnflag"]
+    names = ["discount_text", "l_shipdate", "l_linenumber", "l_returnflag", "price_text", "quantity_text"]
     return profile.rule_types(lines.select(*dict.fromkeys(names + by)), by).where(F.col("column_name").isin(names))
 
 
-@query("SELECT 'discount_text' AS column_name, true AS is_percentage, false AS has_decimal, 'integer' AS suggested_type UNION ALL SELECT 'price_text', false, false, 'text'")
+def _percentage_of(column, source, order):
+    return f"""SELECT '{column}' AS column_name, is_percentage, is_percentage AND dotted AS has_decimal, CASE WHEN NOT is_percentage THEN 'text' WHEN dotted THEN 'float' ELSE 'integer' END AS suggested_type
+      FROM (SELECT avg(contains(v, '%')::INTEGER) >= 0.5 AS is_percentage, bool_or(contains(replace(v, '%', ''), '.')) AS dotted FROM {_first(column, 20, source, order)})"""
+
+
+_SHARES = f"""(SELECT *, CAST(l_quantity AS DECIMAL(18,2))::VARCHAR || '%' AS share_text,
+   CASE WHEN l_linenumber % 2 = 0 THEN discount_text ELSE quantity_text END AS half_text FROM {DUCK_LINES})"""
+
+
+@query(" UNION ALL ".join(_percentage_of(c, _SHARES, _LINE_ORDER) for c in ("discount_text", "price_text", "share_text", "half_text")))
 def percentage_columns_lineitem(spark, sf):
-    lines = dirty_lines(spark, sf).select("discount_text", "price_text", "l_orderkey", "l_linenumber")
-    out = profile.percentage_columns(lines, ["l_orderkey", "l_linenumber"])
-    return out.where("column_name IN ('discount_text', 'price_text')")
+    by = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    share = F.concat(F.col("l_quantity").cast("decimal(18,2)"), F.lit("%")).alias("share_text")
+    half = F.when(F.col("l_linenumber") % 2 == 0, F.col("discount_text")).otherwise(F.col("quantity_text")).alias("half_text")
+    out = profile.percentage_columns(dirty_lines(spark, sf).select("discount_text", "price_text", share, half, *by), by)
+    return out.where(~F.col("column_name").isin(by))
+
 
+def _format_of(column, source, order):
+    spellings = [("true/false (text)", "lower(trim(v)) IN ('true', 'false')"), ("t/f (text)", "lower(trim(v)) IN ('t', 'f')"), ("1/0 (numeric)", "trim(v) IN ('1', '0')"),
+                 ("yes/no (text)", "lower(trim(v)) IN ('yes', 'no')"), ("Y/N (text)", "trim(v) IN ('Y', 'N', 'y', 'n')")]
+    cases = " ".join(f"WHEN bool_and({test}) THEN '{label}'" for label, test in spellings)
+    return f"SELECT '{column}' AS column_name, CASE {cases} ELSE 'Any standard format' END AS boolean_format FROM {_first(column, 20, source, order)}"
 
-@query("""SELECT 'yn' AS column_name, 'Y/N (text)' AS boolean_format UNION ALL SELECT 'tf', 't/f (text)' UNION ALL SELECT 'words', 'yes/no (text)'
-   UNION ALL SELECT 'bits', '1/0 (numeric)' UNION ALL SELECT 'o_orderpriority', 'Any standard format'""")
+
+_FLAGS = """(SELECT o_orderkey AS k, o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'n' END AS yn, CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'f' END AS tf,
+   CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS words, CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END AS bits FROM orders)"""
+
+
+@query(" UNION ALL ".join(_format_of(c, _FLAGS, "k") for c in ("yn", "tf", "words", "bits", "o_orderpriority")))
 def boolean_formats_orders(spark, sf):
     even = F.col("o_orderkey") % 2 == 0
     rows = table(spark, sf, "orders").select(
@@ -262,8 +316,11 @@ def boolean_formats_orders(spark, sf):
     return profile.boolean_formats(rows, ["k"]).where("column_name != 'k'")
 
 
-@query("""SELECT 'c_custkey' AS column_name, 'integer' AS data_type, 'label_failure' AS action UNION ALL SELECT 'c_name', 'text', 'label_failure'
-   UNION ALL SELECT 'c_acctbal', 'float', 'label_failure' UNION ALL SELECT 'c_mktsegment', 'text', 'label_failure'""")
+_DEFAULTS = " UNION ALL ".join([f"SELECT guessed, column_name FROM ({_physical_of(c, 'customer', 'timestamp')})" for c in ("c_custkey", "c_acctbal")]
+                                + [_rule_type_of(c, 20, "customer", "c_custkey") for c in ("c_name", "c_mktsegment")])
+
+
+@query(f"SELECT column_name, guessed AS data_type, 'label_failure' AS action FROM ({_DEFAULTS})")
 def default_rules_customer(spark, sf):
     rules = profile.default_rules(table(spark, sf, "customer"), ["c_nationkey"], ["c_custkey"])
     rows = [(c["name"], c["data_type"], c["failure_handling"]["action"]) for c in rules["columns"]]

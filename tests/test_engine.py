@@ -586,3 +586,16 @@ def test_long_list_stays_out_of_the_plan(spark):
     report = validate(df, {"columns": [{"name": "v", "tests": [{"type": "enum", "params": {"allowed_values": list(range(50, 50_000))}}], "failure_handling": {"action": "label_failure"}}]})
     assert report.test_results().first()["failed_count"] == 50
     assert len(report.annotated._jdf.queryExecution().toString()) < 50_000
+
+
+def test_nine_faults(spark):
+    rules = {
+        "columns": [
+            {"name": "a", "data_type": "number", "tests": [{"type": "sorted"}]},
+            {"name": "a", "tests": [{"type": "date_window", "params": {"min_date": "someday"}}]},
+            {"name": "d", "tests": [{"type": "date_rule"}], "failure_handling": {"action": "quarantine_row"}},
+        ],
+        "dataset_tests": [{"type": "primary_key_uniqueness", "params": {"key_columns": ["c"]}}],
+        "foreign_key_checks": [{"name": "", "dataset_column": "a", "fk_column": ""}],
+    }
+    assert len(find_issues(rules, spark.range(1).selectExpr("id a", "id d").schema)) == 9
