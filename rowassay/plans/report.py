@@ -8,9 +8,10 @@ DataFrame; counts alone need no join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -68,12 +69,19 @@ class Check:
         return LABELS.get(self.test, self.test.replace("_", " "))
 
 
-def any_of(flags: list[Column]) -> Column:
-    return reduce(Column.__or__, flags, F.lit(False))
+#: Numbers counted in one pass; with more, generated code is given up for interpreted one.
+COUNTED = 40
+
 
+def balanced(join: Callable[[Column, Column], Column], parts: list[Column], none: Column) -> Column:
+    """All parts joined pairwise, so hundreds of them make a flat tree."""
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else none
 
-def total_of(parts: list[Column]) -> Column:
-    return reduce(Column.__add__, parts, F.lit(0)).cast("bigint")
+
+def any_of(flags: list[Column]) -> Column:
+    return balanced(Column.__or__, flags, F.lit(False))
 
 
 def validate(
@@ -144,7 +152,7 @@ class Report:
         self._settle_outliers()
         self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
         self.annotated = self._mark_keys(self.flagged)
-        self._metrics: DataFrame | None = None
+        self._numbers: dict[str, int | str | None] = {}
 
     # --- compiling -------------------------------------------------------------------------
 
@@ -445,8 +453,6 @@ class Report:
         self.annotated.unpersist()
         if self._input is not None:
             self._input.unpersist()
-        if self._metrics is not None:
-            self._metrics.unpersist()
 
     def _acting(self, severity: str | None = None) -> list[Check]:
         """Checks whose flags count for rows."""
@@ -459,113 +465,81 @@ class Report:
     def _failed(self, severity: str | None = None) -> Column:
         return any_of([col(c.flag) for c in self._acting(severity)])
 
-    @property
-    def metrics(self) -> DataFrame:
-        """One row from one pass without any join: rows, and failures of each value check."""
-        if self._metrics is None:
-            self._metrics = self._counted(self.flagged, [])
-        return self._metrics
+    def _known(self, error_rows: bool = False) -> dict:
+        """What passes over the table count: rows, failures and details of value checks, and rows with errors.
 
-    @property
-    def row_metrics(self) -> DataFrame:
-        """The same and the rows with errors, which need all flags side by side."""
-        if self._metrics is None or "error_rows" not in self._metrics.columns:
-            errors = F.count_if(self._failed("error")).alias("error_rows")
-            self._metrics = self._counted(self.annotated, [errors])
-        return self._metrics
-
-    def _counted(self, frame: DataFrame, more: list[Column]) -> DataFrame:
-        counts = [F.count_if(col(n)).alias(f"c{n}") for n in self._row_flags]
-        details = [d.alias(f"d{c.id}:{k}") for c in self.checks for k, d in c.details.items()]
-        out = frame.agg(F.count(F.lit(1)).alias("rows"), *more, *counts, *details)
-        return out.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def _count(self, c: Check) -> Column:
-        if c.flag in self._row_flags:
-            return col(f"c{c.flag}")
-        return F.lit(c.settled_count).cast("bigint")
-
-    def _passed(self, c: Check) -> Column:
-        return F.lit(c.passed) if c.passed is not None else self._count(c) == 0
+        Up to COUNTED numbers come from one pass. More are shared out to several, each of which reads its
+        own columns only; all run as one job. Rows with errors need all flags side by side.
+        """
+        if "rows" in self._numbers and (not error_rows or "error_rows" in self._numbers):
+            return self._numbers
+        asks = {f"c{n}": F.count_if(col(n)) for n in self._row_flags}
+        asks |= {f"d{c.id}:{k}": d.cast("string") for c in self.checks for k, d in c.details.items()}
+        passes: list[tuple[DataFrame, dict[str, Column]]] = []
+        if "rows" not in self._numbers:
+            first = {"rows": F.count(F.lit(1))}
+            names = list(asks)
+            passes = [(self.flagged, {n: asks[n] for n in names[i : i + COUNTED]}) for i in range(0, len(names), COUNTED)] or [(self.flagged, {})]
+            passes[0] = (passes[0][0], {**first, **passes[0][1]})
+        if error_rows and "error_rows" not in self._numbers:
+            errors = {"error_rows": F.count_if(self._failed("error"))}
+            if len(passes) == 1:
+                passes = [(self.annotated, {**passes[0][1], **errors})]
+            else:
+                passes.append((self.annotated, errors))
+        if passes:
+            texts = [frame.agg(F.array(*[a.cast("string") for a in own.values()]).alias("v")).select(F.lit(i).alias("i"), "v") for i, (frame, own) in enumerate(passes)]
+            for r in reduce(DataFrame.unionByName, texts).collect():  # a row per pass
+                for name, text in zip(passes[r["i"]][1], r["v"], strict=True):
+                    self._numbers[name] = text if name.startswith("d") else int(text)
+        return self._numbers
+
+    def _count(self, c: Check) -> int:
+        return self._known()[f"c{c.flag}"] if c.flag in self._row_flags else c.settled_count
+
+    def _passed(self, c: Check) -> bool:
+        return c.passed if c.passed is not None else self._count(c) == 0
+
+    def _note(self, c: Check) -> str | None:
+        if c.test == "monotonic":
+            return "too few values to compare" if int(self._known()[f"d{c.id}:values"]) < 2 else None
+        return c.note
+
+    def _table(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.frame.sparkSession.createDataFrame(rows, schema)
 
     def test_results(self) -> DataFrame:
         """One row per check."""
+        known = self._known()
         rows = [
-            F.struct(
-                F.lit(c.id).alias("check_id"),
-                F.lit(c.scope).alias("scope"),
-                F.lit(c.target).alias("target"),
-                F.lit(c.test).alias("test"),
-                F.lit(c.severity).alias("severity"),
-                F.lit(c.action).alias("action"),
-                self._passed(c).alias("passed"),
-                self._count(c).alias("failed_count"),
-                F.col("rows").alias("total_values"),
-                self._note(c).alias("note"),
-                self._detail_map(c).alias("details"),
-                (~self._passed(c) & F.lit(c.blocks and c.severity == "error")).alias("blocking"),
+            (
+                c.id, c.scope, c.target, c.test, c.severity, c.action, self._passed(c), self._count(c), known["rows"], self._note(c),
+                {k: known[f"d{c.id}:{k}"] for k in c.details} or None,
+                not self._passed(c) and c.blocks and c.severity == "error",
             )
             for c in self.checks
-        ]
-        if not rows:
-            schema = "check_id int, scope string, target string, test string, severity string, action string, passed boolean, failed_count bigint, total_values bigint, note string, details map<string,string>, blocking boolean"
-            return self.metrics.sparkSession.createDataFrame([], schema)
-        return self.metrics.select(F.inline(F.array(*rows)))
-
-    @staticmethod
-    def _note(c: Check) -> Column:
-        if c.test == "monotonic":
-            return F.when(col(f"d{c.id}:values") < 2, "too few values to compare")
-        return F.lit(c.note).cast("string")
-
-    def _detail_map(self, c: Check) -> Column:
-        parts = []
-        for k in c.details:
-            parts += [F.lit(k), col(f"d{c.id}:{k}").cast("string")]
-        return F.create_map(*parts) if parts else F.lit(None).cast("map<string,string>")
+        ]
+        schema = "check_id int, scope string, target string, test string, severity string, action string, passed boolean, failed_count bigint, total_values bigint, note string, details map<string,string>, blocking boolean"
+        return self._table(rows, schema)
 
     def column_results(self) -> DataFrame:
         """Tests passed and failed per column, and its status."""
-        def failed(severity):
-            return F.count_if(~F.col("passed") & (F.col("severity") == severity))
-
-        out = (
-            self.test_results()
-            .where("scope = 'column'")
-            .groupBy(F.col("target").alias("column_name"))
-            .agg(
-                F.count(F.lit(1)).alias("total_tests"),
-                F.count_if("passed").alias("passed_tests"),
-                F.count_if(~F.col("passed")).alias("failed_tests"),
-                failed("error").alias("error_count"),
-                failed("warning").alias("warning_count"),
-            )
-        )
-        silent = [n for n in self.by_name if n in self.view and not any(c.column == n and c.scope == "column" for c in self.checks)]
-        if silent:
-            zero = F.lit(0).cast("bigint")
-            quiet = self.metrics.select(F.explode(F.array(*[F.lit(n) for n in silent])).alias("column_name")).select(
-                "column_name", *[zero.alias(n) for n in ("total_tests", "passed_tests", "failed_tests", "error_count", "warning_count")]
-            )
-            out = out.unionByName(quiet)
-        return out.withColumn(
-            "status",
-            F.when(F.col("error_count") > 0, "FAIL").when(F.col("warning_count") > 0, "WARNING").otherwise("PASS"),
-        )
+        rows = []
+        for n in self.by_name:
+            own = [c for c in self.checks if c.scope == "column" and c.target == n]
+            if n not in self.view:
+                continue
+            failed = [c for c in own if not self._passed(c)]
+            errors, warnings = (sum(c.severity == s for c in failed) for s in ("error", "warning"))
+            status = "FAIL" if errors else "WARNING" if warnings else "PASS"
+            rows.append((n, len(own), len(own) - len(failed), len(failed), errors, warnings, status))
+        return self._table(rows, "column_name string, total_tests bigint, passed_tests bigint, failed_tests bigint, error_count bigint, warning_count bigint, status string")
 
     def blocking_errors(self) -> DataFrame:
         """What keeps the table from being valid outright."""
-        found = self.test_results().where("blocking").select("scope", "target", "test")
-        if self.missing:
-            gone = F.array(*[F.lit(m) for m in self.missing])
-            found = found.unionByName(
-                self.metrics.select(
-                    F.lit("table").alias("scope"),
-                    F.explode(gone).alias("target"),
-                    F.lit("missing column").alias("test"),
-                )
-            )
-        return found
+        rows = [(c.scope, c.target, c.test) for c in self.checks if not self._passed(c) and c.blocks and c.severity == "error"]
+        rows += [("table", m, "missing column") for m in self.missing]
+        return self._table(rows, "scope string, target string, test string")
 
     def summary(self) -> DataFrame:
         """One row of totals.
@@ -573,45 +547,24 @@ class Report:
         ``warnings`` and ``errors`` add failed tests and failing cells together; the two
         ``*_cells`` columns hold failing cells alone.
         """
+        known = self._known(error_rows=True)
+
         def cells(severity):
-            return total_of(
-                [self._count(c) for c in self.checks if c.scope == "column" and c.flags and c.severity == severity]
-            )
+            return sum(self._count(c) for c in self.checks if c.scope == "column" and c.flags and c.severity == severity)
 
         def tests(keep):
-            return total_of([(~self._passed(c)).cast("bigint") for c in self.checks if keep(c)])
-
-        passed = total_of([self._passed(c).cast("bigint") for c in self.checks])
-        warnings = (
-            tests(lambda c: c.scope == "column" and c.severity == "warning")
-            + tests(lambda c: c.scope == "dataset" and c.severity == "warning")
-            + cells("warning")
-        )
-        errors = (
-            tests(lambda c: c.scope == "dataset" and c.severity != "warning")
-            + tests(lambda c: c.scope == "reference")
-            + cells("error")
-        )
-        blocked = any_of(
-            [~self._passed(c) for c in self.checks if c.blocks and c.severity == "error"]
-        ) | F.lit(bool(self.missing))
-        return self.row_metrics.select(
-            F.col("rows").alias("total_rows"),
-            F.lit(len(self.columns)).cast("bigint").alias("total_columns"),
-            F.lit(len(self.checks)).cast("bigint").alias("tests_run"),
-            passed.alias("tests_passed"),
-            (F.lit(len(self.checks)) - passed).cast("bigint").alias("tests_failed"),
-            warnings.alias("warnings"),
-            errors.alias("errors"),
-            cells("warning").alias("warning_cells"),
-            cells("error").alias("error_cells"),
-            F.col("error_rows").alias("rows_with_errors"),
-            (F.col("rows") - F.col("error_rows")).alias("clean_rows"),
-            F.coalesce(F.round(F.col("error_rows") * 100.0 / F.nullif(F.col("rows"), F.lit(0)), 2), F.lit(0.0))
-            .cast("double")
-            .alias("error_rate_percent"),
-            (errors > 0).alias("has_blocking_errors"),
-            (~blocked & (errors == 0)).alias("is_valid"),
+            return sum(not self._passed(c) for c in self.checks if keep(c))
+
+        passed = sum(self._passed(c) for c in self.checks)
+        warnings = tests(lambda c: c.scope in ("column", "dataset") and c.severity == "warning") + cells("warning")
+        errors = tests(lambda c: (c.scope == "dataset" and c.severity != "warning") or c.scope == "reference") + cells("error")
+        blocked = bool(self.missing) or any(not self._passed(c) for c in self.checks if c.blocks and c.severity == "error")
+        rows, bad = known["rows"], known["error_rows"]
+        share = float(Decimal(repr(bad * 100.0 / rows)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if rows else 0.0
+        return self._table(
+            [(rows, len(self.columns), len(self.checks), passed, len(self.checks) - passed, warnings, errors, cells("warning"), cells("error"), bad, rows - bad, share, errors > 0, not blocked and errors == 0)],
+            "total_rows bigint, total_columns bigint, tests_run bigint, tests_passed bigint, tests_failed bigint, warnings bigint, errors bigint, warning_cells bigint, error_cells bigint, "
+            "rows_with_errors bigint, clean_rows bigint, error_rate_percent double, has_blocking_errors boolean, is_valid boolean",
         )
 
     def summary_dict(self) -> dict:
@@ -640,7 +593,7 @@ class Report:
             label = F.concat_ws("|", *[F.when(col(c.flag), F.lit(c.test)) for c in acting])
         else:
             label = F.concat_ws("", *self._label_parts(acting))
-        count = reduce(Column.__add__, [col(c.flag).cast("int") for c in acting], F.lit(0))
+        count = balanced(Column.__add__, [col(c.flag).cast("int") for c in acting], F.lit(0))
         return self.annotated.select(
             *self._renamed(self.columns),
             label.alias(names[0]),
