@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host by simple tree matching. A text
-that stands in the same aligned place on most of the host's different pages belongs to the
-template; what varies is content. Menus, adverts, forms and the like are known by element and by
+Pages of one host and layout are aligned with a reference page of theirs by simple tree matching. A
+text that stands in the same aligned place on most of their different pages belongs to the template;
+what varies is content. Menus, adverts, forms and the like are known by element and by
 the words that end the names in their class, id or role, because their text may vary from page to
 page as well.
 """
@@ -14,21 +14,28 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 from rowassay.llm.shared import sliced
 from rowassay.llm.url_filter import host_and_path
 from rowassay.session import durable
 
-#: A text is template if it stands in one place on so many different pages of its host …
-TEMPLATE_PAGES = 5
-#: … and on this share of them.
+#: A text is template if it stands in one place on this share of the different pages of its host and layout, …
 TEMPLATE_SHARE = 0.7
+#: … which are two at least. On fewer than FIRM_PAGES it may be an article and its edited copy: then
+#: such texts go only from pages of which they are at most half.
+FIRM_PAGES = 5
 #: Reference pages are broadcast up to this many characters in all.
 BROADCAST_CHARS = 16_000_000
 #: Blocks nested deeper become neighbours; their text and its order stay.
 DEEPEST = 150
+#: A layout is told by the first and last so many containers of a page.
+FRAME = 3
+CONTAINERS = "div|section|main|header|footer|nav|aside|article|table|ul|ol|dl|form|center"
+#: Where references are not broadcast, a group with over 1 / HOT of all pages is dealt over SHARES.
+HOT = 1000
+SHARES = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
@@ -308,41 +315,67 @@ class Wrappers:
         return found
 
 
+def layout_of(html: Column) -> Column:
+    """A hash of the frame of a page: names and classes of its first containers, names of its last."""
+    opened = F.slice(F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{CONTAINERS})\b[^>]*"), F.lit(0)), 1, FRAME)
+    first = F.transform(opened, lambda t: F.concat(F.regexp_extract(t, r"<(\w+)", 1), F.lit("."), F.regexp_replace(F.regexp_extract(t, "(?i)\\sclass\\s*=\\s*[\"']?([^\"']*)", 1), "[0-9]+", "")))
+    closed = F.regexp_extract_all(html, F.lit(rf"(?i)</({CONTAINERS})\b"), F.lit(1))
+    return F.xxhash64(F.lower(F.concat_ws(" ", first, F.lit("/"), F.slice(F.reverse(closed), 1, FRAME))))
+
+
 def places(pages: DataFrame) -> DataFrame:
-    """(host, page, slot, text): hashes of the aligned texts of each page; page is a hash of its texts."""
+    """(host, layout, page, slot, text): hashes of the aligned texts of each page; page is a hash of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
         for batch in sliced(batches):
             rows = []
-            for host, page, reference in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for host, layout, page, reference in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = wrappers.aligned(page or "", reference)
                 own = _hash("\n".join(x.text for x in found))
-                rows += {(host, own, *place_of(x)) for x in found if x.slot >= 0}
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "page", "slot", "text"])
+                rows += {(host, layout, own, *place_of(x)) for x in found if x.slot >= 0}
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "layout", "page", "slot", "text"])
 
-    return pages.select("host", "html", "reference").mapInArrow(run, "host string, page long, slot int, text long")
+    return pages.select("host", "layout", "html", "reference").mapInArrow(run, "host string, layout long, page long, slot int, text long")
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, reference, template): a reference page per host and the places that are template.
+    """(host, layout, n, reference, template): a reference page per host and layout, and the places that are template.
 
-    pages: host, html. Every page is aligned and counted; copies of a page count once.
+    pages: host, layout, html. Every page is aligned and counted; copies of a page count once.
     """
-    references = durable(pages.where("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("reference")))
-    joined = pages.join(_bounded(references), "host", "left")
-    found = places(joined).distinct()
-    pages_of = found.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    counted = found.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    constant = counted.join(pages_of, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text"))).alias("template"))
-    return durable(references.join(template, "host", "left"))
-
-
-def _bounded(references: DataFrame) -> DataFrame:
-    size = references.agg(F.sum(F.length("reference"))).first()[0] or 0
-    return F.broadcast(references) if size <= BROADCAST_CHARS else references
+    group = ["host", "layout"]
+    references = durable(pages.where("html IS NOT NULL").groupBy(group).agg(F.count("*").alias("n"), F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("reference")))
+    found = places(with_reference(pages, references)).distinct()
+    pages_of = found.groupBy(group).agg(F.count_distinct("page").alias("pages"))
+    counted = found.groupBy(*group, "slot", "text").agg(F.count("*").alias("found")).where("found >= 2")
+    constant = counted.join(pages_of, group).where(F.col("found") >= TEMPLATE_SHARE * F.col("pages"))
+    place = F.struct("slot", "text", (F.col("found") >= FIRM_PAGES).alias("firm"))
+    template = constant.groupBy(group).agg(F.sort_array(F.collect_list(place)).alias("template"))
+    return durable(references.join(template, group, "left"))
+
+
+def with_reference(pages: DataFrame, references: DataFrame) -> DataFrame:
+    """The pages with the columns of their group. Broadcast by size; beyond it hot groups are dealt over shares."""
+    group = ["host", "layout"]
+    chars, rows = references.agg(F.sum(F.length("reference")), F.sum("n")).first()
+    if (chars or 0) <= BROADCAST_CHARS:
+        return pages.join(F.broadcast(references.drop("n")), group, "left")
+    hot = references.select(*group, (F.col("n") * HOT > rows).alias("hot")).where("hot")  # fewer than HOT rows
+    dealt = pages.join(F.broadcast(hot), group, "left").withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("html"), F.lit(SHARES))).otherwise(F.lit(0).cast("long")))
+    shares = F.when(F.col("n") * HOT > rows, F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(references.withColumn("share", F.explode(shares)).drop("n"), [*group, "share"], "left").drop("share", "hot")
+
+
+def content(found: list[Node], template: list[dict]) -> list[str]:
+    """The texts that are no template. What few pages share goes only if it is at most half of what is left."""
+    firm = {(x["slot"], x["text"]) for x in template if x["firm"]}
+    loose = {(x["slot"], x["text"]) for x in template if not x["firm"]}
+    left = [(x.text, place_of(x) in loose) for x in found if place_of(x) not in firm] if template else [(x.text, False) for x in found]
+    if 2 * sum(len(t) for t, shared in left if shared) > sum(len(t) for t, _ in left):
+        return [t for t, _ in left]
+    return [t for t, shared in left if not shared]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -350,12 +383,14 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     Blocks are joined by one line feed in page order; white space inside a block is one space. A
     null or empty page has empty text. Pages without a host are aligned with each other. Repeated
-    pages each get their row, null ids and URLs stay null.
+    pages each get their row, null ids and URLs stay null, an empty table gives no rows. Whole pages
+    are read however long; blocks nested deeper than DEEPEST keep their text, not their own place.
     """
     host, _ = host_and_path(F.col(url_column))
-    named = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html"))
-    wrappers = induce(named.select("host", "html"))
-    joined = named.join(_bounded(wrappers), "host", "left").select("id", "url", "html", "reference", "template")
+    named = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_column).cast("string").alias("html"))
+    named = named.withColumn("layout", layout_of(F.coalesce("html", F.lit(""))))
+    wrappers = induce(named.select("host", "layout", "html"))
+    joined = with_reference(named, wrappers).select("id", "url", "html", "reference", "template")
     kind: DataType = pages.schema[id_column].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +398,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         for batch in sliced(batches):
             out = []
             for page, reference, template in zip(*[batch.column(c).to_pylist() for c in ("html", "reference", "template")], strict=True):
-                gone = {(x["slot"], x["text"]) for x in template or ()}
-                found = known.aligned(page or "", reference if gone else None)
-                out.append("\n".join(x.text for x in found if not gone or place_of(x) not in gone))
+                found = known.aligned(page or "", reference if template else None)
+                out.append("\n".join(content(found, template or [])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     rows = joined.mapInArrow(run, f"id {kind.simpleString()}, url string, text string, n_chars long")
