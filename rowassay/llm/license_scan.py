@@ -48,8 +48,67 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "BSD-2-Clause-title": "BSD 2-Clause License",
+    "BSD-3-Clause-title": "BSD 3-Clause License",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative "
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public "
+        "domain worldwide. This software is distributed without any warranty."
+    ),
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
 }
 COVERAGE = 0.8
+#: A tag that names licenses; AND, OR, WITH and brackets join the names.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)")
+JOINED = re.compile(r"[ \t()]+")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -120,9 +179,6 @@ def windows(words: Sequence[str], template: Sequence[str], keys: frozenset[str])
     more often than in the template: there the next copy begins.
     """
     size, most = len(template), Counter(template)
-    lead = {}
-    for at, word in enumerate(template):
-        lead.setdefault(word, at)
     begin = end = -1
     seen: Counter[str] = Counter()
     for at, word in enumerate(words):
@@ -149,7 +205,7 @@ class Scanner:
 
     def pattern(self) -> str:
         """Finds every text that can reach the coverage of any template."""
-        return "(?iu)" + "|".join(sorted({re.escape(w) for keys in self.keys.values() for w in keys}))
+        return "(?iu)" + "|".join(sorted({"spdx", *(re.escape(w) for keys in self.keys.values() for w in keys)}))
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(license, first word, end word, coverage) of each occurrence, in the order of the text."""
@@ -165,9 +221,35 @@ class Scanner:
                 pairs = aligned(words, template, lo, hi, 0, len(template))
                 pairs = tight(pairs, len(template))
                 if pairs and len(pairs) >= self.coverage * len(template) - 1e-9:
-                    out.append((name, pairs[0][0], pairs[-1][0] + 1, len(pairs) / len(template)))
+                    out.append((name, pairs[0][0], pairs[-1][0] + 1, len(pairs) / len(template), len(pairs)))
                     reached = pairs[-1][0] + 1
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        return outermost(out + tags(text))
+
+
+def tags(text: str) -> list[tuple[str, int, int, float, int]]:
+    """The names in SPDX tags, each at its own words."""
+    out = []
+    places: list[int] = []
+    for tag in TAG.finditer(text):
+        places = places or [m.start() for m in WORD.finditer(text)]
+        at = tag.start(1)
+        for name in JOINED.split(tag[1]):
+            at = text.index(name, at)
+            if name and name not in ("AND", "OR", "WITH"):
+                first, end = bisect_left(places, at), bisect_left(places, at + len(name))
+                out.append((name, first, end, 1.0, end - first))
+            at += len(name)
+    return out
+
+
+def outermost(found: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+    """What lies in no longer occurrence; of equal places the one with most words found (last value), then coverage, then by name."""
+    out, end = [], -1
+    for x in sorted(found, key=lambda x: (x[1], -x[2], -x[4], -x[3], x[0])):
+        if x[2] > end:
+            out.append(x[:4])
+            end = x[2]
+    return out
 
 
 def tight(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -187,7 +269,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """One row per document: id, n_licenses, licenses (license, start, end, coverage; places in words).
 
     Whole texts are read; a text without any key word of a template cannot reach the coverage and
-    is not aligned. Null and empty texts, and texts without a license, have an empty list. Repeated
+    is not aligned. A notice inside the text of a longer license is part of that. Null and empty texts, and texts without a license, have an empty list. Repeated
     rows each get their row, null ids stay null, an empty table gives no rows.
     """
     chosen = templates or TEMPLATES
