@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rowassay.llm.links import LEAST, connect, parts_of, shingles
-from rowassay.llm.shared import components, measured, sliced, written
+from rowassay.llm.shared import components, measured, named, sliced, written
 from rowassay.session import durable
 
 SLOT_BITS = 20
@@ -157,7 +157,8 @@ def one_of_each(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id",
     """The documents, all columns, without those that a smaller id of their group stands for.
 
     Rows that share an id are one document, of which the row with the smallest text stays. Rows with
-    a null id stay. Texts move only for ids that are there more than once.
+    a null id stay, and so do documents without words. Texts move only for ids that are there more
+    than once. An empty table stays empty.
     """
     found = durable(join_documents(docs, least, id_column, text_column))
     away = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__id")).distinct()
@@ -165,5 +166,5 @@ def one_of_each(docs: DataFrame, least: int = LEAST, id_column: str = "doc_id",
     kept = docs.join(measured(durable(away)), own == F.col("__id"), "left_anti")
     twice = measured(durable(found.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")))
     rows = kept.join(twice, own == F.col("__id"), "left_semi")
-    first = rows.groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_column), F.xxhash64(*docs.columns))).alias("r")).select("r.*")
+    first = rows.groupBy(own.alias("__id")).agg(F.min_by(F.struct(*named(docs.columns)), F.struct(F.col(text_column), F.xxhash64(*named(docs.columns)))).alias("r")).select("r.*")
     return kept.join(twice, own == F.col("__id"), "left_anti").unionByName(first)

@@ -105,7 +105,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 
 
 def copies(docs: DataFrame, plan: DataFrame, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
-    """The documents with __copies (0, 1, …), __source_size and __target of their source."""
+    """The documents with __copies (0, 1, …), __source_size and __target of their source.
+
+    A null source is a source; null ids share one place, and rows with one id are taken together.
+    Documents without words have copies like others. An empty table stays empty.
+    """
     marks = measured(plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("bound").alias("__bound")))
     joined = docs.join(marks, F.col(source_column).cast("string").eqNullSafe(F.col("__source")), "left")
     return joined.withColumn("__copies", F.col("__whole") + (place(id_column) < F.col("__bound")).cast("int")).drop("__source", "__whole", "__bound")

@@ -16,14 +16,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowassay.llm.shared import ranked, sliced
 from rowassay.session import durable
 
 LENGTH = 2048
 END = np.array([0], dtype="<u4").tobytes()
-#: Words a worker remembers, twice: those it has met since the last turn-over, and those before.
-REMEMBERED = 250_000
+#: Bytes of words and ids a worker remembers, twice: those met since the last turn-over, and those before.
+REMEMBERED = 40 << 20
+#: What an entry takes beside its word and ids.
+ENTRY = 200
 #: Unknown words that are encoded as one text, parted by a special token.
 TOGETHER = 200
 
@@ -44,6 +47,7 @@ class WordEncoder:
         self.special = [t.encode() for t in special]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[bytes]) -> None:
         young, old = self.young, self.old
@@ -66,13 +70,14 @@ class WordEncoder:
                 raw = ids.tobytes()
                 for word, first, end in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
                     young[word] = raw[4 * first : 4 * end]
+        self.held += sum(len(w) + len(young[w]) + ENTRY for w in words)
 
     def ids(self, text: str) -> bytes:
         parts = text.encode().split()
         new = [w for w in dict.fromkeys(parts) if w not in self.young]
         if new:
-            if len(self.young) + len(new) > REMEMBERED:
-                self.old, self.young = self.young, {}
+            if self.held > REMEMBERED:
+                self.old, self.young, self.held = self.young, {}, 0
                 new = list(dict.fromkeys(parts))
             self.learn(new)
         return b"".join(map(self.young.__getitem__, parts)) + END
@@ -101,14 +106,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str
 
     key_type = docs.schema[id_column].dataType.simpleString()
     names = [id_column, "piece", "start", "length", "ids_crc32"]
-    kinds = [_arrow(key_type), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [to_arrow_type(docs.schema[id_column].dataType), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {key_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
     """Best-fit over a histogram, longest first: (repeats, lengths in one sequence).
 

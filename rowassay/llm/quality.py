@@ -227,19 +227,28 @@ def scorer(trees: Trees, id_column: str):
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The documents that pass, all their columns as they are: texts are judged where they lie."""
+    """The documents that pass, all their columns as they are: texts are judged where they lie.
+
+    Only texts go to Python. Null and empty texts have no words and go; repeated rows are judged
+    each; a null id matches no label. Without labels of both kinds only the base rules decide. An
+    empty table stays empty.
+    """
     labelled = measured(durable(labels.select(F.col(label_column).alias("__y"), F.col(id_column).alias("__id")).select("__id").distinct()))
     examples = docs.join(labelled, F.col(id_column) == F.col("__id"), "left_semi")
     trees = train(statistics(examples, id_column, text_column), labels, id_column, label_column, sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            texts = batch.column(text_column).cast(pa.binary()).to_pylist()
-            found = np.array([counts_of(t or b"") for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
-            counts = dict(zip(COUNTS, found.T, strict=True))
-            good = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEAT * counts["n_words"])
-            if trees is not None and len(texts):
-                good &= trees.score(features(counts)) >= 0
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    def good(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], names=["text"])
+            yield pa.concat_arrays([pa.array([], pa.bool_()), *map(verdicts, sliced(iter([batch])))])
+
+    def verdicts(batch: pa.RecordBatch) -> pa.Array:
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        found = np.array([counts_of(t or b"") for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+        counts = dict(zip(COUNTS, found.T, strict=True))
+        passed = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEAT * counts["n_words"])
+        if trees is not None and len(texts):
+            passed &= trees.score(features(counts)) >= 0
+        return pa.array(passed)
+
+    return docs.where(F.arrow_udf(good, "boolean")(F.col(text_column).cast("string")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowassay.session import durable, scratch_path
 
@@ -16,15 +18,59 @@ BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows a Python task works on at once.
+#: Rows a Python task works on at once, …
 SLICE = 1000
+#: … and their bytes, unless one row alone is larger.
+SLICE_BYTES = 4 << 20
+#: Rows Spark hands to a Python worker at once, while a pipeline writes its stages.
+BATCH_ROWS = 1000
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so what a task builds from them stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """The same rows in small batches, so what a task builds from them stays small.
+
+    Workers outlive their tasks: memory that a task has freed goes back to the system at its end.
+    """
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield from _halved(batch.slice(at, rows))
+    finally:
+        released()
+
+
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half))
+        yield from _halved(batch.slice(half))
+    else:
+        yield batch
+
+
+def released() -> None:
+    """Give freed memory back, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Spark cuts its Arrow batches at so many rows inside the block; the setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -61,3 +61,21 @@ def test_stages(spark, tmp_path):
     assert all(r["length"] == len(tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1 for r in packed)
     again = pipeline.run(spark, str(tmp_path))
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in again.collect()) == Counter((r["doc_id"], r["ids_crc32"]) for r in packed)
+
+
+def test_stages_take_odd_columns_and_empty_tables(spark, tmp_path):
+    """Names with dots and names the operators use themselves; no rows at all."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `n` int, `id` int, component string"
+    rng = random.Random(3)
+    rows = [(i, prose(40, rng), "en", None if i % 2 else "s", 1, "x", i, i, "c") for i in range(12)] + [(None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, "x", 1, 1, "c")]
+    for name, table in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(table, names).repartition(2).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1) for i in range(len(table))], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in pipeline.STAGES[:-1]:
+            after = stage(spark, docs, folder)
+            assert after.columns == docs.columns, stage_name
+            docs = after.cache()
+            assert {r["a.b"] for r in docs.collect()} == ({"x"} if table else set()), stage_name
+        assert (pipeline.packed_sequences(spark, docs, folder).count() > 0) == bool(table)
