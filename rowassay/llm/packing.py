@@ -8,9 +8,11 @@ pieces of the same length.
 from __future__ import annotations
 
 import bisect
+import threading
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rowassay.llm.shared import ranked, sliced
+from rowassay.llm.shared import ranked, released, sliced
 from rowassay.session import durable
 
 LENGTH = 2048
@@ -83,26 +85,53 @@ class WordEncoder:
         return b"".join(map(self.young.__getitem__, parts)) + END
 
 
+#: Seconds a worker without packing tasks keeps its encoder.
+KEPT_SECONDS = 3.0
+
+
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
     """One per Python worker, so a task starts with the words that earlier tasks have met."""
     return WordEncoder(path)
 
 
+@contextmanager
+def lent(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task. Workers live on with other work, so an unused one is given up."""
+    for timer in _waiting:
+        timer.cancel()
+    _waiting.clear()
+    try:
+        yield encoder_of(path)
+    finally:
+        timer = threading.Timer(KEPT_SECONDS, given_up)
+        timer.daemon = True
+        _waiting.append(timer)
+        timer.start()
+
+
+_waiting: list[threading.Timer] = []
+
+
+def given_up() -> None:
+    encoder_of.cache_clear()
+    released()
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. A null text is empty: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
-        for batch in sliced(batches):
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text or "")
-                for piece, start in enumerate(range(0, len(ids) // 4, length)):
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((key, piece, start, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        with lent(tokenizer) as encoder:
+            for batch in sliced(batches):
+                rows: list[tuple] = []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = encoder.ids(text or "")
+                    for piece, start in enumerate(range(0, len(ids) // 4, length)):
+                        part = ids[4 * start : 4 * (start + length)]
+                        rows.append((key, piece, start, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     key_type = docs.schema[id_column].dataType.simpleString()
     names = [id_column, "piece", "start", "length", "ids_crc32"]

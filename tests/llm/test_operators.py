@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -674,3 +675,16 @@ def test_slices_are_bounded_by_bytes(monkeypatch):
     parts = list(shared.sliced(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])])))
     assert [t for p in parts for t in p.column(0).to_pylist()] == texts
     assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts)
+
+
+def test_an_unused_encoder_is_given_up(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_SECONDS", 0.2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with packing.lent(path) as first:
+        pass
+    with packing.lent(path) as again:
+        assert again is first
+        time.sleep(0.4)
+        assert packing.encoder_of.cache_info().currsize == 1
+    time.sleep(0.6)
+    assert packing.encoder_of.cache_info().currsize == 0
