@@ -26,6 +26,9 @@ BOOLEAN_FORMATS = [
 ]
 ANY_BOOLEAN = "Any standard format"
 
+# At least so many first rows of a table are searched for samples of all columns at once.
+HEAD_ROWS = 200
+
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
@@ -177,18 +180,30 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def _samples(df: DataFrame, names: list[str], order_by: list[str], size: int) -> DataFrame:
-    """The first non-null values of every column as text, with rank, in one scan: rows (column_name, rank, v).
+    """The first non-null values of every column as text, with rank: rows (column_name, rank, v).
 
-    Spark keeps the first rows of each column inside each task before the shuffle.
+    One pass finds the first rows of the table, which hold enough values of most columns. Each other
+    column is gone through by itself. Tasks hold the first rows only, so nothing is sorted as a whole.
     """
     types, missing = _types(df), _missing(df)
-    at = [f"__o{i}" for i in range(len(order_by))]
-    cells = [
-        F.when(~missing[n], F.struct(F.lit(n).alias("column_name"), as_text(col(n), types[n]).alias("v"))) for n in names
-    ]
-    rows = df.select(
-        *[col(o).alias(a) for o, a in zip(order_by, at)], F.explode(F.array_compact(F.array(*cells))).alias("__c")
-    ).select(*at, "__c.*")
+    by, at = [col(o) for o in order_by], [f"__o{i}" for i in range(len(order_by))]
+    spots = [c.alias(a) for c, a in zip(by, at)]
+    texts = [F.when(~missing[n], as_text(col(n), types[n])).alias(f"__v{i}") for i, n in enumerate(names)]
+    first = max(HEAD_ROWS, 2 * size)
+    head = keys.measure([df.orderBy(*by).limit(first).select(*spots, *texts)], None)[0]
+    enough = [True] * len(names)
+    if head.rows == first:
+        held = head.table.agg(*[F.count(f"__v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        enough = [n >= size for n in held]
+    cells = [F.struct(F.lit(n).alias("column_name"), F.col(f"__v{i}").alias("v")) for i, n in enumerate(names) if enough[i]]
+    parts = []
+    if cells:
+        parts.append(head.table.select(*at, F.explode(F.array(*cells)).alias("__c")).select(*at, "__c.*").where("v IS NOT NULL"))
+    for i, n in enumerate(names):
+        if not enough[i]:
+            filled = df.where(~missing[n]).orderBy(*by).limit(size)
+            parts.append(filled.select(*spots, F.lit(n).alias("column_name"), as_text(col(n), types[n]).alias("v")))
+    rows = reduce(DataFrame.unionByName, parts)
     return order.first_of(rows, ["column_name"], [F.col(a) for a in at], size).select("column_name", "rank", "v")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowassay import validate
-from rowassay.operators import dataset_checks, keys, membership, order, quantiles, treatments
+from rowassay.operators import dataset_checks, keys, membership, order, profile, quantiles, treatments
 
 random.seed(3)
 
@@ -285,3 +285,22 @@ def test_deduplicate_with_and_without_ties(spark, forced, keep):
     got = sorted(((r["k"] or "", r["at"]) for r in treatments.deduplicate(df, ["k"], keep, ["at"]).collect()))
     pick = min if keep == "first" else max
     assert got == sorted({k or "": (k or "", pick(a for o, a, _ in rows if o == k)) for k, _, _ in rows}.values())
+
+
+def test_samples_rank_few_rows(spark, monkeypatch):
+    """Full columns are sampled from the first rows, others by themselves: what is ranked does not grow with the table."""
+    ranked, first_of = [], order.first_of
+    monkeypatch.setattr(order, "first_of", lambda df, *a: ranked.append(df.count()) or first_of(df, *a))
+    rows = [(i, i % 7, f"{i}%" if i % 400 == 399 else None, None, float("nan") if i % 2 else i / 4) for i in range(5000)]
+    df = spark.createDataFrame(rows, "at int, full int, rare string, none string, x double").repartition(5)
+    got = {}
+    for r in profile._samples(df, df.columns, ["at"], 20).collect():
+        got.setdefault(r["column_name"], []).append((r["rank"], r["v"]))
+    assert {n: [v for _, v in sorted(vs)] for n, vs in got.items()} == {
+        "at": [str(i) for i in range(20)],
+        "full": [str(i % 7) for i in range(20)],
+        "rare": [f"{i}%" for i in range(399, 5000, 400)],
+        "x": [str(float(i / 4)) for i in range(0, 40, 2)],
+    }
+    assert ranked[0] <= 5 * profile.HEAD_ROWS
+    assert {r["column_name"]: r["guessed"] for r in profile.rule_types(df, ["at"]).collect()} == {"at": "integer", "full": "integer", "rare": "integer", "none": "text", "x": "float"}
