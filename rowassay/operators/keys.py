@@ -28,6 +28,25 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def short(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows with a column for each text of the key, the key's names with those, and their names.
+
+    They hold texts under 32 bytes as they are and the SHA-256 digest of longer ones, so equal
+    entries are equal texts. Texts of other collations keep their own equality and stay.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    new, names = {}, []
+    for k in keys:
+        if types[k] in (T.StringType(), T.BinaryType()):
+            raw = col(k).cast("binary")
+            name = f"__d{len(new)}"
+            new[name] = F.when(F.octet_length(raw) < 32, raw).otherwise(F.unhex(F.sha2(raw, 256)))
+            names.append(name)
+        else:
+            names.append(k)
+    return df.withColumns(new) if new else df, names, list(new)
+
+
 def repeated(
     df: DataFrame, keys: list[str], hash_first: bool | None = None, held: list[DataFrame] | None = None
 ) -> DataFrame:

@@ -209,14 +209,16 @@ def deduplicate(
 
     Whole-row copies are all alike, so without an order any one stays. Otherwise only keys that
     repeat are looked up, each with the position to keep: unique rows pass through and no group
-    is sorted in one task. Without ``order_by`` rows are numbered in scan order; unless
+    is sorted in one task. Long texts of the key go by their digests, so none is shuffled to be
+    compared. Without ``order_by`` rows are numbered in scan order; unless
     ``stable_input`` promises the same order on every read, the numbered rows are checkpointed.
     """
     if keep not in ("first", "last", False):
         raise ValueError(f"keep must be 'first', 'last' or False, not {keep!r}")
     if keep is False:
-        bad = keys.repeated(df, subset or df.columns, hash_first)
-        return keys.mark(df, subset or df.columns, bad, "__dup").where("NOT __dup").drop("__dup")
+        df, names, stood = keys.short(df, subset or df.columns)
+        bad = keys.repeated(df, names, hash_first)
+        return keys.mark(df, names, bad, "__dup").where("NOT __dup").drop("__dup", *stood)
     if subset is None and order_by is None:
         return df.dropDuplicates()
     subset = subset or df.columns
@@ -225,6 +227,7 @@ def deduplicate(
         df = order.with_row_id(df, settle=not stable_input)
         order_by = [order.ROW_ID]
     at = F.struct(*[col(o) for o in order_by])
+    df, subset, stood = keys.short(df, subset)
     rows = df.select(*[col(c) for c in dict.fromkeys([*subset, *order_by])])
     group = rows
     if hash_first is not False:
@@ -245,5 +248,5 @@ def deduplicate(
         # copies share a position: those rows are thinned out among themselves
         tied = out.where("__same > 1").dropDuplicates(list(dict.fromkeys([*subset, *order_by])))
         out = out.where("__keep IS NULL OR __same = 1").unionByName(tied)
-    out = out.drop("__keep", "__same")
+    out = out.drop("__keep", "__same", *stood)
     return out.drop(order.ROW_ID) if numbered else out

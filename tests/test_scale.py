@@ -304,3 +304,18 @@ def test_samples_rank_few_rows(spark, monkeypatch):
     }
     assert ranked[0] <= 5 * profile.HEAD_ROWS
     assert {r["column_name"]: r["guessed"] for r in profile.rule_types(df, ["at"]).collect()} == {"at": "integer", "full": "integer", "rare": "integer", "none": "text", "x": "float"}
+
+
+@pytest.mark.parametrize("keep", ["first", "last", False])
+def test_deduplicate_shuffles_no_long_text(spark, forced, keep):
+    long = [c * n for c in "ab" for n in (31, 32, 33, 5000)]
+    rows = [(i, t, i % 2) for i, t in enumerate([None, "", "a", *long, None, "a", *long, "c" * 32, "c" * 33, ""])]
+    df = spark.createDataFrame(rows, "id long, text string, half int").repartition(3)
+    by_key = {}
+    for i, t, h in rows:
+        by_key.setdefault((t, h), []).append(i)
+    want = [ids[0] if keep == "first" else ids[-1] for ids in by_key.values() if keep or len(ids) == 1]
+    out = treatments.deduplicate(df, ["text", "half"], keep, ["id"])
+    assert out.columns == df.columns and sorted(r["id"] for r in out.collect()) == sorted(want)
+    plan = out.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(" in plan and "hashpartitioning(text#" not in plan
