@@ -109,18 +109,16 @@ def _shared_hashes(df: DataFrame, table: DataFrame, hashed: dict[int, list[str]]
     """Lists in which keys that differ have the same hashes."""
     if not hashed:
         return set()
+    slots = [(i, n) for i, names in hashed.items() for n in names]
     entries = []
-    for i, names in hashed.items():
-        own = F.struct(*[col(n).alias(f"k{j}") for j, n in enumerate(names)])
-        slots = [own.alias(f"s{j}") if j == i else F.lit(None).cast(_kind(df, other)).alias(f"s{j}") for j, other in hashed.items()]
-        entries.append([F.lit(i).alias(LIST), known[i][0].alias(FIRST), known[i][1].alias(SECOND), *slots])
+    for i in hashed:
+        own = [(col(n) if j == i else F.lit(None).cast(df.schema[n].dataType)).alias(f"s{k}") for k, (j, n) in enumerate(slots)]
+        entries.append([F.lit(i).alias(LIST), known[i][0].alias(FIRST), known[i][1].alias(SECOND), *own])
     rows = _entries(df, entries)
     if sum(found[i]["rows"] for i in hashed) <= keys.BROADCAST_ROWS:
         rows = rows.join(F.broadcast(table.select(LIST, FIRST, SECOND)), [LIST, FIRST, SECOND], "left_semi")
-    differ = reduce(Column.__or__, [~F.min(f"s{i}").eqNullSafe(F.max(f"s{i}")) for i in hashed])
+    # by column: numbers are then compared in hash tables, and only texts are sorted
+    each = [(F.col(f"s{k}"), F.count(f"s{k}")) for k in range(len(slots))]
+    differ = reduce(Column.__or__, [~F.min(c).eqNullSafe(F.max(c)) | ((n > 0) & (n < F.count(F.lit(1)))) for c, n in each])
     clashes = rows.groupBy(LIST, FIRST, SECOND).agg(differ.alias("differ")).where("differ").select(LIST).distinct()
     return {r[LIST] for r in clashes.collect()}
-
-
-def _kind(df: DataFrame, names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(f"k{j}", df.schema[n].dataType) for j, n in enumerate(names)])

@@ -80,12 +80,13 @@ def _breaks(prev: Column, cur: Column, dtype: T.DataType, rising: bool, strict:
 
 
 def monotonic_breaks(
-    df: DataFrame, value: str, order: list[str], direction: str = "increasing", strict: bool = False
+    df: DataFrame, value: str, order: list[str], direction: str = "increasing", strict: bool = False, same: str | None = None
 ) -> DataFrame:
     """Rows (order columns and value) that break the order against the previous non-null value.
 
     Neighbours inside a slice are compared by a window over the slice. Each slice also gives its
-    first and last row; those few rows are compared across the slice edges.
+    first and last row; those few rows are compared across the slice edges. ``same`` names one more
+    column: the rows with a value at that position, which all lie in one slice.
     """
     rising = direction in ("increasing", "ascending")
     dtype = df.schema[value].dataType
@@ -93,10 +94,14 @@ def monotonic_breaks(
     rows = _sliced(rows.where(~is_missing(F.col("__v"), dtype)), order)
     by = [col(o) for o in order]
     prev = F.lag("__v").over(W.partitionBy("__slice").orderBy(*by))
-    inner = rows.withColumn("__prev", prev).where(
+    rows, kept = rows.withColumn("__prev", prev), []
+    if same:
+        # sorted by position already: no shuffle and no sort of its own
+        rows, kept = rows.withColumn(same, F.count(F.lit(1)).over(W.partitionBy("__slice", *by))), [F.col(same)]
+    inner = rows.where(
         F.col("__prev").isNotNull() & _breaks(F.col("__prev"), F.col("__v"), dtype, rising, strict)
     )
-    whole = F.struct(*by, F.col("__v"))
+    whole = F.struct(*by, F.col("__v"), *kept)
     edges = rows.groupBy("__slice").agg(F.min(whole).alias("__first"), F.max(whole).alias("__last"))
     # one row per slice
     edges = edges.withColumn("__prev", F.lag("__last").over(W.orderBy("__slice"))).where("__prev IS NOT NULL")
@@ -104,4 +109,4 @@ def monotonic_breaks(
         _breaks(F.col("__prev.__v"), F.col("__first.__v"), dtype, rising, strict)
     ).select("__first.*")
     keep = by if value in order else [*by, F.col("__v").alias(value)]
-    return inner.select(*by, "__v").unionByName(outer).select(*keep)
+    return inner.select(*by, "__v", *kept).unionByName(outer).select(*keep, *kept)

@@ -224,12 +224,10 @@ class Report:
                 at,
                 params.get("direction", "increasing"),
                 bool(params.get("strict", False)),
+                "__same" if TIE in at else None,
             )
             if TIE in at:  # rows equal in every column are marked alike, and all of them count
-                spots = bad.select(*[col(a).alias(f"__b{i}") for i, a in enumerate(at)]).distinct()
-                same = [col(a).eqNullSafe(F.col(f"__b{i}")) for i, a in enumerate(at)]
-                rows = self.frame.select(*[col(a) for a in dict.fromkeys(at)])
-                bad = keys.group_sizes(rows.join(spots, reduce(Column.__and__, same), "left_semi"), at)
+                bad = bad.groupBy(*[col(a) for a in at]).agg(F.max("__same").alias("__n"))
             else:
                 bad = keys.group_sizes(bad, at)
             check.details = {"values": F.count_if(~missing)}
@@ -427,16 +425,22 @@ class Report:
         for (check, *_), seen in zip(self._key_checks, self._seen):
             check.settled_count = seen.total
 
-    def _mark_keys(self, frame: DataFrame) -> DataFrame:
-        """Mark the rows of failing keys, once per key list."""
-        rows = frame
+    def _mark_keys(self, frame: DataFrame, passing: list[Check] = ()) -> DataFrame:
+        """Mark the rows of failing keys, once per key list; rows that fail one of ``passing`` go at once."""
+        flags_of = {c.flag for c in passing}
+
+        def kept(frame: DataFrame, flags: list[str]) -> DataFrame:
+            own = [col(f) for f in flags if f in flags_of]
+            return frame.where(~F.coalesce(any_of(own), F.lit(False))) if own else frame
+
+        rows = frame = kept(frame, list(self._row_flags))
         for i, (names, checks) in enumerate(self._key_lists.items()):
             shared = f"__r{i}"
             frame = self._shared[names].mark(frame, shared, rows)
             flags = {check.flag: col(shared) if x is None else col(shared) & ~x for check, x in checks}
-            frame = frame.withColumns(flags).drop(shared)
+            frame = kept(frame.withColumns(flags).drop(shared), list(flags))
         for (check, names, _, table_keys), seen in zip(self._key_checks, self._seen):
-            frame = keys.mark(frame, names, seen, check.flag, table_keys, rows)
+            frame = kept(keys.mark(frame, names, seen, check.flag, table_keys, rows), [check.flag])
         return frame
 
     # --- counts ----------------------------------------------------------------------------
@@ -469,7 +473,8 @@ class Report:
         """What passes over the table count: rows, failures and details of value checks, and rows with errors.
 
         Up to COUNTED numbers come from one pass. More are shared out to several, each of which reads its
-        own columns only; all run as one job. Rows with errors need all flags side by side.
+        own columns only; all run as one job. Rows with errors are all but those that pass every check: a
+        row goes at its first failure, so that few are joined to the failing keys of the later checks.
         """
         if "rows" in self._numbers and (not error_rows or "error_rows" in self._numbers):
             return self._numbers
@@ -482,16 +487,21 @@ class Report:
             passes = [(self.flagged, {n: asks[n] for n in names[i : i + COUNTED]}) for i in range(0, len(names), COUNTED)] or [(self.flagged, {})]
             passes[0] = (passes[0][0], {**first, **passes[0][1]})
         if error_rows and "error_rows" not in self._numbers:
-            errors = {"error_rows": F.count_if(self._failed("error"))}
-            if len(passes) == 1:
-                passes = [(self.annotated, {**passes[0][1], **errors})]
+            if self.annotated.is_cached or not (self._key_lists or self._key_checks):
+                errors = {"error_rows": F.count_if(self._failed("error"))}
+                if len(passes) == 1:
+                    passes = [(self.annotated, {**passes[0][1], **errors})]
+                else:
+                    passes.append((self.annotated, errors))
             else:
-                passes.append((self.annotated, errors))
+                passes.append((self._mark_keys(self.flagged, self._acting("error")), {"passing": F.count(F.lit(1))}))
         if passes:
             texts = [frame.agg(F.array(*[a.cast("string") for a in own.values()]).alias("v")).select(F.lit(i).alias("i"), "v") for i, (frame, own) in enumerate(passes)]
             for r in reduce(DataFrame.unionByName, texts).collect():  # a row per pass
                 for name, text in zip(passes[r["i"]][1], r["v"], strict=True):
                     self._numbers[name] = text if name.startswith("d") else int(text)
+            if "passing" in self._numbers:
+                self._numbers["error_rows"] = self._numbers["rows"] - self._numbers["passing"]
         return self._numbers
 
     def _count(self, c: Check) -> int:

@@ -319,3 +319,30 @@ def test_deduplicate_shuffles_no_long_text(spark, forced, keep):
     assert out.columns == df.columns and sorted(r["id"] for r in out.collect()) == sorted(want)
     plan = out.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(" in plan and "hashpartitioning(text#" not in plan
+
+
+def test_failed_rows_are_not_joined_again(spark, forced, monkeypatch):
+    """Rows with errors are counted without joining rows that failed already to the keys of later checks."""
+    rows = [(i // 2 if i < 40 else i, i % 3, (i * 7) % 11 if i % 10 else None, i) for i in range(300)]
+    rows += [r for r in rows if r[3] % 50 == 5]
+    df = spark.createDataFrame(rows, "k int, v int, m int, at int").repartition(4)
+    rules = {
+        "columns": [
+            {"name": "k", "tests": [{"type": "uniqueness"}]},
+            {"name": "v", "tests": [{"type": "range", "params": {"max": 0}}]},
+            {"name": "m", "tests": [{"type": "monotonic"}]},
+        ],
+        "dataset_tests": [{"type": "duplicate_rows"}, {"type": "composite_key_uniqueness", "params": {"key_columns": ["k", "v"]}}],
+    }
+    report = validate(df, rules, order_by=["at"])
+    joined, mark = [], keys.mark
+    monkeypatch.setattr(keys, "mark", lambda frame, *a, **kw: joined.append(frame.count()) or mark(frame, *a, **kw))
+    bad = report.summary().first()["rows_with_errors"]
+    filled = [r for r in sorted(rows, key=lambda r: r[3]) if r[2] is not None]
+    falls = {b[3] for a, b in zip(filled, filled[1:]) if b[2] < a[2]}
+    sizes, whole, pairs = Counter(r[0] for r in rows), Counter(rows), Counter(r[:2] for r in rows)
+    failing = [r for r in rows if sizes[r[0]] > 1 or r[1] > 0 or r[3] in falls or whole[r] > 1 or pairs[r[:2]] > 1]
+    assert bad == len(failing) == report.annotated.where(report._failed("error")).count()
+    counts = {r["test"]: r["failed_count"] for r in report.test_results().collect()}
+    assert counts["monotonic"] == sum(r[3] in falls for r in rows) and counts["duplicate_rows"] == 12
+    assert joined and max(joined) <= sum(r[1] == 0 for r in rows)
