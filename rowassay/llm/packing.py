@@ -8,10 +8,13 @@ pieces of the same length.
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import struct
 import threading
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -20,24 +23,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rowassay.llm.shared import ranked, released, sliced
+from rowassay.llm.shared import WORD, ranked, released, sliced
 from rowassay.session import durable
 
 LENGTH = 2048
 END = np.array([0], dtype="<u4").tobytes()
-#: Bytes of words and ids a worker remembers, twice: those met since the last turn-over, and those before.
-REMEMBERED = 40 << 20
-#: What an entry takes beside its word and ids.
+#: Bytes of words and ids a worker remembers, twice (those met since the last turn-over, and those
+#: before): of plain words and their parts in lower case, and of other texts' words as they are.
+LOWER_BYTES, WORD_BYTES = 32 << 20, 8 << 20
+#: What an entry takes beside its key and ids.
 ENTRY = 200
 #: Unknown words that are encoded as one text, parted by a special token.
 TOGETHER = 200
+#: Texts of these characters only are lower-cased and split here as SPLITTING tokenizers do it.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(WORD)
+PARTS = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zà-öø-ÿß0-9]+")
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: The character that stands for a byte in the vocabulary of a ByteLevel tokenizer.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+LETTERS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+class Remembered(dict):
+    """Ids by key; make() gives those of an unknown one. Beyond so many bytes the older half goes, but for what is met again."""
+
+    def __init__(self, most: int, make: Callable[[str], bytes] | None = None):
+        self.most, self.make, self.held = most, make, 0
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            if self.make is None:
+                raise KeyError(key)
+            ids = self.make(key)
+        self[key] = ids
+        self.held += len(key) + len(ids) + ENTRY
+        return ids
+
+    def put(self, key: str, ids: bytes) -> None:
+        self[key] = ids
+        self.held += len(key) + len(ids) + ENTRY
+
+    def turned(self) -> Remembered:
+        if self.held > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        return self
 
 
 class WordEncoder:
     """Ids of a text, word by word: the vocabulary drops white space, so words encode alone.
 
-    Words end at ASCII white space only; the tokenizer itself deals with any other. Ids are kept as
-    little-endian unsigned 32-bit numbers.
+    Words end at ASCII white space only; the tokenizer itself deals with any other. Where it splits
+    words as SPLITTING does, plain ones are remembered in lower case, and what is between their
+    signs is encoded alone. Ids are kept as little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
@@ -46,43 +97,52 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
-        self.special = [t.encode() for t in special]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        young, old = self.young, self.old
-        new = []
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.splitting = all(told.get(k) == v for k, v in SPLITTING.items())
+        self.model = self.tokenizer.model
+        self.lower, self.words = Remembered(LOWER_BYTES, self.made), Remembered(WORD_BYTES)
+
+    def plain(self, text: str) -> bool:
+        return self.splitting and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def made(self, word: str) -> bytes:
+        """Ids of a plain word in lower case."""
+        parts = PARTS.findall(word)
+        if len(parts) > 1:
+            return b"".join(map(self.lower.__getitem__, parts))
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[str]) -> None:
+        """Words by the tokenizer, those that hold no token of its own many at once."""
+        alone: list[str] = []
+        some: list[str] = []
         for word in words:
-            if word in old:
-                young[word] = old[word]
-            else:
-                new.append(word)
-        alone = [w for w in new if self.mark is None or any(t in w for t in self.special)]
-        some = new if not alone else [w for w in new if w not in set(alone)]
-        for word, got in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            young[word] = np.array(got.ids, dtype="<u4").tobytes()
-        if self.mark is not None and some:
-            parts = [some[at : at + TOGETHER] for at in range(0, len(some), TOGETHER)]
-            found = self.tokenizer.encode_batch_fast([self.mark.join(w.decode() for w in p) for p in parts], add_special_tokens=False)
-            for part, got in zip(parts, found, strict=True):
-                ids = np.array(got.ids, dtype="<u4")
-                ends = np.flatnonzero(ids == self.mark_id)
-                raw = ids.tobytes()
-                for word, first, end in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                    young[word] = raw[4 * first : 4 * end]
-        self.held += sum(len(w) + len(young[w]) + ENTRY for w in words)
+            (alone if self.mark is None or any(a in word for a in self.added) else some).append(word)
+        for word in alone:
+            self.words.put(word, np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            for word, first, end in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                self.words.put(word, raw[4 * first : 4 * end])
 
     def ids(self, text: str) -> bytes:
-        parts = text.encode().split()
-        new = [w for w in dict.fromkeys(parts) if w not in self.young]
-        if new:
-            if self.held > REMEMBERED:
-                self.old, self.young, self.held = self.young, {}, 0
-                new = list(dict.fromkeys(parts))
-            self.learn(new)
-        return b"".join(map(self.young.__getitem__, parts)) + END
+        lower = self.lower.turned()
+        if self.plain(text):
+            return b"".join(map(lower.__getitem__, text.lower().split())) + END
+        words, known = WORDS.findall(text), self.words.turned()
+        new = {w for w in words if w not in known and w not in known.old}
+        plain = {w for w in new if self.plain(w)}
+        for word in plain:
+            known.put(word, lower[word.lower()])
+        self.learn(list(new - plain))
+        return b"".join(map(known.__getitem__, words)) + END
 
 
 #: Seconds a worker without packing tasks keeps its encoder.

@@ -621,6 +621,51 @@ def test_packing(spark, docs, length):
     assert packing.pack(nothing(spark), path, length).count() == 0
 
 
+def test_words_are_encoded_by_their_parts():
+    """Case and signs make no new parts; what the tokenizer has seen once it is not asked again."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
+    asked = []
+
+    class Asked:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            def call(texts, *rest, **more):
+                asked.append(texts)
+                return getattr(self.of, name)(texts, *rest, **more)
+
+            return call
+
+    encoder.tokenizer, encoder.model = Asked(encoder.tokenizer), Asked(encoder.model)
+    assert encoder.splitting
+    want = lambda t: np.array([*plain.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+    for text in ("Then then, (then) THEN.", "THEN then Then, (THEN).", "then thén\u2003Then,"):
+        assert encoder.ids(text) == want(text), text
+    assert len(asked) == 7 and "then" in asked  # then , ( ) ). once each, and a text with U+2003 its odd word, by itself
+    rng = random.Random(3)
+    signs = "aZé É'ßs1²<|>&.\x01c\u0301Kİ x\n\t\x1c\x85\u00a0tremvldªµ×"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["a<|endoftext|>b c<|startoftext|>", "don't I'LL rock'n'ROLL 'S 'ſ ΑΣ ß ẞ ÀÖ×÷", "<|ENDOFTEXT|> <|end of", "ÉCOLE l'été d'Œuvre"]
+    for text in texts:
+        assert encoder.ids(text) == want(text), repr(text)
+
+
+def test_a_full_memory_forgets_the_older_half(monkeypatch):
+    monkeypatch.setattr(packing, "LOWER_BYTES", 3000)
+    monkeypatch.setattr(packing, "WORD_BYTES", 3000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, fresh = packing.WordEncoder(path), packing.WordEncoder(path)
+    rng = random.Random(4)
+    for k in range(300):
+        text = prose(20, rng) + (" \u4e2d" + prose(3, rng) if k % 2 else "")
+        assert encoder.ids(text) == fresh.ids(text)
+        assert max(len(encoder.lower), len(encoder.lower.old), len(encoder.words), len(encoder.words.old)) < 60
+
+
 def test_plan_against_plain_best_fit():
     rng = random.Random(12)
     for _ in range(40):
