@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,6 +90,7 @@ def mark_of(token: str) -> str:
     return words[-1] if words[-1] in MARKS else ""
 
 
+@lru_cache(maxsize=2000)  # pages of a layout repeat their tags
 def marked(tag: str, attributes: str) -> tuple[str, bool, str]:
     """The label of an element, whether it is no part of an article, and the mark in its names."""
     if not attributes or attributes.isspace():
@@ -178,9 +180,8 @@ def parse(page: str) -> Node:
         flush()
         if tag in CLOSES or tag not in INLINE:
             _close(stack, tag)
-        inside = any(n.main for _, n in stack)
         role_main = 'role="main"' in attributes or "role='main'" in attributes
-        if tag == "header" and not inside:
+        if tag == "header" and not any(n.main for _, n in stack):
             out = True
         if len(stack) > DEEPEST and not out and not named:
             stack.append((tag, stack[-1][1]))
@@ -347,7 +348,7 @@ def induce(pages: DataFrame) -> DataFrame:
     """
     group = ["host", "layout"]
     references = durable(pages.where("html IS NOT NULL").groupBy(group).agg(F.count("*").alias("n"), F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("reference")))
-    found = places(with_reference(pages, references)).distinct()
+    found = durable(places(with_reference(pages, references)).distinct())  # read twice, parsed once
     pages_of = found.groupBy(group).agg(F.count_distinct("page").alias("pages"))
     counted = found.groupBy(*group, "slot", "text").agg(F.count("*").alias("found")).where("found >= 2")
     constant = counted.join(pages_of, group).where(F.col("found") >= TEMPLATE_SHARE * F.col("pages"))
@@ -372,7 +373,7 @@ def content(found: list[Node], template: list[dict]) -> list[str]:
     """The texts that are no template. What few pages share goes only if it is at most half of what is left."""
     firm = {(x["slot"], x["text"]) for x in template if x["firm"]}
     loose = {(x["slot"], x["text"]) for x in template if not x["firm"]}
-    left = [(x.text, place_of(x) in loose) for x in found if place_of(x) not in firm] if template else [(x.text, False) for x in found]
+    left = [(x.text, place in loose) for x in found if (place := place_of(x)) not in firm] if template else [(x.text, False) for x in found]
     if 2 * sum(len(t) for t, shared in left if shared) > sum(len(t) for t, _ in left):
         return [t for t, _ in left]
     return [t for t, shared in left if not shared]

@@ -299,6 +299,25 @@ def test_menus_go_whatever_the_number_of_pages_and_layouts(spark, plain, tables,
         assert got[n].split("\n") == [t for t in whole if t not in menu], n
 
 
+def test_pages_are_aligned_once_to_find_templates(spark, monkeypatch):
+    """Places are counted by page and by text; the pages behind them are parsed for both at once."""
+    parsed, places = spark.sparkContext.accumulator(0), extraction.places
+
+    def counting(pages):
+        def run(batches):
+            for batch in batches:
+                parsed.add(batch.num_rows)
+                yield batch
+
+        return places(pages.mapInArrow(run, pages.schema))
+
+    monkeypatch.setattr(extraction, "places", counting)
+    pages = [(i, f"http://a.org/{i}", f"<div><p>Menu</p></div><div><p>Text {i} {prose(9)}</p></div>") for i in range(8)]
+    found = extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(found) == 8 and not any("Menu" in r["text"] for r in found)
+    assert parsed.value == 8
+
+
 def test_an_edited_copy_keeps_its_text(spark):
     body = [f"<p>{prose(20)}</p>" for _ in range(6)]
     got = menu_texts(spark, ["<body><div>" + "".join(body) + "</div></body>", "<body><div>" + "".join(body[:5]) + f"<p>{prose(9)}</p></div></body>"])
