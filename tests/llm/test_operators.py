@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -221,6 +222,30 @@ def test_suffix_dedup(spark, docs, shard, monkeypatch):
     assert suffix_dedup.dedup(nothing(spark)).count() == 0
 
 
+def test_shared_anchors_are_one_row_per_batch():
+    """A group gives each batch one row, however many texts hold what is shared; none of it is lost."""
+    rng = random.Random(8)
+    held = {b: {a << 20: sorted(rng.sample(range(40), rng.choice([1, 1, 1, 2, 30]))) for a in rng.sample(range(90), 35)} for b in (5, -6, 7)}
+    rows = []
+    for b, anchors in held.items():
+        value = np.array(sorted(anchors), dtype=np.uint64)
+        marks = np.array([2 * anchors[int(v)][0] + (len(anchors[int(v)]) > 1) for v in value], dtype="<u2")
+        rows.append((b, suffix_dedup.packed_sorted(value), suffix_dedup.packed(marks)))
+    counted = suffix_dedup.shared_anchors(pd.DataFrame(rows, columns=["batch", "anchors", "holders"]))
+    assert sorted(counted["batch"]) == [-6, 5, 7]
+    for b, anchors in held.items():
+        own = counted[counted["batch"] == b].assign(keys=None)
+        some = [(v, at) for v, places in sorted(anchors.items()) if len(places) > 1 for at in places]
+        local = (b, suffix_dedup.packed(np.arange(100, 140, dtype="<i8")), suffix_dedup.packed_sorted(np.array([v for v, _ in some], np.uint64)), suffix_dedup.packed(np.array([at for _, at in some], "<u2")))
+        found = suffix_dedup.by_text(pd.concat([own, pd.DataFrame([local], columns=["batch", "keys", "anchors", "holders"])]))
+        shared = {v for v, places in anchors.items() if len(places) > 1 or any(v in held[o] for o in held if o != b)}
+        want = {}
+        for v in shared:
+            for at in anchors[v]:
+                want.setdefault(100 + at, set()).add(v)
+        assert {int(k): set(suffix_dedup.unpacked_sorted(a).tolist()) for k, a in zip(found["key"], found["anchors"], strict=True)} == want
+
+
 # --- op 3 --------------------------------------------------------------------------------------
 
 
