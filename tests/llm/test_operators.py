@@ -222,6 +222,46 @@ def test_suffix_dedup(spark, docs, shard, monkeypatch):
     assert suffix_dedup.dedup(nothing(spark)).count() == 0
 
 
+def test_names_by_doubling_or_recursion(tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    for size, alphabet in ((3, 1), (200, 2), (5000, 3), (20000, 90)):
+        text = np.append(np.tile(rng.integers(1, alphabet + 1, size), 3), 0).astype(np.int32)
+        monkeypatch.setattr(induced, "DOUBLING", 32)
+        short = induced.suffixes(text, alphabet + 1, str(tmp_path))
+        monkeypatch.setattr(induced, "DOUBLING", 1 << 40)
+        assert (short == induced.suffixes(text, alphabet + 1, str(tmp_path))).all()
+
+
+def test_pieces_are_shuffled_once(spark, docs, monkeypatch):
+    """Between the cut pieces and the suffix sorting there is one shuffle, and a common piece goes into it once a task."""
+    seen = {}
+    real, checkpointed = suffix_dedup.written, suffix_dedup.durable
+
+    def noted(df):
+        seen["lost"] = df
+        return checkpointed(df)
+
+    monkeypatch.setattr(suffix_dedup, "durable", noted)
+
+    def kept(df, name):
+        out, path = real(df, name)
+        if name == "suffix-pieces":
+            seen["pieces"] = out.collect()
+        return out, path
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    rng = random.Random(9)
+    passage = prose(40, rng)
+    rows = [(i, f"{prose(12, rng)} {passage} {prose(12, rng)}") for i in range(40)]
+    source = spark.createDataFrame(rows, "id long, text string").repartition(1).selectExpr("id", "xxhash64(text) AS key", "text")
+    suffix_dedup.spans(source)
+    plan = seen["lost"]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(shard") + plan.count("hashpartitioning(anchor") == 1
+    told = Counter(r["name"] for r in seen["pieces"] if r["piece"] is not None)
+    every = Counter(r["name"] for r in seen["pieces"])
+    assert max(every.values()) == 40 and sum(told.values()) < 2 * len(every)
+
+
 def test_shared_anchors_are_one_row_per_batch():
     """A group gives each batch one row, however many texts hold what is shared; none of it is lost."""
     rng = random.Random(8)
