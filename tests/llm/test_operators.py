@@ -154,6 +154,76 @@ def test_passages_inside_and_across_lines(spark):
         assert len(left) - len(a.split()) - len(b.split()) < 20 and got[i]["n_removed"] >= 1, (i, left)
 
 
+def plain_passages(text, least):
+    """(first character, end, whether it is a line, words): word by word, sentence by sentence."""
+    at, known, stretches = 0, set(), [([], [], [])]
+    for line in text.split("\n"):
+        words = line.encode().lower().split()
+        spans = [(at + m.start(), at + m.end()) for m in re.finditer(shared.WORD, line)]
+        at += len(line) + 1
+        if len(words) >= least:
+            known.add((spans[0][0], spans[-1][1]))
+            yield spans[0][0], spans[-1][1], True, words
+        if words:
+            stretches[-1][2].append(len(stretches[-1][0]))
+            stretches[-1][0].extend(words)
+            stretches[-1][1].extend(spans)
+        else:
+            stretches.append(([], [], []))
+    for words, spans, lines in stretches:
+        ends = [i for i, w in enumerate(words, 1) if paragraph_dedup.ENDING.search(w) or i == len(words)]
+        begin = {0, *ends[:-1]}
+        for first in sorted(begin.union(lines)):
+            end = next((e for e in ends if e - first >= least), None)
+            if end and (first in begin or end - first <= paragraph_dedup.NEAR * least) and (spans[first][0], spans[end - 1][1]) not in known:
+                yield spans[first][0], spans[end - 1][1], False, words[first:end]
+
+
+ODD_WORDS = ["a", "bb", "Ccc.", "d!)", "e.”", "fé", "»", "x.»", "’", 'z?"', "中文", "Y)", "h.’'", "\x00"]
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 20])
+def test_passages_of_a_batch(least):
+    """Passages of many texts at once, and the bands of their lines, are those of each alone."""
+    rng, seeds = random.Random(least), paragraph_dedup._seeds()
+    blanks = [" "] * 12 + ["  ", "\n", "\n", "\n\n", " \n ", "\n \n", "\t", "\r\n", "\x0b", "\x0c\n", "\x1c "]
+    for _ in range(60):
+        texts = ["".join(rng.choice(ODD_WORDS) + rng.choice(blanks) for _ in range(rng.randint(0, 120))) for _ in range(rng.randint(0, 6))]
+        found = paragraph_dedup.Passages([t.encode() for t in texts], least)
+        got = sorted(zip(*[x.tolist() for x in (*found.places(), found.line, found.nodes())], strict=True))
+        assert got == sorted((i, a, b, line, paragraph_dedup.node_of(w)) for i, t in enumerate(texts) for a, b, line, w in plain_passages(t, least))
+        lines = [found.words(i) for i in np.flatnonzero(found.line)]
+        bands, sizes = paragraph_dedup.banded(lines, seeds)
+        for words, own, size in zip(lines, bands, sizes, strict=True):
+            items = links.shingles(words)
+            assert len(items) == size and (paragraph_dedup.bands(items, seeds) == own).all()
+
+
+@pytest.mark.parametrize("slice_rows", [1, 1000])
+def test_only_what_recurs_is_sent_on(spark, docs, slice_rows, monkeypatch):
+    """Windows and bands that come once never leave their batch; all others do, with null and large ids."""
+    monkeypatch.setattr(paragraph_dedup, "SLICE", slice_rows)
+    rng = random.Random(3)
+    rows = [(i, t) for i, t, *_ in ROWS] + [((1 << 62) + i, f"{sentences(6, rng)} {one} {sentences(6, rng)}") for one in (sentences(5, rng), sentences(5, rng)) for i in range(3)]
+    source = paragraph_dedup.prepared(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    places, postings, path = paragraph_dedup.places_and_postings(source, 20)
+    want = [(i, a, b, line, paragraph_dedup.node_of(w)) for i, t in rows for a, b, line, w in plain_passages(t or "", 20)]
+    count = Counter(x[-1] for x in want)
+    assert by_row(places.drop("digest")) == Counter((*x, count[x[-1]] > 1) for x in want if x[3] or count[x[-1]] > 1)
+    assert any(not x[3] and count[x[-1]] == 1 for x in want)
+    seeds, nodes = paragraph_dedup._seeds(), {}
+    for _, t in rows:
+        for _, words in paragraph_dedup.paragraphs((t or "").encode(), 20):
+            nodes[paragraph_dedup.node_of(words)] = links.shingles(words)
+    buckets = {}
+    for node, items in nodes.items():
+        for b in paragraph_dedup.bands(items, seeds).tolist():
+            buckets.setdefault(b >> 16, set()).add((node, len(items)))
+    met = {(b, *x) for b, some in buckets.items() if len(some) > 1 for x in some}
+    got = {(r["bucket"] >> 16, r["node"], r["size"]) for r in postings.collect()}
+    assert met <= got and {x for x in got if len(buckets[x[0]]) > 1} == met
+
+
 def paragraph_key(spark, text, known={}):  # noqa: B006
     if text not in known:
         known[text] = spark.createDataFrame([(text,)], "text string").select(paragraph_dedup.digest_of("text")).first()[0]
