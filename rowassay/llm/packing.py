@@ -98,9 +98,8 @@ class WordEncoder:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        self.splitting = all(told.get(k) == v for k, v in SPLITTING.items())
+        # of these two parts alone: the whole file as Python objects takes more memory than the tokenizer
+        self.splitting = all((part := getattr(self.tokenizer, k)) is not None and json.loads(part.__getstate__()) == v for k, v in SPLITTING.items())
         self.model = self.tokenizer.model
         self.lower, self.words = Remembered(LOWER_BYTES, self.made), Remembered(WORD_BYTES)
 

@@ -876,6 +876,12 @@ def test_slices_are_bounded_by_bytes(monkeypatch):
     assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts)
 
 
+def test_an_encoder_does_not_read_its_file_twice(monkeypatch):
+    """The tokenizer's file as Python objects would take more memory than the tokenizer."""
+    monkeypatch.setattr(packing.json, "load", None)
+    assert packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).splitting
+
+
 def test_an_unused_encoder_is_given_up(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_SECONDS", 0.2)
     path = public_tokenizers.path("word_bpe_49k.json")
