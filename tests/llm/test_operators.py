@@ -332,6 +332,19 @@ def test_pieces_are_shuffled_once(spark, docs, monkeypatch):
     assert max(every.values()) == 40 and sum(told.values()) < 2 * len(every)
 
 
+def test_spans_are_joined_without_a_row_for_each():
+    """The spans of a text are merged as arrays, a few thousand rows at a time, whatever the batch's size."""
+    rng = random.Random(2)
+    rows = [[{"a": a, "b": a + rng.randint(1, 9)} for a in (rng.randrange(60) for _ in range(rng.randint(1, 9)))] for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["key", "rows"])
+    found = list(suffix_dedup.joined_up(iter([batch.slice(7)])))
+    assert max(b.num_rows for b in found) <= shared.SLICE
+    got = {k: np.frombuffer(s, "<i8").reshape(-1, 2).tolist() for b in found for k, s in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    for k, spans in enumerate(rows[7:], 7):
+        points = {p for x in spans for p in range(2 * x["a"], 2 * x["b"] + 1)}
+        assert got[k] == [[p // 2, next(q for q in range(p, 999) if q + 1 not in points) // 2] for p in sorted(points) if p - 1 not in points]
+
+
 def test_shared_anchors_are_one_row_per_batch():
     """A group gives each batch one row, however many texts hold what is shared; none of it is lost."""
     rng = random.Random(8)
