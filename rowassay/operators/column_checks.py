@@ -168,7 +168,19 @@ def date_formats(params: dict) -> list[str]:
 def date_rule(c, dtype, params, declared):
     text = as_text(c, dtype)
     read = dates.parse_any(text, date_formats(params), bool(params.get("excel_serial_enabled")))
-    return text.isNotNull() & read.isNull()
+    bad = text.isNotNull() & read.isNull()
+    printed = _prints_as_asked(c, dtype, date_formats(params))
+    return bad if printed is None else F.when(printed, False).otherwise(bad)
+
+
+def _prints_as_asked(c: Column, dtype: T.DataType, formats: list[str]) -> Column | None:
+    """True where a date or a time in whole seconds prints in one of the formats, so that its text need not be read."""
+    if isinstance(dtype, T.DateType):
+        return c.between(F.lit(date(1000, 1, 1)), F.lit(date(9999, 12, 31))) if "YYYY-MM-DD" in formats else None
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and "YYYY-MM-DD HH:mm:ss" in formats:
+        first, last = (F.lit(t).cast("timestamp_ntz") for t in ("1000-01-01 00:00:00", "9999-12-31 23:59:59"))
+        return (F.unix_micros(c.cast("timestamp")) % 1_000_000 == 0) & c.cast("timestamp_ntz").between(first, last)
+    return None
 
 
 @register("date_window")

@@ -1,8 +1,8 @@
 """Repeated keys of any number of key lists, counted in one shuffle.
 
 Every row gives one entry per list: the list's number and 128 bits that stand for the key. One
-whole number, date or time is kept as it is; other keys are hashed. Entries are counted together. Keys
-whose hashes repeat are then compared as they are, all lists in one more grouping that reads only
+whole number, date or time is kept as it is, and one or two columns of 64 bits at most are scrambled
+without loss; other keys are hashed. Entries are counted together. Keys whose hashes repeat are then compared as they are, all lists in one more grouping that reads only
 rows under repeated hashes; a list in which two keys share a hash is counted again by its columns.
 """
 
@@ -20,6 +20,8 @@ from rowassay.operators import keys
 
 LIST, FIRST, SECOND, MISSING = "__list", "__h1", "__h2", "__m"
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+# 64 bits at most, which xxhash64 of one value maps to 64 bits one to one
+_FIXED = (*_WHOLE, T.DateType, T.TimestampType, T.TimestampNTZType, T.FloatType, T.DoubleType)
 
 
 @dataclass
@@ -27,8 +29,8 @@ class Repeated:
     """The keys of one list that occur more than once."""
 
     names: list[str]
-    seen: keys.Measured  # keyed by the two numbers, or by the columns
-    stand_in: tuple[Column, Column] | None  # the two numbers of a row; None where keyed by the columns
+    seen: keys.Measured  # keyed by the numbers, or by the columns
+    stand_in: dict[str, Column] | None  # the numbers of a row by their names; None where keyed by the columns
     missing: int  # rows under repeated keys that are missing values
 
     def mark(self, frame: DataFrame, flag: str, counted: DataFrame | None = None) -> DataFrame:
@@ -37,22 +39,29 @@ class Repeated:
             return frame.withColumn(flag, F.lit(False))
         if self.stand_in is None:
             return keys.mark(frame, self.names, self.seen, flag, counted=counted)
-        numbers = {FIRST: self.stand_in[0], SECOND: self.stand_in[1]}
-        counted = None if counted is None else counted.withColumns(numbers)
-        return keys.mark(frame.withColumns(numbers), [FIRST, SECOND], self.seen, flag, [FIRST, SECOND], counted).drop(FIRST, SECOND)
+        names = list(self.stand_in)
+        counted = None if counted is None else counted.withColumns(self.stand_in)
+        return keys.mark(frame.withColumns(self.stand_in), names, self.seen, flag, names, counted).drop(*names)
 
     def filled(self) -> DataFrame:
         """Repeated keys that are no missing value, with their row counts."""
         return self.seen.table.where(~F.col(MISSING))
 
 
+def fixed(df: DataFrame, names: list[str]) -> bool:
+    """Whether the values of one or two columns take 64 bits each at most."""
+    return len(names) <= 2 and all(isinstance(df.schema[n].dataType, _FIXED) for n in names)
+
+
 def stand_in(df: DataFrame, names: list[str]) -> tuple[Column, Column, bool]:
-    """Two numbers for a key, and whether they are the key itself."""
+    """Two numbers for a key, and whether they are the key itself; of two columns, that is for keys with the same nulls."""
     kind = df.schema[names[0]].dataType if len(names) == 1 else None
     c = col(names[0])
     number = c.cast("bigint") if isinstance(kind, _WHOLE) else F.unix_date(c) if isinstance(kind, T.DateType) else F.unix_micros(c) if isinstance(kind, T.TimestampType) else None
     if number is not None:
         return F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint")), c.isNull().cast("bigint"), True
+    if fixed(df, names):
+        return F.xxhash64(c), c.isNull().cast("bigint") if len(names) == 1 else F.xxhash64(col(names[1])), True
     return *hashes([col(n) for n in names]), False
 
 
@@ -76,8 +85,13 @@ def repeated_lists(df: DataFrame, lists: list[tuple[list[str], Column | None]],
     if not lists:
         return []
     known = [stand_in(df, names) for names, _ in lists]
+    # where two columns stand for themselves, which of them are null makes lists of their own
+    paired = [len(names) == 2 and exact for (names, _), (*_, exact) in zip(lists, known, strict=True)]
+    nulls = [col(names[0]).isNull().cast("int") + 2 * col(names[1]).isNull().cast("int") if pair else None for (names, _), pair in zip(lists, paired, strict=True)]
+    number = [F.lit(i) if n is None else F.lit(i) + n * len(lists) for i, n in enumerate(nulls)]
+    own_list = F.col(LIST) % len(lists)
     entries = [
-        [F.lit(i).alias(LIST), first.alias(FIRST), second.alias(SECOND), (F.lit(False) if missing is None else missing).alias(MISSING)]
+        [number[i].alias(LIST), first.alias(FIRST), second.alias(SECOND), (F.lit(False) if missing is None else missing).alias(MISSING)]
         for i, ((first, second, _), (_, missing)) in enumerate(zip(known, lists, strict=True))
     ]
     groups = _entries(df, entries).groupBy(LIST, FIRST, SECOND).agg(F.count(F.lit(1)).alias("__n"), F.max(MISSING).alias(MISSING)).where("__n > 1")
@@ -85,7 +99,7 @@ def repeated_lists(df: DataFrame, lists: list[tuple[list[str], Column | None]],
     held.append(table)
     found = {
         r[LIST]: r
-        for r in table.groupBy(LIST).agg(
+        for r in table.groupBy(own_list.alias(LIST)).agg(
             F.count(F.lit(1)).alias("rows"), F.max("__n").alias("top"), F.sum("__n").alias("total"), F.sum(F.when(F.col(MISSING), F.col("__n")).otherwise(0)).alias("missing")
         ).collect()
     }  # a row per list
@@ -100,8 +114,9 @@ def repeated_lists(df: DataFrame, lists: list[tuple[list[str], Column | None]],
         else:
             r = found.get(i)
             rows, top, total, gone = (r["rows"], r["top"], r["total"], r["missing"]) if r else (0, 0, 0, 0)
-            part = table.where(F.col(LIST) == i).drop(LIST)
-            out.append(Repeated(names, keys.Measured(part, rows, 25 * rows, top, total), (first, second), gone))
+            part = table.where(own_list == i) if paired[i] else table.where(F.col(LIST) == i).drop(LIST)
+            numbers = {**({LIST: number[i]} if paired[i] else {}), FIRST: first, SECOND: second}
+            out.append(Repeated(names, keys.Measured(part, rows, (9 + 8 * len(numbers)) * rows, top, total, max(top, 1)), numbers, gone))
     return out
 
 

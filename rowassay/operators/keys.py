@@ -82,6 +82,7 @@ class Measured:
     size: int
     top: int  # rows of the data under the most frequent key
     total: int  # rows of the data under any key
+    most: int | None = None  # rows of the data under its most frequent key, listed here or not; None if not known
 
     @property
     def small(self) -> bool:
@@ -159,8 +160,8 @@ def attach(
     """Left-join ``payload`` of a table with one row per key; null keys match null keys.
 
     ``weight`` names the table column that says how many rows of ``df`` carry the key. ``counted``
-    has the same rows with the keys and fewer joins behind it; hot keys are looked for there, so that
-    a chain of joins is not run again at each link.
+    has the same rows, or more, with the keys and fewer joins behind it; hot keys are looked for there, so
+    that a chain of joins is not run again at each link, and not at all where ``most`` says there are none.
     """
     seen = table if isinstance(table, Measured) else measure([table], weight)[0]
     types = {f.name: f.dataType for f in seen.table.schema.fields}
@@ -176,7 +177,7 @@ def attach(
     spare = [*names, "__w"]
     if seen.small:
         side = F.broadcast(side)
-    else:
+    elif seen.most is None or seen.most > ROWS_PER_SALT:
         hot = F.broadcast(hot_slots(df if counted is None else counted, keys))
         salts = F.coalesce(F.col("__salts"), F.lit(1))
         side = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
@@ -110,3 +111,37 @@ def monotonic_breaks(
     ).select("__first.*")
     keep = by if value in order else [*by, F.col("__v").alias(value)]
     return inner.select(*by, "__v", *kept).unionByName(outer).select(*keep, *kept)
+
+
+def rows_at_breaks(
+    df: DataFrame, value: str, order: list[str], flag: str, direction: str, strict: bool, held: list[DataFrame]
+) -> tuple[DataFrame, int]:
+    """The rows with a boolean: true at positions where ``monotonic_breaks`` finds a row; and how many are true.
+
+    The value may not be missing, and equal positions are equal rows. Rows are sorted once and kept with
+    what was found; slice edges are compared afterwards. ``held`` gets what to release: the rows are
+    not to be read after that, since other slices would then be cut.
+    """
+    rising = direction in ("increasing", "ascending")
+    dtype = df.schema[value].dataType
+    by = [col(o) for o in order]
+    inside, here = W.partitionBy("__slice").orderBy(*by), W.partitionBy("__slice", *by)
+    rows = df.repartitionByRange(*by).withColumn("__slice", F.spark_partition_id())
+    rows = rows.withColumns({"__prev": F.lag(col(value)).over(inside), "__last": F.lead(F.lit(1)).over(inside).isNull()})
+    bad = F.col("__prev").isNotNull() & _breaks(F.col("__prev"), col(value), dtype, rising, strict)
+    rows = rows.withColumns({flag: F.coalesce(bad, F.lit(False)), "__first": F.col("__prev").isNull()}).drop("__prev")
+    # sorted by position already: no shuffle and no sort of its own
+    rows = rows.withColumns({flag: F.max(flag).over(here), "__first": F.max("__first").over(here)})
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(rows)
+    first, last = F.col("__first"), F.col("__last")
+    counts = rows.groupBy("__slice").agg(F.count_if(flag).alias("inside"), F.count_if(first & ~col(flag)).alias("edge")).collect()  # a row per slice
+    edges = rows.where(first | last).groupBy("__slice").agg(
+        F.first(F.when(first, col(value)), True).alias("__v"), F.first(F.when(last, col(value)), True).alias("__end")
+    )
+    # one row per slice
+    edges = edges.withColumn("__prev", F.lag("__end").over(W.orderBy("__slice"))).where("__prev IS NOT NULL")
+    cut = {r[0] for r in edges.where(_breaks(F.col("__prev"), F.col("__v"), dtype, rising, strict)).select("__slice").collect()}
+    marked = rows.withColumn(flag, col(flag) | (first & F.col("__slice").isin(sorted(cut)))) if cut else rows
+    found = sum(r["inside"] + (r["edge"] if r["__slice"] in cut else 0) for r in counts)
+    return marked.drop("__slice", "__first", "__last"), found

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay.functions.text import as_text, col, is_missing
 from rowassay.operators import column_checks, dataset_checks, keys, membership, order
-from rowassay.operators.key_lists import repeated_lists
+from rowassay.operators.key_lists import Repeated, fixed, repeated_lists
 from rowassay.operators.order import first_of
 from rowassay.operators.normalize import normalized
 from rowassay.operators.quantiles import quantiles_of
@@ -27,6 +27,8 @@ from rowassay.plans import rules as R
 
 # Tells rows at one position of order_by apart.
 TIE = "__tie"
+# Of rows in order: whether a value check of errors fails.
+FAILED = "__failed"
 ERRORS, ERROR_COUNT, STATUS = "__dq_errors__", "__dq_error_count__", "__dq_status__"
 
 # What a row label says for each failed test; other tests give their own name.
@@ -56,7 +58,7 @@ class Check:
     column: str | None = None  # the input column a failing cell belongs to
     flags: bool = False  # rows carry a flag
     passed: bool | None = None  # settled before the counting pass
-    settled_count: int = 0
+    settled_count: int | None = 0  # None: counted when asked for
     note: str | None = None
     details: dict[str, Column] = field(default_factory=dict)
 
@@ -104,8 +106,8 @@ def validate(
     do ("column_only"). ``references`` is one table for all reference checks, or one per name.
     A monotonic check without ``order_by`` looks rows up by scan position. Unless ``stable_input``
     promises the same order on every read, as a plain file scan gives, the numbered input is
-    checkpointed first. ``cache_input`` keeps the normalized input for the several passes a long
-    rule set takes, where it fits the cluster's memory and disks.
+    checkpointed first. ``cache_input`` keeps the normalized input, with what up to COUNTED value checks find,
+    for the several passes a long rule set takes, where it fits the cluster's memory and disks.
     """
     if check_rules:
         issues = R.find_issues(rules, df.schema)
@@ -136,24 +138,40 @@ class Report:
         self._tables: list[DataFrame] = []
         self._row_flags: dict[str, Column] = {}
         self._key_checks: list[tuple[Check, list[str], DataFrame, list[str] | None]] = []
+        self._lookups: dict[str, Lookup] = {}
+        self._ordered: list[Ordered] = []
+        # checks that run jobs when they are set up; they wait for the value checks
+        self._later: list[Callable[[], None]] = []
         # checks of repeated keys by key list, each with what excuses a row
         self._key_lists: dict[tuple[str, ...], list[tuple[Check, Column | None]]] = {}
         self._cardinality: list[tuple[Check, str, Column, dict]] = []
         self._outliers: list[tuple[Check, str, dict]] = []
         self._normalize(df)
         self._input: DataFrame | None = None
-        if cache_input:
-            self.frame = self._input = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
         self._column_checks(enforce_required)
         self._dataset_checks()
         self._reference_checks(references)
+        if cache_input and len(self._row_flags) > COUNTED:
+            self.frame = self._input = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+        self.frame = self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
+        if cache_input and self._input is None:
+            self.frame = self.flagged = self._input = self.flagged.persist(StorageLevel.MEMORY_AND_DISK)
+        for settle in self._later:
+            settle()
         self._measure_keys()
         self._settle_cardinality()
         self._settle_outliers()
-        self.flagged = self.frame.select("*", *[f.alias(n) for n, f in self._row_flags.items()])
-        self.annotated = self._mark_keys(self.flagged)
+        self._marked = self._mark_keys(self.flagged)
+        self._annotated: DataFrame | None = None
         self._numbers: dict[str, int | str | None] = {}
 
+    @property
+    def annotated(self) -> DataFrame:
+        """The rows with a boolean per check; breaks of order are looked for when this is first asked for."""
+        if self._annotated is None:
+            self._annotated = reduce(lambda frame, o: self._mark_breaks(frame, o), self._ordered, self._marked)
+        return self._annotated
+
     # --- compiling -------------------------------------------------------------------------
 
     def _normalize(self, df: DataFrame) -> None:
@@ -218,20 +236,13 @@ class Report:
             at = self.order_by if order.ROW_ID in self.order_by else [*self.order_by, TIE]
             if TIE in at and TIE not in self.frame.columns:
                 self.frame = self.frame.withColumn(TIE, F.xxhash64(*[col(c) for c in self.columns]))
-            bad = order.monotonic_breaks(
-                self.frame.where(~missing),
-                value,
-                at,
-                params.get("direction", "increasing"),
-                bool(params.get("strict", False)),
-                "__same" if TIE in at else None,
-            )
-            if TIE in at:  # rows equal in every column are marked alike, and all of them count
-                bad = bad.groupBy(*[col(a) for a in at]).agg(F.max("__same").alias("__n"))
-            else:
-                bad = keys.group_sizes(bad, at)
             check.details = {"values": F.count_if(~missing)}
-            self._key_checks.append((check, at, bad, None))
+            asked = Ordered(check, value, missing, at, params.get("direction", "increasing"), bool(params.get("strict", False)))
+            if TIE in at:
+                check.settled_count = None
+                self._ordered.append(asked)
+            else:
+                self._later.append(lambda: self._key_checks.append((check, at, keys.group_sizes(self._breaks(asked), at), None)))
         elif check.test == "cardinality_warning":
             self._cardinality.append((check, value, missing, params))
         else:
@@ -241,10 +252,17 @@ class Report:
         """A long list of allowed values is a table; failing values are those it does not hold."""
         check.flags = True
         asked = f"__l{check.id}"
-        self.frame = self.frame.withColumn(asked, column_checks.compared(col(value), self.view_types[check.target], params))
-        table = column_checks.value_table(self.frame.sparkSession, values, params)
-        bad = keys.missing_keys(self.frame, asked, table, "value", self._tables)
-        self._key_checks.append((check, [asked], bad, None))
+        self._lookups[asked] = Lookup(value, column_checks.compared(col(value), self.view_types[check.target], params), False)
+
+        def settle() -> None:
+            table = column_checks.value_table(self.frame.sparkSession, values, params)
+            bad = keys.missing_keys(self.frame.withColumn(asked, self._lookups[asked].value), asked, table, "value", self._tables)
+            self._key_checks.append((check, [asked], bad, None))
+
+        self._later.append(settle)
+
+    def _breaks(self, o: Ordered, same: str | None = None) -> DataFrame:
+        return order.monotonic_breaks(self.frame.where(~o.missing), o.value, o.at, o.direction, o.strict, same)
 
     def _dataset_checks(self) -> None:
         for t in self.rules["dataset_tests"]:
@@ -332,14 +350,16 @@ class Report:
             check.flags = True
             spec = (self.by_name.get(column) or {}).get("normalization")
             value = self.view[column]
-            bad = membership.bad_reference_keys(
-                self.frame, value, table, f["fk_column"], f["allow_nulls"], spec, self._tables
-            )
             lookup = f"__l{check.id}"
-            self.frame = self.frame.withColumn(
-                lookup, membership.key_text(col(value), self.view_types[column], spec)
-            )
-            self._key_checks.append((check, [lookup], bad, ["__key"]))
+            self._lookups[lookup] = Lookup(value, membership.key_text(col(value), self.view_types[column], spec), spec is None)
+
+            def settle(check=check, value=value, table=table, f=f, spec=spec, lookup=lookup) -> None:
+                bad = membership.bad_reference_keys(
+                    self.frame, value, table, f["fk_column"], f["allow_nulls"], spec, self._tables
+                )
+                self._key_checks.append((check, [lookup], bad, ["__key"]))
+
+            self._later.append(settle)
 
     # --- settling what needs the whole table -------------------------------------------------
 
@@ -422,39 +442,128 @@ class Report:
             for check, excused in checks:
                 check.settled_count = self._shared[names].seen.total - (0 if excused is None else self._shared[names].missing)
         self._seen = keys.measure([bad for _, _, bad, _ in self._key_checks], held=self._tables)
-        for (check, *_), seen in zip(self._key_checks, self._seen):
-            check.settled_count = seen.total
-
-    def _mark_keys(self, frame: DataFrame, passing: list[Check] = ()) -> DataFrame:
-        """Mark the rows of failing keys, once per key list; rows that fail one of ``passing`` go at once."""
-        flags_of = {c.flag for c in passing}
-
-        def kept(frame: DataFrame, flags: list[str]) -> DataFrame:
-            own = [col(f) for f in flags if f in flags_of]
-            return frame.where(~F.coalesce(any_of(own), F.lit(False))) if own else frame
-
-        rows = frame = kept(frame, list(self._row_flags))
+        for i, (check, names, *_) in enumerate(self._key_checks):
+            check.settled_count = self._seen[i].total
+            lookup = self._lookups.get(names[0])
+            if lookup and lookup.plain and (lookup.source,) in self._shared:  # the list tells how often any value occurs
+                self._seen[i] = replace(self._seen[i], most=self._shared[lookup.source,].seen.most)
+
+    def _mark_keys(self, frame: DataFrame) -> DataFrame:
+        """Mark the rows of failing keys, once per key list."""
+        rows = frame
         for i, (names, checks) in enumerate(self._key_lists.items()):
             shared = f"__r{i}"
             frame = self._shared[names].mark(frame, shared, rows)
-            flags = {check.flag: col(shared) if x is None else col(shared) & ~x for check, x in checks}
-            frame = kept(frame.withColumns(flags).drop(shared), list(flags))
+            frame = frame.withColumns({check.flag: col(shared) if x is None else col(shared) & ~x for check, x in checks}).drop(shared)
         for (check, names, _, table_keys), seen in zip(self._key_checks, self._seen):
-            frame = kept(keys.mark(frame, names, seen, check.flag, table_keys, rows), [check.flag])
+            frame = self._mark_key(frame, rows, check, names, table_keys, seen)
         return frame
 
+    def _mark_key(self, frame: DataFrame, rows: DataFrame, check: Check, names: list[str], table_keys: list[str] | None, seen: keys.Measured) -> DataFrame:
+        given = {n: self._lookups[n].value for n in names if n in self._lookups}
+        if given:
+            frame = frame.withColumns({n: v for n, v in given.items() if n not in frame.columns})
+            rows = rows.withColumns(given)
+        return keys.mark(frame, names, seen, check.flag, table_keys, rows).drop(*given)
+
+    def _mark_breaks(self, frame: DataFrame, o: Ordered) -> DataFrame:
+        """Mark rows at positions where the order breaks; rows equal in every column are marked alike, and all of them count."""
+        flag = o.check.flag
+        if o.broken is None:
+            bad = self._breaks(o, "__same").groupBy(*[col(a) for a in o.at]).agg(F.max("__same").alias("__n"))
+            o.broken = keys.measure([bad.withColumn(flag, F.lit(True))], held=self._tables)[0]
+            o.check.settled_count = o.broken.total
+        frame = keys.attach(frame, o.at, o.broken, [flag], counted=self.flagged)
+        return frame.withColumn(flag, F.coalesce(col(flag), F.lit(False)))
+
+    def _sorted(self, o: Ordered) -> DataFrame:
+        """The rows with a value in order, and whether they are at a break. The first such check of errors also
+        keeps by what else rows are told to fail, so that rows with errors are counted from there."""
+        if o.rows is None:
+            filled = self.frame.where(~o.missing)
+            more = self._carried() if o is self._leading() else {}
+            at = list(dict.fromkeys([*o.at, o.value]))
+            rows = filled.select(*[col(a) for a in at], *[c.alias(n) for n, c in more.items() if n not in at])
+            o.rows, o.check.settled_count = order.rows_at_breaks(rows, o.value, o.at, o.check.flag, o.direction, o.strict, self._tables)
+        return o.rows
+
+    def _leading(self) -> Ordered | None:
+        acting = {c.id for c in self._acting("error")}
+        return next((o for o in self._ordered if o.check.id in acting), None)
+
+    def _error_lists(self) -> list[tuple[int, list[str], Repeated, list[tuple[Check, Column | None]]]]:
+        """Key lists with repeated keys by which rows have errors. A list that holds all columns of another adds
+        none: rows repeated in it are repeated in the other, unless that one excuses some."""
+        acting = {c.id for c in self._acting("error")}
+        found: list[tuple[int, list[str], Repeated, list[tuple[Check, Column | None]]]] = []
+        for i, (names, checks) in enumerate(self._key_lists.items()):
+            own = [(c, x) for c, x in checks if c.id in acting]
+            if own and self._shared[names].seen.rows:
+                found.append((i, list(names), self._shared[names], own))
+        plain = [(i, set(names)) for i, names, _, own in found if any(x is None for _, x in own)]
+        return [f for f in found if not any(n < set(f[1]) or (n == set(f[1]) and i < f[0]) for i, n in plain)]
+
+    def _carried(self) -> dict[str, Column]:
+        """What tells whether a row fails checks of errors, other than by order."""
+        out = {FAILED: any_of([F.coalesce(col(c.flag), F.lit(False)) for c in self._acting("error") if c.flag in self._row_flags])}
+        for i, names, seen, checks in self._error_lists():
+            if seen.stand_in is None or fixed(self.frame, names):
+                out |= {n: col(n) for n in names}
+            else:
+                out |= {f"__s{i}{n}": c for n, c in seen.stand_in.items()}
+                out |= {f"__x{c.id}": x for c, x in checks if x is not None}
+        acting = {c.id for c in self._acting("error")}
+        for (check, names, _, _), seen in zip(self._key_checks, self._seen):
+            if check.id in acting and seen.rows:
+                for n in names:
+                    lookup = self._lookups.get(n) or Lookup(n, col(n), True)
+                    out |= {lookup.source: col(lookup.source)} if fixed(self.frame, [lookup.source]) else {n: lookup.value}
+        for o in self._ordered:
+            if o.check.id in acting:
+                out |= {n: col(n) for n in o.at}
+        return out
+
+    def _passing(self) -> DataFrame:
+        """The rows that pass all checks of errors: a row goes at its first failure, so that few are joined to the
+        failing keys of the later checks. Rows in order are known to break it without a join."""
+        carried, lead = self._carried(), self._leading()
+        rows = self.frame if lead is None else self.frame.where(lead.missing)
+        rows = rows.select(*[c.alias(n) for n, c in carried.items()]).where(~col(FAILED))
+        if lead is not None:
+            filled = self._sorted(lead).where(~col(FAILED) & ~col(lead.check.flag))
+            rows = filled.select(*[col(n) for n in carried]).unionByName(rows)
+        for i, names, seen, checks in self._error_lists():
+            here = seen
+            if f"__s{i}{next(iter(seen.stand_in or {}), '')}" in carried:
+                here = replace(seen, stand_in={n: col(f"__s{i}{n}") for n in seen.stand_in})
+            excused = [col(f"__x{c.id}") if f"__x{c.id}" in carried else x for c, x in checks]
+            hit = any_of([col("__r") if x is None else col("__r") & ~x for x in excused])
+            counted = self.frame.select(*[c.alias(n) for n, c in carried.items()])
+            rows = here.mark(rows, "__r", counted).where(~F.coalesce(hit, F.lit(False))).drop("__r")
+        acting = {c.id for c in self._acting("error")}
+        for (check, names, _, table_keys), seen in zip(self._key_checks, self._seen):
+            if check.id in acting and seen.rows:
+                rows = self._mark_key(rows, self.frame, check, names, table_keys, seen).where(~col(check.flag)).drop(check.flag)
+        for o in self._ordered:
+            if o is not lead and o.check.id in acting:
+                rows = self._mark_breaks(rows, o).where(~col(o.check.flag)).drop(o.check.flag)
+        return rows
+
     # --- counts ----------------------------------------------------------------------------
 
     def cache(self) -> Report:
         """Keep the annotated rows for several outputs; ``release`` drops them."""
-        self.annotated = self.annotated.persist(StorageLevel.MEMORY_AND_DISK)
+        self._annotated = self.annotated.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def release(self) -> None:
         """Drop everything this report keeps in memory or on disk."""
         keys.release(self._tables)
         self._tables.clear()
-        self.annotated.unpersist()
+        for o in self._ordered:
+            o.rows = None
+        if self._annotated is not None:
+            self._annotated.unpersist()
         if self._input is not None:
             self._input.unpersist()
 
@@ -473,8 +582,7 @@ class Report:
         """What passes over the table count: rows, failures and details of value checks, and rows with errors.
 
         Up to COUNTED numbers come from one pass. More are shared out to several, each of which reads its
-        own columns only; all run as one job. Rows with errors are all but those that pass every check: a
-        row goes at its first failure, so that few are joined to the failing keys of the later checks.
+        own columns only; all run as one job. Rows with errors are all but those that pass every check.
         """
         if "rows" in self._numbers and (not error_rows or "error_rows" in self._numbers):
             return self._numbers
@@ -487,14 +595,15 @@ class Report:
             passes = [(self.flagged, {n: asks[n] for n in names[i : i + COUNTED]}) for i in range(0, len(names), COUNTED)] or [(self.flagged, {})]
             passes[0] = (passes[0][0], {**first, **passes[0][1]})
         if error_rows and "error_rows" not in self._numbers:
-            if self.annotated.is_cached or not (self._key_lists or self._key_checks):
+            marked = bool(self._key_lists or self._key_checks or self._ordered)
+            if not marked or (self._annotated is not None and self._annotated.is_cached):
                 errors = {"error_rows": F.count_if(self._failed("error"))}
                 if len(passes) == 1:
                     passes = [(self.annotated, {**passes[0][1], **errors})]
                 else:
                     passes.append((self.annotated, errors))
             else:
-                passes.append((self._mark_keys(self.flagged, self._acting("error")), {"passing": F.count(F.lit(1))}))
+                passes.append((self._passing(), {"passing": F.count(F.lit(1))}))
         if passes:
             texts = [frame.agg(F.array(*[a.cast("string") for a in own.values()]).alias("v")).select(F.lit(i).alias("i"), "v") for i, (frame, own) in enumerate(passes)]
             for r in reduce(DataFrame.unionByName, texts).collect():  # a row per pass
@@ -505,6 +614,10 @@ class Report:
         return self._numbers
 
     def _count(self, c: Check) -> int:
+        if c.settled_count is None:
+            for o in self._ordered:
+                if o.check is c:
+                    self._sorted(o)
         return self._known()[f"c{c.flag}"] if c.flag in self._row_flags else c.settled_count
 
     def _passed(self, c: Check) -> bool:
@@ -735,6 +848,29 @@ class Report:
             raise RuntimeError("blocked: " + "; ".join(f"{b['target']} ({b['test']})" for b in blocked))
 
 
+@dataclass
+class Lookup:
+    """A value that rows are looked up by: the column it is taken from, how, and whether it is that column itself."""
+
+    source: str
+    value: Column
+    plain: bool
+
+
+@dataclass
+class Ordered:
+    """A check of order whose rows are told apart by position."""
+
+    check: Check
+    value: str
+    missing: Column
+    at: list[str]
+    direction: str
+    strict: bool
+    rows: DataFrame | None = None  # kept in order, until they are released
+    broken: keys.Measured | None = None
+
+
 @dataclass
 class Outputs:
     clean: DataFrame
