@@ -94,7 +94,9 @@ def repeated_lists(df: DataFrame, lists: list[tuple[list[str], Column | None]],
         [number[i].alias(LIST), first.alias(FIRST), second.alias(SECOND), (F.lit(False) if missing is None else missing).alias(MISSING)]
         for i, ((first, second, _), (_, missing)) in enumerate(zip(known, lists, strict=True))
     ]
-    groups = _entries(df, entries).groupBy(LIST, FIRST, SECOND).agg(F.count(F.lit(1)).alias("__n"), F.max(MISSING).alias(MISSING)).where("__n > 1")
+    # rows that are kept are read once per list, so that a task holds the keys of one list only
+    every = reduce(DataFrame.unionByName, [df.select(*e) for e in entries]) if df.is_cached else _entries(df, entries)
+    groups = every.groupBy(LIST, FIRST, SECOND).agg(F.count(F.lit(1)).alias("__n"), F.max(MISSING).alias(MISSING)).where("__n > 1")
     table = groups.persist(StorageLevel.MEMORY_AND_DISK)
     held.append(table)
     found = {
